@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, html, quality, sharding
+from tributary.llm import bpe, fingerprint, html, near_dedup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_sharding": sharding.op6_sharding,
         "op7_html_extraction": html.op7_html_extraction,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_fingerprints": fingerprint.op9_fingerprints,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
