@@ -22,36 +22,54 @@ SYMBOLS = "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
-def base_measures(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text; zeros for null."""
+def base_measures(text: Column) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text as a struct; zeros for null."""
     text = F.coalesce(text, F.lit(""))
-    all_words = words(text)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    return {
-        "n_words": F.size(all_words).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": repeat_words(all_words),
-    }
+    symbols = F.when(text.rlike(f"[{SYMBOLS}]"), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(F.lit(0))
+    return let(
+        words(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            symbols.cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeat_words(w).alias("n_repeat_words"),
+        ),
+    )
+
+
+#: Up to so many different repeated windows, their places are looked up one window at a time.
+FEW_WINDOWS = 24
+
+
+def repeat_words(w: Column) -> Column:
+    """How many words lie in a 3-word window that the text has at least twice; w is bound by a lambda."""
 
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
 
-def repeat_words(ws: Column) -> Column:
-    """How many words lie in a 3-word window that the text has at least twice."""
+    def by_sort(hashes: Column) -> Column:
+        spans = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
 
-    def spans(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
-        )
+        def same(s: Column, x: Column, i: Column) -> Column:
+            return F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
 
-    def covered(s: Column) -> Column:
-        twice = F.filter(
-            s, lambda x, i: F.coalesce((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), (F.get(s, i - 1)["h"] == x["h"]), (F.get(s, i + 1)["h"] == x["h"]))
-        )
-        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))))).cast("long")
+        return let(spans, lambda s: covered(F.transform(F.filter(s, lambda x, i: same(s, x, i)), lambda x: x["p"])))
 
-    return let(ws, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(spans(w)), covered)))
+    def twice(hashes: Column) -> Column:
+        ordered = F.sort_array(hashes)
+        return let(ordered, lambda o: F.array_distinct(F.filter(o, lambda x, i: F.coalesce(x == F.get(o, i + 1), F.lit(False)))))
+
+    def count(hashes: Column) -> Column:
+        def by(again: Column) -> Column:
+            places = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(again, h), i)), lambda p: p.isNotNull())
+            return F.when(F.size(again) == 0, F.lit(0)).when(F.size(again) <= FEW_WINDOWS, covered(places)).otherwise(by_sort(hashes))
+
+        return let(twice(hashes), by)
+
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(windows, count)).cast("long")
 
 
 def ngram_buckets(text: Column) -> Column:
@@ -102,6 +120,10 @@ def ratios(target: DataFrame, raw: DataFrame) -> DataFrame:
     return row.select(ratio.alias("llr"))
 
 
+#: What with_quality adds; columns of these names in its input give way.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_ngrams", "score_micro", "kept", "_m", "_t", "_llr")
+
+
 def with_quality(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """docs with the base measures, base_failed, n_ngrams, score_micro (summed ratio) and kept.
 
@@ -117,9 +139,9 @@ def with_quality(docs: DataFrame, labels: DataFrame | None, threshold: float = T
     else:
         target = bucket_counts(docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, max_trusted)), "doc_id", "left_semi"))
     llr = ratios(target, raw).scalar()
-    measures = base_measures(F.col("text"))
-    names = list(docs.columns)
-    out = docs.select(*[F.col(f"`{c}`") for c in names if c not in measures], *[m.alias(k) for k, m in measures.items()])
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], base_measures(F.col("text")).alias("_m"))
+    out = out.select("*", *[F.col(f"_m.{k}") for k in measures]).drop("_m")
     totals = F.transform(
         F.array(ngram_buckets(F.col("text"))),
         lambda g: F.struct(
@@ -148,4 +170,6 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, in the columns that they came with."""
-    return with_quality(docs, table(spark, sf_dir, "labels")).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])) if set(docs.columns) & set(ADDED) else docs
+    out = with_quality(judged, table(spark, sf_dir, "labels")).filter("kept")
+    return out.select("_row.*") if judged is not docs else out.select(*[F.col(f"`{c}`") for c in docs.columns])
