@@ -49,3 +49,21 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         edges = stored(_small_star(grown), "small")
         drop_stored(grown)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+#: Members of one hand in dealt_pairs.
+HAND = 8
+
+
+def dealt_pairs(rest: DataFrame, node: str, step: int) -> DataFrame:
+    """Pairs a < b of nodes: members of a bucket, dealt at random into hands of about HAND, each with its hand's first if of another component.
+
+    rest: bucket, node, comp and n, the bucket's number of members. So the members of any bucket meet in linear work and no
+    task holds a bucket; each step deals anew.
+    """
+    order = F.xxhash64(F.col(node), F.lit(step))
+    hands = rest.select("bucket", node, "comp", "n").withColumn("hand", F.pmod(F.xxhash64(F.col(node), F.lit(step), F.lit("hand")), F.ceil(F.col("n") / HAND)))
+    first = hands.groupBy("bucket", "hand").agg(F.min(order).alias("front"))
+    lead = hands.join(first, ["bucket", "hand"]).filter(order == F.col("front")).select("bucket", "hand", F.col(node).alias("other"), F.col("comp").alias("other_comp"))
+    met = hands.join(lead, ["bucket", "hand"]).filter("comp <> other_comp")
+    return met.select(F.least(node, "other").alias("a"), F.greatest(node, "other").alias("b")).distinct()

@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, fingerprint, html, near_dedup, quality, sharding
+import corpus_pipeline
+from tributary.llm import bpe, chat, fingerprint, html, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_chat_formatting": chat.op3_chat_formatting,
+        "op4_mixing": mixing.op4_mixing,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_sharding": sharding.op6_sharding,
         "op7_html_extraction": html.op7_html_extraction,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_fingerprints": fingerprint.op9_fingerprints,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lm_scoring": lm_scoring.ORACLE, "op3_chat_formatting": chat.ORACLE}
