@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import drop_stored, small, stored, table
-from tributary.llm.components import components
+from tributary.llm.components import components, dealt_pairs
 
 SHINGLE = 5
 #: Two documents are linked if 100 * intersection >= PERCENT * union of their shingle sets.
@@ -18,8 +18,10 @@ PERCENT = 75
 #: Sketch of BANDS * ROWS coordinates; at a similarity of 0.75 all bands miss a pair with a chance of (1 - 0.75**5)**30 < 0.0003.
 BANDS, ROWS = 30, 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rounds of random pairing in buckets of several components.
+DEALS = 1
 #: Words whose hash a worker remembers before it begins anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 
 class _WordHash(dict):
@@ -140,14 +142,47 @@ def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
 
 
+def open_sets(texts: DataFrame) -> DataFrame:
+    """doc and hashes, the shingle set, of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                with np.errstate(over="ignore"):
+                    h = pa.array([shingles(text.as_py()).astype(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), h], ["doc", "hashes"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc long, hashes array<long>")
+
+
+def _links_across(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between members of one bucket that belong to different components, by their full sets within the join.
+
+    Of two such members one is outside the bucket's least component; so the left side holds those outside only, and a large
+    component of copies meets the few that are not in it rather than itself. Rows come out for links alone.
+    """
+    docs = stored(rest.select("doc").distinct(), "open")
+    sets = stored(open_sets(texts.join(small(docs).withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")), "sets")
+    full = rest.select("bucket", "doc", "comp", "least").join(sets, "doc")
+    x, y = full.filter("comp <> least").alias("x"), full.alias("y")
+    nx, ny = F.size("x.hashes"), F.size("y.hashes")
+    linked = (
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
+        & ((F.col("y.comp") == F.col("y.least")) | (F.col("x.doc") < F.col("y.doc")))
+        & (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny))
+        & ((100 + PERCENT) * F.size(F.array_intersect("x.hashes", "y.hashes")) >= PERCENT * (nx + ny))
+    )
+    return x.join(y, linked).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are not read).
 
     Equal sets are one class with the least doc_id as representative; the rest works on representatives. Those that share a
     band meet in a bucket: first each is verified against the bucket's least member, then, where members of the bucket still
-    belong to different components, against its greatest, and last every pair of members of different components is.
-    Pairs inside a component need no test, so a large group of copies costs its size, not its square, and no link between
-    different texts is lost but by a miss of all bands. No cap applies.
+    belong to different components, in DEALS rounds against others drawn at random; last, whoever is outside its bucket's first
+    component is compared with all members of other components. Pairs inside a component need no test, so a large group of copies costs
+    its size, not its square, and no link between different texts is lost but by a miss of all bands. No cap applies.
     Null or blank text: no shingles, a component of its own. Null doc_id: component null, kept. Rows that repeat a doc_id are
     one document; they link to all that any of them links to.
     """
@@ -157,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         real.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     entries = classes.select("doc", F.explode("bands").alias("bucket"))
-    hubs = stored(entries.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high"), "hubs")
+    hubs = stored(entries.groupBy("bucket").agg(F.min("doc").alias("low"), F.count("*").alias("size")).filter("size > 1").select("bucket", "low"), "hubs")
     members = stored(entries.join(small(hubs), "bucket"), "members")
     ids = stored(members.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     texts = stored(
@@ -165,24 +200,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     pairs = members.filter("doc > low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
     tested = stored(verified(pairs, texts), "tested")
-    for last in (False, True):
-        placed = stored(_with_components(members, tested.filter("linked")), "placed")
-        mixed_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
-        rest = placed.join(mixed_buckets.select("bucket"), "bucket", "left_semi")
-        if last:
-            other = rest.select("bucket", F.col("doc").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = rest.join(other, "bucket").filter("comp <> other_comp AND doc < other").select(F.col("doc").alias("a"), F.col("other").alias("b"))
-        else:
-            top = rest.filter("doc = high").select("bucket", F.col("comp").alias("top_comp"))
-            pairs = rest.join(top, "bucket").filter("doc < high AND comp <> top_comp").select(F.col("doc").alias("a"), F.col("high").alias("b"))
-        untested = stored(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "untested")
+    links = stored(tested.filter("linked").select("a", "b"), "links")
+    for step in range(DEALS + 1):
+        placed = stored(_with_components(members, links), "placed")
+        open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most")
+        rest = stored(placed.join(open_buckets.drop("most"), "bucket"), "rest")
         drop_stored(placed)
-        if untested.limit(1).count():
-            tested = stored(tested.union(verified(untested, texts).select("a", "b", "linked")), "tested")
-        elif not last:
-            continue
+        if not rest.limit(1).count():
+            break
+        if step < DEALS:
+            pairs = dealt_pairs(rest, "doc", step).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            found_now = verified(pairs, texts).filter("linked").select("a", "b")
+        else:
+            found_now = _links_across(rest, texts).distinct()
+        links = stored(links.union(found_now), "links")
     copies = real.join(small(stored(classes.filter("n > 1").select("hi", "lo", "doc"), "copies")), ["hi", "lo"]).filter("doc_id <> doc")
-    links = tested.filter("linked").select("a", "b").union(copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b")))
+    links = links.union(copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b")))
     roots = small(stored(components(links, "a", "b").select(F.col("node").alias("doc_id"), "root"), "roots"))
     return (
         found.select("doc_id", "n_shingles")
