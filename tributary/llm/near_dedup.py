@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import drop_stored, small, stored, table
+from tributary.llm.common import arrow_rows, drop_stored, small, stored, table
 from tributary.llm.components import components, dealt_pairs
 
 SHINGLE = 5
@@ -20,6 +20,8 @@ BANDS, ROWS = 30, 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds of random pairing in buckets of several components.
 DEALS = 1
+#: Texts, or pairs of them, in one Arrow batch.
+BATCH = 500
 #: Words whose hash a worker remembers before it begins anew.
 MOST_WORDS = 200_000
 
@@ -176,6 +178,12 @@ def _links_across(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
+    """As _near_duplicates, which see; few texts at once go to a Python worker."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are not read).
 
     Equal sets are one class with the least doc_id as representative; the rest works on representatives. Those that share a
