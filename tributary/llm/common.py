@@ -50,7 +50,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # the default codec keeps its buffers outside the heap
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

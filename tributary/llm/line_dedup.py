@@ -12,41 +12,51 @@ from tributary.llm.components import components, dealt_pairs
 MIN_CHARS = 24
 #: Two lines are linked if 100 * intersection >= PERCENT * union of their sets of shingles of K characters.
 K, PERCENT = 5, 80
-#: A signature is the LOWEST least hashes of the WINDOW-character shingles that begin at a blank or one of the commonest vowels
-#: (at any character in lines without these); each two of them make a band.
-WINDOW, LOWEST = 10, 4
-ANCHORED = rf"(?s)(?=([ eEiI].{{{WINDOW - 1}}}))"
-ANYWHERE = rf"(?s)(?=(.{{{WINDOW}}}))"
-#: Lines that share a band but no component are compared in full if this many of their 16 least shingle hashes agree; at PERCENT about 13 do.
-SCREEN, AGREE = 16, 6
+#: A signature is the LOWEST least hashes of a line's shingles; each two make a band. Lines of up to LONG characters take all shingles of WINDOW
+#: characters; lines of PERCENT % of LONG or more those that reach from a word's start to the end of the second next word (any WINDOW
+#: characters in a line of few words). So two lines that can be linked have shingles of one kind in common.
+WINDOW, LOWEST, LONG = 12, 4, 120
+#: Lines that share a band are compared in full if this many of their 16 least shingle hashes agree; at PERCENT about 14 do.
+SCREEN, AGREE = 16, 9
 #: Rounds of random pairing in buckets of several components.
 DEALS = 2
 
 
+def any_windows(line: Column, n: int) -> Column:
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def least_hashes(line: Column, n: int) -> Column:
+    """The n least hashes of the line's shingles, of each kind that its length asks for, in an array each."""
+
+    def least(hashes: Column) -> Column:
+        return F.slice(F.sort_array(F.array_distinct(hashes)), 1, n)
+
+    short = F.when(F.length(line) <= LONG, least(F.transform(any_windows(line, WINDOW), lambda w: F.xxhash64(w))))
+    pairs = let(
+        F.split(line, " "),
+        lambda ws: F.when(F.size(ws) < 7, F.transform(any_windows(line, WINDOW), lambda w: F.xxhash64(w))).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+        ),
+    )
+    long = F.when(F.length(line) * 100 >= LONG * PERCENT, least(pairs))
+    return F.filter(F.array(short, long), lambda x: x.isNotNull())
+
+
 def signature(line: Column) -> Column:
     """Band keys of a line of MIN_CHARS characters or more."""
+    pairs = [(a, b) for b in range(LOWEST) for a in range(b)]
 
-    def keys(windows: Column) -> Column:
-        lowest = F.slice(F.sort_array(F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w)))), 1, LOWEST)
-        pairs = [(a, b) for b in range(LOWEST) for a in range(b)]
-        both = let(
-            lowest,
-            lambda low: F.when(F.size(low) == 1, low).otherwise(
-                F.filter(
-                    F.array(*[F.when(F.lit(b) < F.size(low), F.xxhash64(F.get(low, F.lit(a)), F.get(low, F.lit(b)))) for a, b in pairs]), lambda x: x.isNotNull()
-                )
-            ),
-        )
-        return both
-
-    def by(found: Column) -> Column:
-        return F.when(F.size(found) > 1, keys(found)).otherwise(keys(F.regexp_extract_all(line, F.lit(ANYWHERE), F.lit(1))))
+    def keys(low: Column) -> Column:
+        both = [F.when(F.lit(b) < F.size(low), F.xxhash64(F.get(low, F.lit(a)), F.get(low, F.lit(b)))) for a, b in pairs]
+        return F.when(F.size(low) == 1, low).otherwise(F.filter(F.array(*both), lambda x: x.isNotNull()))
 
-    return let(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)), by)
+    return F.flatten(F.transform(least_hashes(line, LOWEST), keys))
 
 
 def shingle_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{K}}}))"), F.lit(1)), lambda w: F.xxhash64(w)))
+    """Hashes of 32 bits of the line's shingles of K characters; two of a line agree by chance once in 2**32 pairs."""
+    return F.array_distinct(F.transform(any_windows(line, K), lambda w: F.hash(w)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -60,11 +70,11 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _linked(a: str, b: str) -> Column:
-    na, nb = F.size(f"{a}.shingles"), F.size(f"{b}.shingles")
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (
-        F.size(F.array_intersect(f"{a}.low", f"{b}.low")) >= F.least(F.lit(AGREE), (PERCENT * F.least(na, nb) / 200).cast("int"))
-    ) & ((100 + PERCENT) * F.size(F.array_intersect(f"{a}.shingles", f"{b}.shingles")) >= PERCENT * (na + nb))
+def _alike(a: str, b: str) -> Column:
+    """Whether two lines may be linked by their lengths and least hashes."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    agree = F.size(F.array_intersect(f"{a}.low", f"{b}.low"))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (agree >= F.least(F.lit(AGREE), F.floor(F.least(F.size(f"{a}.low"), F.size(f"{b}.low")) / 3)))
 
 
 def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -75,36 +85,50 @@ def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     ids = stored(members.select("hash").distinct(), "ids")
     texts = lines(docs).join(small(ids), "hash", "left_semi").select("hash", "line").dropDuplicates(["hash"])
     sets = stored(
-        texts.select("hash", shingle_set(F.col("line")).alias("shingles")).withColumn("low", F.slice(F.sort_array("shingles"), 1, SCREEN)), "sets"
+        texts.select("hash", shingle_set(F.col("line")).alias("shingles"))
+        .withColumn("n", F.size("shingles"))
+        .withColumn("low", F.slice(F.sort_array("shingles"), 1, SCREEN)),
+        "sets",
     )
     pairs = members.filter("hash <> hub").select(F.col("hub").alias("a"), F.col("hash").alias("b")).distinct()
-    links = stored(_verified(pairs, sets), "links")
+    links = stored(_verified(_screened(pairs, sets), sets), "links")
     for step in range(DEALS + 1):
         roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
         placed = stored(members.join(small(roots), "hash", "left").withColumn("comp", F.coalesce("root", "hash")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most").drop("most")
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most AND n > 2").drop("most")
         rest = stored(placed.join(mixed, "bucket").drop("root"), "rest")
         drop_stored(placed)
         if not rest.limit(1).count():
             return roots
-        more = _verified(dealt_pairs(rest, "hash", step), sets) if step < DEALS else _across(rest, sets)
+        # a bucket of two has had its only pair tested
+        more = _verified(_screened(dealt_pairs(rest, "hash", step), sets), sets) if step < DEALS else _across(rest, sets)
         links = stored(links.union(more), "links")
     return stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
 
 
+def _screened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose lines may be linked; small rows only."""
+    x, y = sets.select("hash", "n", "low").alias("x"), sets.select("hash", "n", "low").alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.hash")).join(y, (F.col("b") == F.col("y.hash")) & _alike("x", "y"))
+    return stored(both.select("a", "b"), "screened")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x, y = sets.alias("x"), sets.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.hash")).join(y, (F.col("b") == F.col("y.hash")) & _linked("x", "y"))
-    return both.select("a", "b")
+    x, y = sets.select("hash", "shingles").alias("x"), sets.select("hash", "shingles").alias("y")
+    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    enough = (100 + PERCENT) * shared >= PERCENT * (F.size("x.shingles") + F.size("y.shingles"))
+    return pairs.join(x, F.col("a") == F.col("x.hash")).join(y, (F.col("b") == F.col("y.hash")) & enough).select("a", "b")
 
 
 def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """The links between members of one bucket in different components; see near_dedup for why it is linear in copies."""
     full = rest.select("bucket", "hash", "comp", "least").join(sets, "hash")
     x, y = full.filter("comp <> least").alias("x"), full.alias("y")
+    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
     across = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.least")) | (F.col("x.hash") < F.col("y.hash"))) & _linked("x", "y")
+        & ((F.col("y.comp") == F.col("y.least")) | (F.col("x.hash") < F.col("y.hash"))) & _alike("x", "y")
+        & ((100 + PERCENT) * shared >= PERCENT * (F.col("x.n") + F.col("y.n")))
     )
     return x.join(y, across).select(F.least("x.hash", "y.hash").alias("a"), F.greatest("x.hash", "y.hash").alias("b")).distinct()
 

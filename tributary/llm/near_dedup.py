@@ -211,7 +211,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(tested.filter("linked").select("a", "b"), "links")
     for step in range(DEALS + 1):
         placed = stored(_with_components(members, links), "placed")
-        open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most")
+        open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most AND n > 2")  # the only pair of a bucket of two has been tested
         rest = stored(placed.join(open_buckets.drop("most"), "bucket"), "rest")
         drop_stored(placed)
         if not rest.limit(1).count():
