@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.operators import kernels
+from tributary.plans import dialect
+from tributary.plans.catalogue import QUERIES
+from tributary.streaming import incremental
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: partial(dialect.run, q) for name, q in QUERIES.items()} | kernels.queries() | incremental.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: dialect.text(q) for name, q in QUERIES.items()} | incremental.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return dialect.run(QUERIES["flagship"], spark, sf_dir)
