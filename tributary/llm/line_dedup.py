@@ -137,7 +137,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version and places (of the lines to drop, ascending), for documents that lose any.
 
     Equal lines (trimmed) and linked lines are one component; its first line by doc_id (null first), version, place stays. Rows that
-    repeat a doc_id with the same text are one document.
+    repeat a doc_id with the same text are one document. Equal lines are always found; of linked ones banding finds about 97 % where one
+    character of 12 to 40 words differs, more in longer lines.
     """
     found = stored(lines(docs).select("doc_id", "version", "place", "hash", signature(F.col("line")).alias("keys")), "lines")
     roots = line_components(docs, found)
