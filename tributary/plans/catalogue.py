@@ -71,8 +71,9 @@ QUERIES = {
         "a AS (SELECT aid, max(id) AS id FROM act WHERE uid = 1 GROUP BY aid), b AS (SELECT aid, max(id) AS id FROM act WHERE uid = 2 GROUP BY aid)",
     ),
     "front_then_rest": Query(
-        "SELECT aid, min(p) AS p FROM (SELECT aid, 0 AS p FROM f UNION ALL SELECT aid, 1 AS p FROM s) x WHERE aid NOT IN (SELECT aid FROM n) GROUP BY aid",
-        "f AS (SELECT DISTINCT aid FROM act WHERE kind = 'purchase' AND aid IS NOT NULL), s AS (SELECT DISTINCT aid FROM act WHERE kind = 'view' AND aid IS NOT NULL), n AS (SELECT DISTINCT aid FROM act WHERE op < 0 AND uid < 3 AND aid IS NOT NULL)",
+        "SELECT x.uid, x.aid, min(p) AS p FROM (SELECT uid, aid, 0 AS p FROM f UNION ALL SELECT uid, aid, 1 AS p FROM s) x WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.uid = x.uid AND n.aid = x.aid) GROUP BY x.uid, x.aid",
+        """f AS (SELECT DISTINCT uid, aid FROM act WHERE kind = 'purchase' AND aid IS NOT NULL), s AS (SELECT DISTINCT uid, aid FROM act WHERE kind = 'view' AND aid IS NOT NULL),
+        n AS (SELECT DISTINCT uid, aid FROM act WHERE op < 0 AND aid IS NOT NULL)""",
     ),
     "session_categories": Query("SELECT sid, @LISTAGG(cat) AS cats FROM act a JOIN article r ON a.aid = r.aid GROUP BY sid"),
     "new_categories": Query(
@@ -103,10 +104,9 @@ QUERIES = {
         FROM (SELECT sid, aid, max(CASE WHEN op < 0 THEN 1 ELSE 0 END) AS hidden, max(id) AS last_id FROM act GROUP BY sid, aid) x"""
     ),
     "min_activity": Query("SELECT sid FROM act WHERE w > 0 GROUP BY sid HAVING count(DISTINCT aid) >= 2"),
-    "systematic_sample": Query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM act WHERE uid < 10) x WHERE rn > 3 AND (rn - 3) % 10 = 0"),
     "fractional_sample": Query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY uid ORDER BY id) AS rn FROM act) x WHERE floor(rn * 0.25) > floor((rn - 1) * 0.25)"),
     "hash_split": Query("SELECT CASE WHEN @COIN(CAST(aid AS STRING)) % 2 = 0 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM article GROUP BY 1"),
-    "page_window": Query("SELECT aid, rn FROM (SELECT aid, row_number() OVER (ORDER BY score DESC, aid) AS rn FROM page_score WHERE uid = 1) x WHERE rn BETWEEN 6 AND 15"),
+    "page_window": Query("SELECT uid, aid, rn FROM (SELECT uid, aid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, aid) AS rn FROM page_score) x WHERE rn BETWEEN 6 AND 15"),
     "rank_vector_merge": Query(
         "SELECT aid, n_lists, best, total FROM (SELECT aid, count(*) AS n_lists, min(rn) AS best, CAST(sum(score) AS BIGINT) AS total FROM ranked_page WHERE rn <= 100 GROUP BY aid) x ORDER BY best, n_lists DESC, total DESC, aid LIMIT 20"
     ),
@@ -134,15 +134,9 @@ QUERIES = {
     "date_range": Query("SELECT id FROM act WHERE t >= TIMESTAMP '2024-01-10 00:00:00' AND t < TIMESTAMP '2024-01-17 00:00:00'"),
     "profile_from_history": Query("SELECT uid, term, round(w1, 6) AS w1, round(sqrt(w1), 6) AS w2 FROM profile"),
     "profile_linear_score": Query(
-        "SELECT uid, aid, round(s, 5) AS s FROM (SELECT uid, v.aid, sum(w1 * x * sqrt(idf)) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term WHERE uid < 20 GROUP BY uid, v.aid) x WHERE s >= 1"
-    ),
-    "profile_log_score": Query("SELECT uid, aid, round(s, 4) AS s FROM (SELECT uid, p.aid, sum(ln(1 + tf) * w1 * idf) AS s FROM profile f JOIN posting p ON f.term = p.term JOIN idf i ON p.term = i.term WHERE uid < 10 GROUP BY uid, p.aid) x WHERE s >= 1"),
-    "similar_articles": Query(
-        "SELECT a, b, round(s, 6) AS s FROM (SELECT x.aid AS a, y.aid AS b, sum(x.x * y.x) AS s FROM vec x JOIN vec y ON x.term = y.term AND x.aid <> y.aid JOIN article r ON x.aid = r.aid JOIN article q ON y.aid = q.aid AND r.major = q.major GROUP BY x.aid, y.aid) z WHERE s >= 0.1"
-    ),
-    "similarity_thresholds": Query(
-        "SELECT sum(CASE WHEN s >= 0.1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN s >= 0.2 THEN 1 ELSE 0 END) AS n2, sum(CASE WHEN s >= 0.4 THEN 1 ELSE 0 END) AS n4 FROM (SELECT x.aid, y.aid AS b, round(sum(x.x * y.x), 9) AS s FROM vec x JOIN vec y ON x.term = y.term AND x.aid < y.aid GROUP BY x.aid, y.aid) z"
+        "SELECT uid, aid, round(s, 5) AS s FROM (SELECT uid, v.aid, sum(w1 * x * sqrt(idf)) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term GROUP BY uid, v.aid) x WHERE s >= 1"
     ),
+    "profile_log_score": Query("SELECT uid, aid, round(s, 4) AS s FROM (SELECT uid, p.aid, sum(ln(1 + tf) * w1 * idf) AS s FROM profile f JOIN posting p ON f.term = p.term JOIN idf i ON p.term = i.term GROUP BY uid, p.aid) x WHERE s >= 1"),
     "flagship": Query(
         "SELECT uid, aid, round(s, 5) AS s, CAST(rn AS INT) AS rn FROM (SELECT uid, aid, s, row_number() OVER (PARTITION BY uid ORDER BY round(s, 5) DESC, aid) AS rn FROM c) x WHERE rn <= 10",
         """c AS (SELECT f.uid, v.aid, sum(w1 * x * sqrt(idf)) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term
@@ -173,7 +167,7 @@ QUERIES = {
     "json_property": Query("SELECT id, aid FROM act WHERE aid IS NOT NULL"),
     "page_links": Query("SELECT page_id, length(html) - length(replace(html, '<a href', '<ahref')) AS n_links FROM pages"),
     "url_host": Query("SELECT page_id, @RE1(url, '^[a-z]+://([^/?#:]+)') AS host FROM pages"),
-    "abstract_csv": Query("SELECT aid, concat('\"', @REALL(replace(substr(body, 1, 200), '\"', ''''), '[ \\t\\n]+', ' '), '\"') AS line FROM article WHERE aid < 500"),
+    "abstract_csv": Query("SELECT aid, concat('\"', @REALL(replace(body, '\"', ''''), '[ \\t\\n]+', ' '), '\"') AS line FROM article"),
     "upsert_newest": Query("SELECT aid, id, kind FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY id DESC) AS rn FROM act) x WHERE rn = 1"),
     "session_transcripts": Query("SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS answers FROM conversations GROUP BY conv_id"),
     # console

@@ -39,7 +39,7 @@ VIEWS = {
     "n_docs": "SELECT count(*) AS n FROM documents",
     "idf": "SELECT term, df, 1 + ln((SELECT n FROM n_docs) / CAST(1 + df AS DOUBLE)) AS idf FROM df",
     "norm": "SELECT p.aid, sqrt(sum(tf * tf * idf)) AS norm FROM posting p JOIN idf i ON p.term = i.term WHERE df >= 10 GROUP BY p.aid",
-    "vec": "SELECT p.aid, p.term, tf * sqrt(idf) / norm AS x FROM posting p JOIN idf i ON p.term = i.term JOIN norm n ON p.aid = n.aid WHERE df BETWEEN 10 AND 60 AND norm > 0",
+    "vec": "SELECT p.aid, p.term, tf * sqrt(idf) / norm AS x FROM posting p JOIN idf i ON p.term = i.term JOIN norm n ON p.aid = n.aid WHERE df >= 10 AND norm > 0",
     "page_score": """SELECT uid, aid, 1000 * coalesce(max(CASE WHEN kind = 'purchase' THEN 1 END), 0)
         + coalesce(@LAST(CASE WHEN kind IN ('signup', 'error') THEN op END, CASE WHEN kind IN ('signup', 'error') THEN id END), 0)
         + coalesce(max(CASE WHEN kind IN ('view', 'click') THEN op END), 0) AS score, max(id) AS last_id FROM act GROUP BY uid, aid""",

@@ -7,18 +7,26 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.operators import kernels
-from tributary.plans import dialect
-from tributary.plans.catalogue import QUERIES
+from tributary.operators import kernels, sampling, similarity
+from tributary.plans import catalogue, dialect, platform
+from tributary.sources import exchange
 from tributary.streaming import incremental
 
+QUERIES = catalogue.QUERIES | platform.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(dialect.run, q) for name, q in QUERIES.items()} | kernels.queries() | incremental.queries()
+    out = {name: partial(dialect.run, q) for name, q in QUERIES.items()}
+    for module in (kernels, sampling, similarity, exchange, incremental):
+        out |= module.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.text(q) for name, q in QUERIES.items()} | incremental.oracle_sql()
+    out = {name: dialect.text(q) for name, q in QUERIES.items()}
+    for module in (sampling, similarity, exchange, incremental):
+        out |= module.oracle_sql()
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
