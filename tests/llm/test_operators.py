@@ -320,3 +320,18 @@ def test_pipeline_keeps_columns_and_tokenises(spark):
         docs = stage(spark, docs, DIR)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b  a\n", None, "", " \t", "ab", "a b é", "x" * 3000, prose(9, 500), "a"]
+    monkeypatch.setattr(lm_scoring, "LOT", 64)
+    whole, counts = lm_scoring.word_hashes(pa.array(["none", *texts])[1:])
+    assert counts.tolist() == [len(ws(t)) for t in texts]
+    words = [w for t in texts for w in ws(t)]
+    assert len(whole) == len(words)
+    seen = dict(zip(words, whole.tolist(), strict=True))
+    assert [seen[w] for w in words] == whole.tolist() and len(set(seen.values())) == len(seen)
+    assert lm_scoring.word_hashes(pa.array([], pa.string()))[0].dtype == np.int64
