@@ -121,16 +121,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links between members of one bucket in different components; see near_dedup for why it is linear in copies."""
-    full = rest.select("bucket", "hash", "comp", "least").join(sets, "hash")
+    """The links between members of one bucket in different components; see near_dedup for why it is linear in copies. Rows that meet hold least hashes only."""
+    full = rest.select("bucket", "hash", "comp", "least").join(sets.select("hash", "n", "low"), "hash")
     x, y = full.filter("comp <> least").alias("x"), full.alias("y")
-    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
     across = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
         & ((F.col("y.comp") == F.col("y.least")) | (F.col("x.hash") < F.col("y.hash"))) & _alike("x", "y")
-        & ((100 + PERCENT) * shared >= PERCENT * (F.col("x.n") + F.col("y.n")))
     )
-    return x.join(y, across).select(F.least("x.hash", "y.hash").alias("a"), F.greatest("x.hash", "y.hash").alias("b")).distinct()
+    pairs = x.join(y, across).select(F.least("x.hash", "y.hash").alias("a"), F.greatest("x.hash", "y.hash").alias("b"))
+    return _verified(stored(pairs.distinct(), "across"), sets)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
