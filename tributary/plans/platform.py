@@ -98,4 +98,11 @@ QUERIES = {
     "metadata_csv": Query(
         "SELECT aid, concat(CAST(aid AS STRING), ',\"', cat, '\",', CAST(n_chars AS STRING), ',\"', @REALL(replace(coalesce(body, ''), '\"', ''''), '[ \\t\\r\\n]+', ' '), '\"') AS line FROM article"
     ),
+    "upload_profiles": Query("SELECT uid, term, round(sum(x), 6) AS w FROM (SELECT DISTINCT uid, aid FROM act WHERE kind = 'purchase') u JOIN vec v ON u.aid = v.aid GROUP BY uid, term"),
+    "likeliest_class": Query(
+        "SELECT aid, major FROM (SELECT aid, major, row_number() OVER (PARTITION BY aid ORDER BY round(s, 6) DESC, major) AS rn FROM s) x WHERE rn = 1",
+        """l1 AS (SELECT aid, CAST(sum(tf) AS DOUBLE) AS n FROM posting GROUP BY aid), size AS (SELECT count(*) AS n FROM df), majors AS (SELECT major, count(*) AS n FROM article GROUP BY major),
+        c AS (SELECT r.major, p.term, sum(p.tf / l1.n) / max(m.n) AS c FROM posting p JOIN l1 ON p.aid = l1.aid JOIN article r ON p.aid = r.aid JOIN majors m ON m.major = r.major GROUP BY r.major, p.term),
+        s AS (SELECT p.aid, c.major, sum(tf * (ln(0.9 * c + 0.1 / size.n) - ln(0.1 / size.n))) AS s FROM posting p JOIN c ON p.term = c.term CROSS JOIN size GROUP BY p.aid, c.major)""",
+    ),
 }

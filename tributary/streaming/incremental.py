@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tributary.plans import dialect
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,12 +47,50 @@ def stream_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(out, "complete")
 
 
+def _augment(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A session's viewed articles, the last seen first, and those that the user hid, which never come back; the session's actions come in any order."""
+    seen: dict[int, int] = {}
+    hidden: set[int] = set()
+    n = 0
+    if state.exists:
+        articles, last, gone, n = state.get
+        seen, hidden = dict(zip(articles, last, strict=True)), set(gone)
+    for batch in batches:
+        n += len(batch)
+        for article, event, kind in zip(batch["aid"], batch["event_id"], batch["event_type"], strict=True):
+            if kind == "error":
+                hidden.add(int(article))
+            seen[int(article)] = max(int(event), seen.get(int(article), 0))
+    state.update((list(seen), list(seen.values()), sorted(hidden), n))
+    places: dict[str, int] = {}
+    rows = []
+    for article, event in sorted(seen.items(), key=lambda x: -x[1]):
+        kind = "prohibited" if article in hidden else "viewed"
+        places[kind] = places.get(kind, 0) + 1
+        rows.append((key[0], article, kind, places[kind], n))
+    yield pd.DataFrame(rows, columns=["sid", "aid", "state", "place", "version"])
+
+
+def stream_session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's history, kept as state (bounded by the session) and emitted anew whenever it changes; the newest of each is returned."""
+    events = stream(spark, sf_dir, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    events = events.select(F.concat_ws("/", F.col("user_id").cast("string"), day).alias("sid"), "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("aid")).filter("aid IS NOT NULL")
+    state = "seen array<long>, last array<long>, hidden array<long>, n long"
+    out = "sid string, aid long, state string, place int, version long"
+    made = finished(events.groupBy("sid").applyInPandasWithState(_augment, out, state, "update", GroupStateTimeout.NoTimeout), "update")
+    return made.withColumn("newest", F.max("version").over(Window.partitionBy("sid"))).filter("version = newest").drop("version", "newest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_rates, stream_sessions, stream_high_water)}
+    return {f.__name__: f for f in (stream_rates, stream_sessions, stream_high_water, stream_session_history)}
 
 
 def oracle_sql() -> dict[str, str]:
+    history = """SELECT sid, aid, CASE WHEN hidden = 1 THEN 'prohibited' ELSE 'viewed' END AS state, CAST(row_number() OVER (PARTITION BY sid, hidden ORDER BY last_id DESC) AS INT) AS place
+        FROM (SELECT sid, aid, max(CASE WHEN op < 0 THEN 1 ELSE 0 END) AS hidden, max(id) AS last_id FROM act WHERE aid IS NOT NULL GROUP BY sid, aid) x"""
     return {
+        "stream_session_history": dialect.text(dialect.Query(history)),
         "stream_rates": """SELECT s AS start, count(*) AS n FROM (
             SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS s FROM events UNION ALL SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE FROM events) x GROUP BY s""",
         "stream_sessions": """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
