@@ -1,7 +1,7 @@
 import numpy as np
 
 from tributary.functions.query_syntax import Clause, parse
-from tributary.operators import factors
+from tributary.operators import factors, scoring
 
 
 def test_parse():
@@ -20,3 +20,19 @@ def test_singular_values(spark):
     values, _ = factors.singular(cells, k=2, rounds=14)
     assert np.allclose(values, np.linalg.svd(a)[1][:2], rtol=2e-2)
     assert np.allclose(factors.singular(cells.limit(0), k=2, rounds=2)[0], 0)
+
+
+def test_block_scores(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK", 6)
+    rng = np.random.default_rng(2)
+    u, v = (np.where(rng.random((n, 15)) < 0.5, rng.random((n, 15)).round(3), 0) for n in (13, 25))
+    rows = lambda x: [(i, j, float(x[i, j])) for i in range(len(x)) for j in range(15) if x[i, j]]
+    profiles, items = spark.createDataFrame(rows(u), "uid long, term long, x double"), spark.createDataFrame(rows(v), "aid long, term long, x double")
+    hidden = spark.createDataFrame([(0, 3), (0, 4), (5, 1)], "uid long, aid long")
+    s = (u @ v.T).round(5)
+    got = {(r.uid, r.aid): r.s for r in scoring.scores(profiles, items, least=1.5).collect()}
+    assert got.keys() == {(i, j) for i in range(13) for j in range(25) if s[i, j] >= 1.5}
+    for i, j in ((0, 3), (0, 4), (5, 1)):
+        s[i, j] = -1
+    best = {(r.uid, r.rn): r.aid for r in scoring.scores(profiles, items, hidden, top=4).collect()}
+    assert best == {(i, k): j for i in range(13) for k, j in enumerate(sorted(range(25), key=lambda j: (-s[i, j], j))[:4], 1)}

@@ -134,9 +134,9 @@ QUERIES = {
     "date_range": Query("SELECT id FROM act WHERE t >= TIMESTAMP '2024-01-10 00:00:00' AND t < TIMESTAMP '2024-01-17 00:00:00'"),
     "profile_from_history": Query("SELECT uid, term, round(w1, 6) AS w1, round(sqrt(w1), 6) AS w2 FROM profile"),
     "profile_linear_score": Query(
-        "SELECT uid, aid, round(s, 5) AS s FROM (SELECT uid, v.aid, sum(w1 * x * sqrt(idf)) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term GROUP BY uid, v.aid) x WHERE s >= 1"
+        "SELECT uid, aid, s FROM (SELECT uid, v.aid, round(sum(w1 * x * sqrt(idf)), 5) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term GROUP BY uid, v.aid) x WHERE s >= 1"
     ),
-    "profile_log_score": Query("SELECT uid, aid, round(s, 4) AS s FROM (SELECT uid, p.aid, sum(ln(1 + tf) * w1 * idf) AS s FROM profile f JOIN posting p ON f.term = p.term JOIN idf i ON p.term = i.term GROUP BY uid, p.aid) x WHERE s >= 1"),
+    "profile_log_score": Query("SELECT uid, aid, s FROM (SELECT uid, p.aid, round(sum(ln(1 + tf) * w1 * idf), 5) AS s FROM profile f JOIN posting p ON f.term = p.term JOIN idf i ON p.term = i.term GROUP BY uid, p.aid) x WHERE s >= 1"),
     "flagship": Query(
         "SELECT uid, aid, round(s, 5) AS s, CAST(rn AS INT) AS rn FROM (SELECT uid, aid, s, row_number() OVER (PARTITION BY uid ORDER BY round(s, 5) DESC, aid) AS rn FROM c) x WHERE rn <= 10",
         """c AS (SELECT f.uid, v.aid, sum(w1 * x * sqrt(idf)) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.operators import factors, kernels, sampling, similarity
+from tributary.operators import factors, kernels, sampling, scoring, similarity
 from tributary.plans import catalogue, dialect, platform
 from tributary.sources import exchange
 from tributary.streaming import incremental
@@ -17,17 +17,17 @@ QUERIES = catalogue.QUERIES | platform.QUERIES
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(dialect.run, q) for name, q in QUERIES.items()}
-    for module in (kernels, factors, sampling, similarity, exchange, incremental):
+    for module in (kernels, factors, sampling, scoring, similarity, exchange, incremental):
         out |= module.queries()
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: dialect.text(q) for name, q in QUERIES.items()}
-    for module in (factors, sampling, similarity, exchange, incremental):
+    for module in (factors, sampling, scoring, similarity, exchange, incremental):
         out |= module.oracle_sql()
     return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialect.run(QUERIES["flagship"], spark, sf_dir)
+    return scoring.flagship(spark, sf_dir)
