@@ -62,11 +62,13 @@ def rocchio_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each article's expected approval from those of similar articles: similarity-weighted mean of votes, and the votes' weight."""
+    """Each article's expected approval from those of similar articles: similarity-weighted mean of votes, and the votes' weight in millionths."""
     votes = dialect.run(dialect.Query("SELECT aid AS b, sum(CASE WHEN op >= 100 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN op >= 100 OR op < 0 THEN 1 ELSE 0 END) AS n FROM act WHERE aid IS NOT NULL GROUP BY aid"), spark, sf_dir)
     near = similarity.similar_articles(spark, sf_dir).join(votes.filter("n > 0"), "b")
-    sums = near.groupBy("a").agg(F.sum(F.col("s") * F.col("up")).alias("up"), F.sum(F.col("s") * F.col("n")).alias("n"))
-    return sums.select(F.col("a").alias("aid"), F.round(F.col("up") / F.col("n"), 6).alias("p"), F.round("n", 4).alias("weight"))
+    # whole millionths: sums do not depend on their order
+    weight = F.round(F.col("s") * 1_000_000).cast("long")
+    sums = near.groupBy("a").agg(F.sum(weight * F.col("up")).alias("up"), F.sum(weight * F.col("n")).alias("weight"))
+    return sums.select(F.col("a").alias("aid"), F.round(F.col("up") / F.col("weight"), 6).alias("p"), "weight")
 
 
 SEARCHES = ("the of thing", '"in the"', "stat* category:en", "category:de.src1 und")
@@ -87,7 +89,7 @@ PADDED = "concat(' ', @REALL(lower(coalesce(body, '')), '[^a-z0-9]+', ' '), ' ')
 
 
 def oracle_sql() -> dict[str, str]:
-    priors = f"""SELECT z.a AS aid, round(sum(s * up) / sum(s * n), 6) AS p, round(sum(s * n), 4) AS weight FROM (SELECT a, b, s FROM ({similarity.PAIRS}) y WHERE s >= {similarity.LEAST}) z
+    priors = f"""SELECT z.a AS aid, round(sum(m * up) / CAST(sum(m * n) AS DOUBLE), 6) AS p, CAST(sum(m * n) AS BIGINT) AS weight FROM (SELECT a, b, CAST(round(s * 1000000) AS BIGINT) AS m FROM ({similarity.PAIRS}) y WHERE s >= {similarity.LEAST}) z
         JOIN (SELECT aid, sum(CASE WHEN op >= 100 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN op >= 100 OR op < 0 THEN 1 ELSE 0 END) AS n FROM act GROUP BY aid) w ON z.b = w.aid WHERE n > 0 GROUP BY z.a"""
     search = f"""SELECT aid, '{SEARCHES[0]}' AS query FROM t WHERE words LIKE '% thing %'
         UNION ALL SELECT aid, '{SEARCHES[1]}' FROM t WHERE words LIKE '% in the %' UNION ALL SELECT aid, '{SEARCHES[2]}' FROM t WHERE words LIKE '% stat%' AND cat LIKE 'en%'
