@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -35,6 +36,34 @@ def test_scores_of_odd_and_no_documents(odd_docs, no_docs):
     assert lm_scoring.scored(no_docs, lm_scoring.CountTables(no_docs)).count() == 0
 
 
+def test_scores_of_a_corpus_above_the_head_match_brute_force(spark):
+    rng, rare = random.Random(4), iter(range(10**9))
+    unseen = lambda: f"r{next(rare)}"
+    texts = []
+    for _ in range(600):
+        word = [f"w{int(rng.paretovariate(0.6))}" if rng.random() < 0.4 else unseen() for _ in range(2000)]
+        texts.append(" ".join(word))
+    texts += [texts[0][-300:], "r5 r6 nowhere"]
+    uni, bi = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        uni.update(w)
+        bi.update(zip(w, w[1:]))
+    total = sum(uni.values())
+    assert total > lm_scoring.PARTS and len(uni) > 2**19 and min(uni.values()) * lm_scoring.PARTS < total
+
+    def score(w):
+        out = math.log(uni[w[0]] / total)
+        for v, x in zip(w, w[1:]):
+            out += math.log(bi[v, x] / uni[v]) if bi[v, x] >= 2 else math.log(0.4 * uni[x] / total)
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.scored(docs, lm_scoring.CountTables(docs)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].n_words == len(t.split()) and got[i].score == pytest.approx(score(t.split()), abs=2e-3)
+
+
 # 2
 def test_lines_keep_first_and_drop_fuzzy_copies(spark):
     line = prose(5, 12)

@@ -19,10 +19,10 @@ from tributary.llm.common import SPACE, arrow_rows, stored, table
 ALPHA = 0.4
 #: Bigrams seen less often back off to the unigram.
 MIN_COUNT = 2
-#: The vocabulary is closed: words with a share of all words under 1 / PARTS count as one unknown word. So it has at most PARTS
-#: words at any size of the corpus, and as many bigrams at most have such a share.
+#: Words and bigrams with a share of all words of 1 / PARTS or more, at most PARTS each at any size of the corpus, are the head that is
+#: sent to every worker; the counts of all others stay in tables that are joined. No count is cut or merged.
 PARTS = 1 << 20
-#: A bigram is its first word's number << BITS | its second word's; number 0 is the unknown word.
+#: A word of the head goes by its number from 1, others by their hash. A bigram of the head's words is the first's number << BITS | the second's, others go by a hash of both.
 BITS = 21
 #: Scores are sums of whole micronats: they do not depend on the order of summing.
 SCALE = 1_000_000
@@ -109,25 +109,62 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _counted("word", (word_hashes(b.column(0))[0] for b in batches))
 
 
-def numbered(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all words of some texts, and how many each text has. A word's number is its place in the vocabulary's sorted hashes from 1, 0 if it is not there."""
+def numbered(texts: pa.Array, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of some texts, which of them are in the head, and how many each text has. A word is its place in the head's sorted hashes from 1, or its hash."""
     words, lengths = word_hashes(texts)
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64), lengths
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, at + 1, 0), lengths
+    if not len(head):
+        return words, np.zeros(len(words), bool), lengths
+    at = np.minimum(np.searchsorted(head, words), len(head) - 1)
+    known = head[at] == words
+    return np.where(known, at + 1, words), known, lengths
 
 
-def grams(numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of texts whose words' numbers follow one another, and the text of each."""
+def pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of words of which one or both are not in the head."""
+    with np.errstate(over="ignore"):
+        x = v.view(np.uint64) + np.uint64(_BASE)
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+        x = (x ^ (x >> np.uint64(29))) + w.view(np.uint64)
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def grams(words: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bigrams of texts whose words follow one another, whether both words are of the head, the text, and the words of each."""
     text = np.repeat(np.arange(len(lengths)), lengths)
-    inside = text[:-1] == text[1:]
-    return (numbers[:-1] << BITS | numbers[1:])[inside], text[1:][inside]
+    inside = np.flatnonzero(text[:-1] == text[1:])
+    v, w, both = words[inside], words[inside + 1], known[inside] & known[inside + 1]
+    gram = np.empty(len(inside), np.int64)
+    gram[both] = v[both] << BITS | w[both]
+    gram[~both] = pair_hashes(v[~both], w[~both])
+    return gram, both, text[inside], v, w
 
 
 def _gram_counts(shared) -> Callable:
+    """Distinct bigrams with their words and counts, HELD or more at a time; 0 and 0 for words of the head, which the bigram itself tells."""
+
+    def out(pairs: list[np.ndarray], others: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, n = np.unique(np.concatenate(pairs), return_counts=True)
+        mixed, v, w = (np.concatenate(x) for x in zip(*others, strict=True))
+        found, at, times = np.unique(mixed, return_index=True, return_counts=True)
+        none = np.zeros(len(gram), np.int64)
+        columns = ((gram, found), (none, v[at]), (none, w[at]), (n, times))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["gram", "v", "w", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted("gram", (grams(*numbered(b.column(0), shared.value[0]))[0] for b in batches))
+        pairs: list[np.ndarray] = []
+        others: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for b in batches:
+            gram, both, _, v, w = grams(*numbered(b.column(0), shared.value[0]))
+            pairs.append(gram[both])
+            others.append((gram[~both], v[~both], w[~both]))
+            size += len(gram)
+            if size > HELD:
+                yield out(pairs, others)
+                pairs, others, size = [], [], 0
+        if pairs:
+            yield out(pairs, others)
 
     return run
 
@@ -135,8 +172,8 @@ def _gram_counts(shared) -> Callable:
 class CountTables:
     """Unigram and bigram counts over all rows of a corpus, as tables in the shared folder, partitioned by hash.
 
-    The vocabulary and the bigrams with a share of 1 / PARTS or more have at most PARTS rows each at any size of the corpus, so they
-    may be sent to every worker.
+    words: word and n of those that are not in the head; bigrams: gram, v, w and n of those seen MIN_COUNT times or more.
+    The head of either has at most PARTS rows at any size of the corpus, so it may be sent to every worker.
     """
 
     def __init__(self, corpus: DataFrame):
@@ -146,73 +183,92 @@ class CountTables:
             words = texts.mapInArrow(_word_counts, "word long, n long")
             counts = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
             self.total = counts.agg(F.sum("n")).first()[0] or 0
-            vocabulary = counts.filter(F.col("n") * PARTS >= self.total).toArrow()
-            hashes, n = (vocabulary.column(c).to_numpy() for c in ("word", "n"))
+            head = counts.filter(F.col("n") * PARTS >= self.total).toArrow()
+            self.words = counts.filter(F.col("n") * PARTS < self.total)
+            hashes, n = (head.column(c).to_numpy() for c in ("word", "n"))
             order = np.argsort(hashes)
-            unknown = max(1, self.total - int(n.sum()))
-            #: sorted hashes; counts by number
-            self.vocabulary = hashes[order], np.concatenate([[unknown], n[order]]).astype(np.int64)
-            self.shared = spark.sparkContext.broadcast(self.vocabulary)
-            found = texts.mapInArrow(_gram_counts(self.shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            #: sorted hashes; counts by number, 1 for a word that the corpus does not have
+            self.head = hashes[order], np.concatenate([[1], n[order]]).astype(np.int64)
+            self.shared = spark.sparkContext.broadcast(self.head)
+            found = texts.mapInArrow(_gram_counts(self.shared), "gram long, v long, w long, n long").groupBy("gram", "v", "w").agg(F.sum("n").alias("n"))
             self.bigrams = stored(found.filter(F.col("n") >= MIN_COUNT), "bigrams")
 
 
-def _backoff(counts: np.ndarray, numbers: np.ndarray, total: int, alpha: float) -> np.ndarray:
-    """Micronats of the words by their unigrams; alpha 1 at the start of a text."""
-    scores = np.log(counts.astype(np.float64)) - np.log(float(total)) if alpha == 1 else np.log(alpha) + np.log(counts.astype(np.float64)) - np.log(float(total))
-    return micro(scores)[numbers]
-
+def _backoff(counts: np.ndarray, total: int, alpha: float) -> np.ndarray:
+    """Micronats of words by their counts; alpha 1 at the start of a text."""
+    return micro(np.log(counts.astype(np.float64)) - np.log(float(total)) if alpha == 1 else np.log(alpha) + np.log(counts.astype(np.float64)) - np.log(float(total)))
 
-def _relative(n: np.ndarray, counts: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Micronats of bigrams by their counts n."""
-    return micro(np.log(n.astype(np.float64)) - np.log(counts[gram >> BITS].astype(np.float64)))
 
-
-def _rows(doc_id: pa.Array, version: pa.Array, gram: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, version, gram, *[pa.array(x.astype(np.int64)) for x in numbers]], names=["doc_id", "version", "gram", "n", "starts", "s"])
+def _rows(doc_id: pa.Array, version: pa.Array, key: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, version, key, *[pa.array(x.astype(np.int64)) for x in numbers]], names=["doc_id", "version", "key", "n", "starts", "s"])
 
 
 def _document_sums(shared, frequent, total: int) -> Callable:
-    """Per row of docs one row with its words and the sum of all but the rarer bigrams' gains, and one for each distinct rarer bigram, n times in it."""
+    """Per row of docs one row with its words and a sum, and one for each word or bigram that may change it, n times in it or starts times at its start.
+
+    The sum holds the backoffs of the head's words, the gains of its bigrams, and other words as if the corpus did not have them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = shared.value
-        known, gains = frequent.value
-        every = np.arange(len(counts))
-        first, later = _backoff(counts, every, total, 1), _backoff(counts, every, total, ALPHA)
+        head, counts = shared.value
+        frequent_grams, gains = frequent.value
+        first, later = _backoff(counts, total, 1), _backoff(counts, total, ALPHA)
         for batch in batches:
             doc_id, version, texts = (batch.column(i) for i in range(3))
-            at, lengths = numbered(texts, vocabulary)
-            starts = (lengths > 0).astype(np.int64)
-            gram, text = grams(at, lengths)
-            # a batch has less than 2 ** (63 - 2 * BITS) texts
-            found, times = np.unique(text << 2 * BITS | gram, return_counts=True)
-            gram, text = found & ((1 << 2 * BITS) - 1), found >> 2 * BITS
-            place = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
-            here = known[place] == gram if len(known) else np.zeros(len(gram), bool)
+            words, known, lengths = numbered(texts, head)
+            full = lengths > 0
+            number = np.where(known, words, 0)
+            start = np.zeros(len(words), bool)
+            start[(np.cumsum(lengths) - lengths)[full]] = True
+            of = np.repeat(np.arange(len(lengths)), lengths)
             # whole numbers far below 2 ** 53: the sums are exact
-            value = later[gram & ((1 << BITS) - 1)] * times
-            value[here] += gains[place[here]] * times[here]
-            score = np.bincount(text, value, len(lengths)).astype(np.int64)
-            head = (np.cumsum(lengths) - lengths)[lengths > 0]
-            score[lengths > 0] += first[at[head]]
-            yield _rows(doc_id, version, pa.nulls(len(lengths), pa.int64()), lengths, starts, score)
-            rare = pa.array(text[~here])
-            zero = np.zeros(len(rare), np.int64)
-            yield _rows(doc_id.take(rare), version.take(rare), pa.array(gram[~here]), times[~here], zero, zero)
+            score = np.bincount(of, np.where(start, first[number], later[number]), len(lengths)).astype(np.int64)
+            gram, both, text, _, _ = grams(words, known, lengths)
+            # a batch has less than 2 ** (63 - 2 * BITS) texts
+            found, times = np.unique(text[both] << 2 * BITS | gram[both], return_counts=True)
+            pair, owner = found & ((1 << 2 * BITS) - 1), found >> 2 * BITS
+            place = np.minimum(np.searchsorted(frequent_grams, pair), max(0, len(frequent_grams) - 1))
+            here = frequent_grams[place] == pair if len(frequent_grams) else np.zeros(len(pair), bool)
+            score += np.bincount(owner[here], gains[place[here]] * times[here], len(lengths)).astype(np.int64)
+            yield _rows(doc_id, version, pa.nulls(len(lengths), pa.int64()), lengths, full, score)
+            # words outside the head and bigrams with one have a share under 1 / PARTS each, so they go as they come
+            at = pa.array(np.concatenate([owner[~here], text[~both], of[~known]]))
+            key = pa.array(np.concatenate([pair[~here], gram[~both], words[~known]]))
+            n = np.concatenate([times[~here], np.ones(np.count_nonzero(~both), np.int64), ~start[~known]])
+            starts = np.concatenate([np.zeros(len(n) - np.count_nonzero(~known), bool), start[~known]])
+            yield _rows(doc_id.take(at), version.take(at), key, n, starts, np.zeros(len(n)))
 
     return run
 
 
 def _gains(shared, total: int) -> Callable:
-    """What a bigram adds to the backoff that its second word has without it."""
+    """What a bigram adds to the backoff that its second word has without it; cv and cw are the counts of words outside the head."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value[1]
         for batch in batches:
-            gram, n = (batch.column(i).to_numpy() for i in range(2))
-            gain = _relative(n, counts, gram) - _backoff(counts, gram & ((1 << BITS) - 1), total, ALPHA)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(gain)], names=["gram", "gain"])
+            gram, v, w, n = (batch.column(i).to_numpy() for i in range(4))
+            both = (v == 0) & (w == 0)
+            v, w = np.where(both, gram >> BITS, v), np.where(both, gram & ((1 << BITS) - 1), w)
+            c = []
+            for word, outside in ((v, batch.column(4)), (w, batch.column(5))):
+                inside = np.asarray(outside.is_null())
+                c.append(np.where(inside, counts[np.where(inside, word, 0)], outside.fill_null(0).to_numpy()))
+            gain = micro(np.log(n.astype(np.float64)) - np.log(c[0].astype(np.float64))) - _backoff(c[1], total, ALPHA)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(gain), pa.array(np.zeros(len(gain), np.int64))], names=["key", "gain", "first"])
+
+    return run
+
+
+def _word_gains(total: int) -> Callable:
+    """What a word's count adds, later in a text and at its start, to a word that the corpus does not have."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.ones(1)
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            later, first = (_backoff(n, total, a) - _backoff(one, total, a) for a in (ALPHA, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(later), pa.array(first)], names=["key", "gain", "first"])
 
     return run
 
@@ -220,26 +276,36 @@ def _gains(shared, total: int) -> Callable:
 def scored(docs: DataFrame, model: CountTables) -> DataFrame:
     """doc_id, n_words and score (natural log, summed) of each distinct doc_id and text; 0 words and 0 for null or blank text.
 
-    Word w after v: c(vw) / c(v) if c(vw) >= MIN_COUNT, else ALPHA * c(w) / N; the first word c(w) / N. A word outside the
-    vocabulary counts as the unknown word; so does every word if the model's corpus was empty. doc_id is a whole number or null.
-    Bigrams with a share of 1 / PARTS or more, at most PARTS of them, are looked up where the words are; only the others, once a
-    document, are dealt out by hash to their counts, so a key that is dealt has few rows. Each of those starts as a backoff, and those
-    that are found add the difference. Identical rows (doc_id and text) are one; other columns are not read.
+    Word w after v: c(vw) / c(v) if c(vw) >= MIN_COUNT, else ALPHA * c(w) / N; the first word c(w) / N. A word that the model's corpus
+    does not have counts as seen once. doc_id is a whole number or null.
+    Words and bigrams with a share of 1 / PARTS or more, at most PARTS of each, are looked up where the words are; only the others
+    are dealt out by hash to their counts, so a key that is dealt has few rows. Those words start as if never seen and those
+    bigrams as a backoff, and those that are found add the difference. Identical rows (doc_id and text) are one; other columns are not read.
     """
     spark, total = model.spark, max(1, model.total)
-    heavy = model.bigrams.filter(F.col("n") * PARTS >= model.total)
-    light = model.bigrams.filter(F.col("n") * PARTS < model.total)
-    gains = lambda rows: rows.select("gram", "n").mapInArrow(_gains(model.shared, total), "gram long, gain long")
-    known = gains(heavy).toArrow()
-    gram, gain = (known.column(c).to_numpy() for c in ("gram", "gain"))
+    gain_type = "key long, gain long, first long"
+    of_head = F.col("n") * PARTS >= model.total
+    pairs = (F.col("v") == 0) & (F.col("w") == 0)
+    plain = lambda rows: rows.select("gram", "v", "w", "n", F.lit(None).cast("long").alias("cv"), F.lit(None).cast("long").alias("cw"))
+    known = plain(model.bigrams.filter(pairs & of_head)).mapInArrow(_gains(model.shared, total), gain_type).toArrow()
+    gram, gain = (known.column(c).to_numpy() for c in ("key", "gain"))
     order = np.argsort(gram)
     frequent = spark.sparkContext.broadcast((gram[order], gain[order]))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
     with arrow_rows(spark, BATCH):
-        parts = stored(rows.mapInArrow(_document_sums(model.shared, frequent, total), "doc_id long, version long, gram long, n long, starts long, s long"), "scored")
-    here = parts.filter("gram IS NULL").select("doc_id", "version", "n", "starts", "s")
-    there = parts.filter("gram IS NOT NULL").select("gram", "doc_id", "version", "n").join(gains(light), "gram")
-    there = there.select("doc_id", "version", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("starts"), (F.col("n") * F.col("gain")).alias("s"))
+        parts = stored(rows.mapInArrow(_document_sums(model.shared, frequent, total), "doc_id long, version long, key long, n long, starts long, s long"), "scored")
+    # a word of the head has no row among the others; its bigrams are dealt by their own hash
+    mixed = model.bigrams.filter(~pairs)
+    for word, count in (("v", "cv"), ("w", "cw")):
+        outside = model.words.select(F.col("word").alias("_word"), F.col("n").alias(count))
+        key = F.when(F.col(word).between(1, PARTS), F.col("gram")).otherwise(F.col(word))
+        mixed = mixed.withColumn("_key", key).join(outside, F.col("_key") == F.col("_word"), "left").drop("_key", "_word")
+    light = plain(model.bigrams.filter(pairs & ~of_head)).union(mixed.select("gram", "v", "w", "n", "cv", "cw"))
+    gains = light.mapInArrow(_gains(model.shared, total), gain_type).union(model.words.filter("n > 1").select("word", "n").mapInArrow(_word_gains(total), gain_type))
+    here = parts.filter("key IS NULL").select("doc_id", "version", "n", "starts", "s")
+    there = parts.filter("key IS NOT NULL").select("key", "doc_id", "version", "n", "starts").join(gains, "key")
+    zero = F.lit(0).cast("long")
+    there = there.select("doc_id", "version", zero.alias("n"), zero.alias("starts"), (F.col("n") * F.col("gain") + F.col("starts") * F.col("first")).alias("s"))
     sums = here.union(there).groupBy("doc_id", "version").agg(*[F.sum(c).alias(c) for c in ("n", "starts", "s")])
     copies = F.greatest(F.col("starts"), F.lit(1))
     return sums.select("doc_id", F.expr("n div greatest(starts, 1)").alias("n_words"), F.round(F.col("s") / copies / SCALE, 6).alias("score"))
