@@ -94,6 +94,27 @@ def test_fuzzy_lines_match_brute_force(spark):
     assert kept >= want and len(kept - want) <= 0.05 * (len(lines) - len(want))
 
 
+def test_lines_at_the_threshold_are_found_at_all_lengths(spark):
+    rng, pairs = random.Random(8), []
+    letters = "abcdefghijklmnopqrstuvwxyzé "
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    while len(pairs) < 800:
+        n = rng.choice([24, 40, 70, 95, 130, 200, 350, 700])
+        a = "x" + "".join(rng.choice(letters) for _ in range(n - 2)) + "x"
+        b = list(a)
+        for p in rng.sample(range(1, n - 1), rng.randint(1, max(1, n // 40))):
+            b[p] = rng.choice(letters)
+        if rng.random() < 0.3:
+            b = list(a)[: int(n * rng.uniform(0.78, 0.88))] + ["x"]
+        b = "".join(b)
+        x, y = grams(a), grams(b)
+        if len(b) >= 24 and 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(x for pair in pairs for x in pair)], "doc_id long, text string")
+    dropped = {r.doc_id for r in line_dedup.deduplicated(docs).filter("n_dropped > 0").collect()}
+    assert dropped <= set(range(1, 1600, 2)) and len(dropped) >= 796
+
+
 def test_lines_of_odd_and_no_documents(spark, odd_docs, no_docs):
     assert line_dedup.deduplicated(odd_docs).count() == 11
     assert line_dedup.stage(spark, odd_docs, DIR).columns == odd_docs.columns
