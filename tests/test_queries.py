@@ -47,3 +47,24 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["uid", "aid", "s", "rn"]
+
+
+def test_profiles_add_all_pages_of_positive_score(spark):
+    from collections import defaultdict
+
+    from tributary.plans.dialect import Query, run
+
+    pages = run(Query("SELECT uid, aid, score, last_id FROM page_score WHERE score > 0"), spark, DIR).collect()
+    vectors, lists, want = defaultdict(list), defaultdict(list), defaultdict(float)
+    for r in run(Query("SELECT aid, term, x FROM vec"), spark, DIR).collect():
+        vectors[r.aid].append((r.term, r.x))
+    for r in pages:
+        lists[r.uid].append((-r.score, -r.last_id, r.aid is not None, r.aid))
+    assert max(map(len, lists.values())) > 10
+    for uid, rows in lists.items():
+        for i, row in enumerate(sorted(rows, key=lambda x: x[:3])):
+            for term, x in vectors[row[3]]:
+                want[uid, term] += x / (1 + math.log(i + 1))
+    got = {(r.uid, r.term): r.w1 for r in registry.queries()["profile_from_history"](spark, DIR).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)

@@ -44,7 +44,7 @@ VIEWS = {
         + coalesce(@LAST(CASE WHEN kind IN ('signup', 'error') THEN op END, CASE WHEN kind IN ('signup', 'error') THEN id END), 0)
         + coalesce(max(CASE WHEN kind IN ('view', 'click') THEN op END), 0) AS score, max(id) AS last_id FROM act GROUP BY uid, aid""",
     "ranked_page": "SELECT uid, aid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, last_id DESC, aid) AS rn FROM page_score WHERE score > 0",
-    "profile": """SELECT uid, v.term, sum(x / (1 + ln(rn))) AS w1 FROM ranked_page r JOIN vec v ON r.aid = v.aid WHERE rn <= 10 GROUP BY uid, v.term""",
+    "profile": """SELECT uid, v.term, sum(x / (1 + ln(rn))) AS w1 FROM ranked_page r JOIN vec v ON r.aid = v.aid GROUP BY uid, v.term""",
 }
 
 
