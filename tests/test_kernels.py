@@ -55,3 +55,16 @@ def test_index_exceeds_mean_and_grows_with_patience():
 def test_greedy_utility_prefers_new_terms():
     terms = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 0.9]])
     assert k.greedy_utility(np.zeros(3), terms, np.ones(2)) == [0, 2, 1]
+
+
+def test_arms_keep_large_counts(spark, tmp_path):
+    rows = [(1, "purchase", 60), (1, "error", 70), (2, "purchase", 450), (2, "error", 200)]
+    rows = [(aid, kind) for aid, kind, n in rows for _ in range(n)]
+    events = spark.createDataFrame([(i, 1, f'{{"k": {aid}}}', kind) for i, (aid, kind) in enumerate(rows)], "event_id long, user_id long, props string, event_type string")
+    events.selectExpr("*", "TIMESTAMP '2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.alpha, r.beta): r for r in k.arm_indices(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(61, 71), (451, 201)}
+    for (a, b), r in got.items():
+        assert r["mean"] == pytest.approx(a / (a + b))
+        assert r.nu == pytest.approx(k.index_of(a, b, 0.9, 1000), abs=2e-5)
+        assert r.mu_star == pytest.approx(k.stopping_mean(a, b, 0.9, 0.5, 1000), abs=2e-5)

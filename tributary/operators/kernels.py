@@ -113,6 +113,10 @@ def greedy_utility(linear: np.ndarray, terms: np.ndarray, signs: np.ndarray, mos
     return out
 
 
+#: Steps of the backward induction, as in Mu.java.
+HORIZON = 1000
+
+
 def optimal_stopping(alpha: float, beta: float, gamma_: float, cost: float, horizon: int) -> float:
     """Value of going on from Beta(alpha, beta) at the given cost a step, by backward induction over the successes so far."""
     i = np.arange(horizon + 1)
@@ -218,15 +222,15 @@ def feedback_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arm_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index, stopping mean and exploitation score of every distinct pair of counts; the counts are few, whatever the number of articles."""
-    arms = dialect.run(dialect.Query("SELECT DISTINCT least(1 + up, 50) AS alpha, least(1 + down, 50) AS beta FROM (SELECT aid, sum(CASE WHEN op >= 100 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN op < 0 THEN 1 ELSE 0 END) AS down FROM act GROUP BY aid) x"), spark, sf_dir)
+    """Index, stopping mean and mean of every distinct pair of counts, each solved by itself over the reference's horizon."""
+    arms = dialect.run(dialect.Query("SELECT DISTINCT 1 + up AS alpha, 1 + down AS beta FROM (SELECT aid, sum(CASE WHEN op >= 100 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN op < 0 THEN 1 ELSE 0 END) AS down FROM act GROUP BY aid) x"), spark, sf_dir)
 
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for b in batches:
             pairs = list(zip(b.alpha, b.beta, strict=True))
-            yield pd.DataFrame({"alpha": b.alpha.astype("int64"), "beta": b.beta.astype("int64"), "mean": [x / (x + y) for x, y in pairs], "nu": [round(index_of(x, y, 0.9, 100, 20), 5) for x, y in pairs], "mu_star": [round(stopping_mean(x, y, 0.9, 0.5, 100), 5) for x, y in pairs]})
+            yield pd.DataFrame({"alpha": b.alpha.astype("int64"), "beta": b.beta.astype("int64"), "mean": [x / (x + y) for x, y in pairs], "nu": [round(index_of(x, y, 0.9, HORIZON), 5) for x, y in pairs], "mu_star": [round(stopping_mean(x, y, 0.9, 0.5, HORIZON), 5) for x, y in pairs]})
 
-    return arms.select(F.col("alpha").cast("long"), F.col("beta").cast("long")).mapInPandas(solve, "alpha long, beta long, mean double, nu double, mu_star double")
+    return arms.select(F.col("alpha").cast("long"), F.col("beta").cast("long")).repartition("alpha", "beta").mapInPandas(solve, "alpha long, beta long, mean double, nu double, mu_star double")
 
 
 def kalman_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
