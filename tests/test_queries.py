@@ -68,3 +68,40 @@ def test_profiles_add_all_pages_of_positive_score(spark):
     got = {(r.uid, r.term): r.w1 for r in registry.queries()["profile_from_history"](spark, DIR).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_coaccess_union_and_provenance_take_every_key(spark):
+    from collections import Counter, defaultdict
+
+    from tributary.plans.dialect import Query, run
+
+    rows = lambda name: registry.queries()[name](spark, DIR).collect()
+    acts = run(Query("SELECT id, uid, sid, aid, w FROM act"), spark, DIR).collect()
+    best, newest = defaultdict(dict), {}
+    for r in acts:
+        newest[r.uid, r.aid] = max(r.id, newest.get((r.uid, r.aid), r.id))
+        if r.w > 0:
+            best[r.sid][r.aid] = max(r.w, best[r.sid].get(r.aid, 0))
+    local, total = Counter(), Counter()
+    for s in best.values():
+        for a, w in s.items():
+            total[a] += w
+            for b, x in s.items():
+                if a is not None and b is not None and a != b:
+                    local[a, b] += w * x
+    assert {(r.a0, r.aid): r.score for r in rows("coaccess_local")} == local
+    want = {(a, b): n + local[a, b] for a in total if a is not None for b, n in total.items()}
+    assert {(r.a0, r.aid): r.score for r in rows("coaccess_combined")} == want
+    users = {u for u, _ in newest}
+    want = dict(newest)
+    for (u, a), i in newest.items():
+        if u - 1 in users:
+            want[u - 1, a] = max(i, want.get((u - 1, a), i))
+    assert {(r.uid, r.aid): r.id for r in rows("union_newer")} == want
+    ranks = {(r.uid, r.aid): r.rn for r in run(Query("SELECT uid, aid, rn FROM ranked_page WHERE aid IS NOT NULL"), spark, DIR).collect()}
+    listed = {u for u, _ in ranks}
+    keys = ranks.keys() | {(u - 1, a) for u, a in ranks if u - 1 in listed}
+    got = {(r.uid, r.aid): (r.arank, r.brank) for r in rows("provenance_ranks") if r.aid is not None}
+    assert got == {(u, a): (ranks.get((u, a), 0), ranks.get((u + 1, a), 0)) for u, a in keys}
+    assert min(r.score for r in rows("coaccess_sum_of_max")) < 5
+    assert all(0 < min(r.s for r in rows(name)) < 1 for name in ("profile_linear_score", "profile_log_score"))

@@ -46,17 +46,17 @@ QUERIES = {
     # joins and sets
     "left_join_default": Query("SELECT r.aid, coalesce(n, 0) AS n FROM article r LEFT JOIN (SELECT aid, count(*) AS n FROM act GROUP BY aid) x ON r.aid = x.aid"),
     "coaccess_sum_of_max": Query(
-        "SELECT a.aid AS a0, b.aid AS a1, CAST(sum(a.w * b.w) AS BIGINT) AS score FROM s a JOIN s b ON a.sid = b.sid AND a.aid <> b.aid GROUP BY a.aid, b.aid HAVING sum(a.w * b.w) >= 5",
+        "SELECT a.aid AS a0, b.aid AS a1, CAST(sum(a.w * b.w) AS BIGINT) AS score FROM s a JOIN s b ON a.sid = b.sid AND a.aid <> b.aid GROUP BY a.aid, b.aid",
         "s AS (SELECT sid, aid, max(w) AS w FROM act WHERE w > 0 AND t > @NOW - INTERVAL '365' DAY GROUP BY sid, aid)",
     ),
     "coaccess_local": Query(
-        "SELECT b.aid, CAST(sum(a.w * b.w) AS BIGINT) AS score FROM s a JOIN s b ON a.sid = b.sid WHERE a.aid = 5 AND b.aid <> 5 GROUP BY b.aid ORDER BY score DESC, b.aid LIMIT 20",
-        "s AS (SELECT sid, aid, max(w) AS w FROM act WHERE w > 0 AND uid <> 1 GROUP BY sid, aid)",
+        "SELECT a.aid AS a0, b.aid, CAST(sum(a.w * b.w) AS BIGINT) AS score FROM s a JOIN s b ON a.sid = b.sid AND a.aid <> b.aid GROUP BY a.aid, b.aid",
+        "s AS (SELECT sid, aid, max(w) AS w FROM act WHERE w > 0 GROUP BY sid, aid)",
     ),
     "coaccess_combined": Query(
-        "SELECT aid, CAST(sum(score) AS BIGINT) AS score FROM (SELECT * FROM g UNION ALL SELECT * FROM l) x GROUP BY aid",
+        "SELECT o.aid AS a0, g.aid, CAST(g.score + coalesce(l.score, 0) AS BIGINT) AS score FROM (SELECT aid FROM g WHERE aid IS NOT NULL) o CROSS JOIN g LEFT JOIN l ON l.a0 = o.aid AND l.aid = g.aid",
         """s AS (SELECT sid, aid, max(w) AS w FROM act WHERE w > 0 GROUP BY sid, aid), g AS (SELECT aid, sum(w) AS score FROM s GROUP BY aid),
-        l AS (SELECT b.aid, sum(a.w * b.w) AS score FROM s a JOIN s b ON a.sid = b.sid WHERE a.aid = 5 AND b.aid <> 5 GROUP BY b.aid)""",
+        l AS (SELECT a.aid AS a0, b.aid, sum(a.w * b.w) AS score FROM s a JOIN s b ON a.sid = b.sid AND a.aid <> b.aid GROUP BY a.aid, b.aid)""",
     ),
     "exclusions": Query("SELECT aid FROM article r WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.aid = r.aid AND a.op < 0)"),
     "unseen_articles": Query("SELECT aid FROM article EXCEPT SELECT aid FROM act"),
@@ -67,8 +67,8 @@ QUERIES = {
     ),
     "as_of_latest_window": Query("SELECT id, max(CASE WHEN kind = 'purchase' THEN id END) OVER (PARTITION BY uid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_id FROM act"),
     "union_newer": Query(
-        "SELECT aid, max(id) AS id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x GROUP BY aid",
-        "a AS (SELECT aid, max(id) AS id FROM act WHERE uid = 1 GROUP BY aid), b AS (SELECT aid, max(id) AS id FROM act WHERE uid = 2 GROUP BY aid)",
+        "SELECT uid, aid, max(id) AS id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x GROUP BY uid, aid",
+        "a AS (SELECT uid, aid, max(id) AS id FROM act GROUP BY uid, aid), b AS (SELECT uid - 1 AS uid, aid, id FROM a WHERE uid - 1 IN (SELECT uid FROM a))",
     ),
     "front_then_rest": Query(
         "SELECT x.uid, x.aid, min(p) AS p FROM (SELECT uid, aid, 0 AS p FROM f UNION ALL SELECT uid, aid, 1 AS p FROM s) x WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.uid = x.uid AND n.aid = x.aid) GROUP BY x.uid, x.aid",
@@ -111,8 +111,8 @@ QUERIES = {
         "SELECT aid, n_lists, best, total FROM (SELECT aid, count(*) AS n_lists, min(rn) AS best, CAST(sum(score) AS BIGINT) AS total FROM ranked_page WHERE rn <= 100 GROUP BY aid) x ORDER BY best, n_lists DESC, total DESC, aid LIMIT 20"
     ),
     "provenance_ranks": Query(
-        "SELECT coalesce(a.aid, b.aid) AS aid, coalesce(a.rn, 0) AS arank, coalesce(b.rn, 0) AS brank FROM a FULL OUTER JOIN b ON a.aid = b.aid",
-        "a AS (SELECT aid, rn FROM ranked_page WHERE uid = 1), b AS (SELECT aid, rn FROM ranked_page WHERE uid = 2)",
+        "SELECT coalesce(a.uid, b.uid) AS uid, coalesce(a.aid, b.aid) AS aid, coalesce(a.rn, 0) AS arank, coalesce(b.rn, 0) AS brank FROM a FULL OUTER JOIN b ON a.uid = b.uid AND a.aid = b.aid",
+        "a AS (SELECT uid, aid, rn FROM ranked_page), b AS (SELECT uid - 1 AS uid, aid, rn FROM ranked_page WHERE uid - 1 IN (SELECT uid FROM ranked_page))",
     ),
     "category_then_date": Query(
         "SELECT aid, round((CASE WHEN major = 'en' THEN 1 ELSE 0 END) + (CASE WHEN cat = 'en.src1' THEN 1 ELSE 0 END) - CAST(age AS DOUBLE) / 7300, 8) AS score FROM (SELECT aid, major, cat, aid % 3650 AS age FROM article) x"
