@@ -115,6 +115,12 @@ def test_lines_at_the_threshold_are_found_at_all_lengths(spark):
     assert dropped <= set(range(1, 1600, 2)) and len(dropped) >= 796
 
 
+def test_equal_short_lines_drop_and_blank_lines_stay(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\n\nx"), (2, " All rights reserved. \n\ny"), (3, "All rights reserved!\nx")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    assert got == {1: "All rights reserved.\n\nx", 2: "\ny", 3: "All rights reserved!"}
+
+
 def test_lines_of_odd_and_no_documents(spark, odd_docs, no_docs):
     assert line_dedup.deduplicated(odd_docs).count() == 11
     assert line_dedup.stage(spark, odd_docs, DIR).columns == odd_docs.columns

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tributary.llm.common import SPACE, arrow_rows, drop_stored, let, small, stored, table
 from tributary.llm.components import components, dealt_pairs
 
-#: Lines with fewer characters carry too little evidence and always stay.
+#: Lines with fewer characters are compared for equality only.
 MIN_CHARS = 24
 #: Two lines are linked if 100 * intersection >= PERCENT * union of their sets of shingles of K characters.
 K, PERCENT = 5, 80
@@ -70,12 +70,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """rows of lines() with keys in place of line."""
+    """rows of lines() with keys in place of line; null for lines under MIN_CHARS."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(batch.column(3).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+            every = batch.column(3).to_pylist()
+            long = np.fromiter((len(x) >= MIN_CHARS for x in every), bool, len(every))
+            keys = band_keys([x for x, y in zip(every, long, strict=True) if y])
+            ends = np.concatenate([[0], np.cumsum(long) * BANDS])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~long, False)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), lists], names=["doc_id", "version", "place", "hash", "keys"])
 
     return rows.select("doc_id", "version", "place", "line", "hash").mapInArrow(run, "doc_id long, version long, place int, hash long, keys array<long>")
@@ -87,12 +90,12 @@ def shingle_set(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (of the text), place from 0, line (trimmed) and its 64-bit hash, of every line of MIN_CHARS or more."""
+    """doc_id, version (of the text), place from 0, line (trimmed) and its 64-bit hash, of every line that is not blank."""
     text = F.coalesce("text", F.lit(""))
     return (
         docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
         .select("doc_id", "version", "place", F.btrim("raw", F.lit(SPACE)).alias("line"))
-        .filter(F.length("line") >= MIN_CHARS)
+        .filter("line <> ''")
         .withColumn("hash", F.xxhash64("line"))
     )
 
