@@ -256,6 +256,17 @@ def test_extraction_of_odd_pages(spark):
 
 
 # 8
+def test_one_id_with_two_texts_links_to_the_copies_of_both(spark):
+    a, b, c = prose(41, 100), prose(42, 100), prose(43, 100)
+    near = lambda x: x.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, b), (1, ""), (2, near(a)), (3, near(b)), (4, c), (5, near(c)), (6, prose(44, 100)), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (7, 1), (4, 4), (5, 4), (6, 6)}
+    assert all(r.kept == (r.doc_id in (1, 4, 6)) for r in got)
+
+
 def shingle_set(text):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in ws(text)]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

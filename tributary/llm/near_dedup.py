@@ -94,7 +94,7 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, hi, lo (128-bit hash of the shingle set) and bands of every row; bands is empty without words."""
+    """doc_id, version (of the text), n_shingles, hi, lo (128-bit hash of the shingle set) and bands of every row; bands is empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -109,11 +109,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                     hi.append((whole >> 64) - 2**63)
                     lo.append((whole & (2**64 - 1)) - 2**63)
                     bands.append(band_keys(sketch(s)) if len(s) else [])
-            arrays = [batch.column(0), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "hi", "lo", "bands"])
+            arrays = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "n_shingles", "hi", "lo", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("version")).mapInArrow(
+        run, "doc_id long, version long, n_shingles long, hi long, lo long, bands array<long>"
     )
 
 
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text; other columns are not read).
 
-    Equal sets are one class with the least doc_id as representative; the rest works on representatives. Those that share a
+    Equal sets are one class, which goes by a hash of the set (doc from here on) and has one text; the rest works on classes. Those that share a
     band meet in a bucket: first each is verified against the bucket's least member, then, where members of the bucket still
     belong to different components, in DEALS rounds against others drawn at random; last, whoever is outside its bucket's first
     component is compared with all members of other components. Pairs inside a component need no test, so a large group of copies costs
@@ -195,17 +195,16 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     one document; they link to all that any of them links to.
     """
     found = stored(signatures(docs), "signatures")
-    real = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    real = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("doc", F.xxhash64("hi", "lo"))
     classes = stored(
-        real.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes"
+        real.groupBy("doc").agg(F.min(F.struct("doc_id", "version")).alias("text_of"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     entries = classes.select("doc", F.explode("bands").alias("bucket"))
     hubs = stored(entries.groupBy("bucket").agg(F.min("doc").alias("low"), F.count("*").alias("size")).filter("size > 1").select("bucket", "low"), "hubs")
     members = stored(entries.join(small(hubs), "bucket"), "members")
-    ids = stored(members.select(F.col("doc").alias("doc_id")).distinct(), "ids")
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
-    )
+    ids = stored(classes.join(small(stored(members.select("doc").distinct(), "met")), "doc", "left_semi").select("doc", "text_of.doc_id", "text_of.version"), "ids")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("version", F.xxhash64("text"))
+    texts = stored(rows.join(small(ids), ["doc_id", "version"]).select(F.col("doc").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     pairs = members.filter("doc > low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
     tested = stored(verified(pairs, texts), "tested")
     links = stored(tested.filter("linked").select("a", "b"), "links")
@@ -222,9 +221,15 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             found_now = _links_across(rest, texts).distinct()
         links = stored(links.union(found_now), "links")
-    copies = real.join(small(stored(classes.filter("n > 1").select("hi", "lo", "doc"), "copies")), ["hi", "lo"]).filter("doc_id <> doc")
-    links = links.union(copies.select(F.col("doc").alias("a"), F.col("doc_id").alias("b")))
-    roots = small(stored(components(links, "a", "b").select(F.col("node").alias("doc_id"), "root"), "roots"))
+    several = real.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("doc_id", "a")
+    same = real.select("doc_id", F.col("doc").alias("b")).join(small(stored(several, "several")), "doc_id").filter("a <> b").select("a", "b").distinct()
+    links = links.union(same)
+    joined = stored(components(links, "a", "b").select(F.col("node").alias("doc"), F.col("root").alias("comp")), "joined")
+    first = classes.filter("n > 1").select("doc", "text_of.doc_id").join(small(joined), "doc", "left_anti").select("doc", F.col("doc_id").alias("root"))
+    placed = stored(classes.select("doc", "text_of.doc_id").join(small(joined), "doc"), "placed")
+    least = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("root")), "least")
+    answers = stored(placed.join(small(least), "comp").select("doc", "root").union(first), "answers")
+    roots = small(stored(real.select("doc_id", "doc").join(small(answers), "doc").select("doc_id", "root").distinct(), "roots"))
     return (
         found.select("doc_id", "n_shingles")
         .join(roots, "doc_id", "left")
