@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import drop_stored, stored
+from tributary.llm.common import drop_stored, small, stored
 
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each node above its root points to exactly one node, and roots to none: the fixed point."""
-    doubled = edges.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if doubled:
-        return False
-    return edges.select(F.col("u").alias("v")).join(edges.select("v"), "v", "left_semi").limit(1).count() == 0
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("u", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0").limit(1).count()
+
+
+def _joined(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows with the m of their v. least is a table, so that the join deals both sides out anew and AQE can split a hub's rows; a small one is broadcast."""
+    return rows.join(small(least), "v")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-    return both.join(least, "v").filter("u > v AND u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+    least = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), "least")
+    out = stored(_joined(both, least).filter("u > v AND u > m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "large")
+    drop_stored(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = edges.join(least, "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-    return moved.union(least.select("v", F.col("m").alias("u"))).distinct()
+    least = stored(edges.groupBy("v").agg(F.min("u").alias("m")), "least")
+    moved = _joined(edges, least).filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+    out = stored(moved.union(least.select("v", F.col("m").alias("u"))).distinct(), "small")
+    drop_stored(least)
+    return out
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has a link to another; root is the smallest node that it reaches.
 
     Nodes are longs. Null ends and self-links join nothing; repeated links count once; no links give no
-    rows. Every round reads and writes tables in the shared folder, and a hub of any degree is spread
-    by the skew join. Rounds grow with the logarithm of the longest chain; running out of them raises.
+    rows. Every round reads and writes tables in the shared folder; no join hangs on the partitioning of an aggregate, so the skew join
+    can spread a hub of any degree. Rounds grow with the logarithm of the longest chain; running out of them raises.
     """
     edges = stored(
         links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct(),
@@ -44,9 +51,9 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
                 edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
             )
-        grown = stored(_large_star(edges).distinct(), "large")
+        grown = _large_star(edges)
         drop_stored(edges)
-        edges = stored(_small_star(grown), "small")
+        edges = _small_star(grown)
         drop_stored(grown)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 

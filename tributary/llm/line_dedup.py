@@ -1,4 +1,7 @@
-"""Operator 2, line dedup: MinHash over character shingles, banding, exact Jaccard, distributed union-find; one line stays of each component."""
+"""Operator 2, line dedup: MinHash over character shingles, banding, exact Jaccard, distributed union-find; one line stays of each component.
+
+Signatures and the grouping of band keys are numpy in Python workers: the same rules in DataFrame functions took 731 CPU seconds a GB, see README.
+"""
 
 from __future__ import annotations
 
@@ -6,61 +9,69 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import SPACE, arrow_rows, drop_stored, let, small, stored, table
 from tributary.llm.components import components, dealt_pairs
 
-#: Lines with fewer characters are compared for equality only.
-MIN_CHARS = 24
-#: Two lines are linked if 100 * intersection >= PERCENT * union of their sets of shingles of K characters.
+#: Two lines are linked if 100 * intersection >= PERCENT * union of their sets of shingles of K characters; a shorter line equals itself only.
 K, PERCENT = 5, 80
-#: MinHash of BANDS * ROWS functions over the shingles of K characters; at a similarity of 0.8 all bands miss a pair with a chance of (1 - 0.8**4)**14 < 0.0007.
-BANDS, ROWS = 14, 4
-#: Lines that share a band are compared in full if this many of their 16 least shingle hashes agree. At PERCENT fewer do with a chance
-#: of 0.0003 at most, where all that differs is in one line.
+#: MinHash of FUNCTIONS over the shingles, dealt into BANDS of ROWS so that each is in two or three bands. By simulation all bands miss a
+#: pair with a chance of 0.005 at a similarity of 0.80, 0.002 at 0.82 and 0.0004 at 0.85.
+FUNCTIONS, BANDS, ROWS = 60, 24, 6
+#: Texts in one Arrow batch, characters hashed at once (a longer line is one lot), and band keys that a worker holds before it hands them
+#: on. They bound memory, not results.
+BATCH, LOT, HELD = 500, 1 << 16, 1 << 20
+#: Rounds of random pairing in buckets of several components.
+DEALS = 2
+#: In the last comparison lines go by full sets if this many of their SCREEN least shingle hashes agree. At PERCENT fewer do with a chance of 0.0003 at most.
 SCREEN, AGREE = 16, 7
-#: Lines in one Arrow batch, and characters that are hashed at once (a longer line is one lot); they bound memory, not results.
-BATCH, LOT = 2000, 1 << 16
 _RANDOM = np.random.default_rng(2)
-_XOR, _TIMES = (_RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32) for _ in range(2))
+_XOR, _TIMES = (_RANDOM.integers(0, 1 << 32, FUNCTIONS, np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
-#: Rounds of random pairing in buckets of several components.
-DEALS = 2
+_DEALT = np.concatenate([_RANDOM.permutation(FUNCTIONS) for _ in range(-(-BANDS * ROWS // FUNCTIONS))])[: BANDS * ROWS].reshape(BANDS, ROWS)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def any_windows(line: Column, n: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def _joined(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lines that follow one another with a character between them, where each starts, and lengths."""
+    chars = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    return chars, np.cumsum(lengths + 1) - lengths - 1, lengths
 
 
 def _lot_keys(lines: list[str]) -> np.ndarray:
-    chars = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(lengths + 1) - lengths - 1
+    chars, start, lengths = _joined(lines)
     n = len(chars) - K + 1
     x = np.zeros(n + 1, np.uint32)
-    with np.errstate(over="ignore"):
-        for k in range(K):
-            x[:n] = (x[:n] ^ chars[k : n + k]) * np.uint32(0x9E3779B1)
-            x ^= x >> np.uint32(15)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        # a line's shingles, then those that reach into the next line
-        at = np.stack([start, start + lengths - K + 1], 1).ravel()
-        out = np.empty((len(lines), BANDS), np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(lines), band + 1, np.uint64)
-            for i in range(band * ROWS, (band + 1) * ROWS):
-                key = (key ^ np.minimum.reduceat((x ^ _XOR[i]) * _TIMES[i], at)[::2]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            out[:, band] = key
-    return out.view(np.int64)
+    for k in range(K):
+        x[:n] = (x[:n] ^ chars[k : n + k]) * np.uint32(0x9E3779B1)
+        x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    # a line's shingles, then those that reach into the next line
+    at = np.stack([start, start + lengths - K + 1], 1).ravel()
+    least = np.empty((FUNCTIONS, len(lines)), np.uint32)
+    y = np.empty_like(x)
+    for i in range(FUNCTIONS):
+        np.bitwise_xor(x, _XOR[i], out=y)
+        np.multiply(y, _TIMES[i], out=y)
+        least[i] = np.minimum.reduceat(y, at)[::2]
+    out = np.empty((len(lines), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(lines), band + 1, np.uint64)
+        for i in _DEALT[band]:
+            key = (key ^ least[i]) * _MIX
+            key ^= key >> np.uint64(29)
+        out[:, band] = key * _MIX
+    return out
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """BANDS keys of each line of K characters or more; no line holds a line feed."""
-    out, i = [np.empty((0, BANDS), np.int64)], 0
+    out, i = [np.empty((0, BANDS), np.uint64)], 0
     ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
     while i < len(lines):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LOT, "right")))
@@ -69,89 +80,167 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """rows of lines() with keys in place of line; null for lines under MIN_CHARS."""
+def line_hash(line: str) -> int:
+    """What xxhash64() of Spark gives, as an unsigned number."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+
+
+def _entries(parts: int):
+    """Of texts: band keys and hashes of their lines, grouped by key within a worker, in one row for each of so many parts of the keys.
+
+    A group sends on its least line only (with a flag if it has more), the others come out as members with that as their hub, dealt by
+    their own hash: a key that many lines share takes one entry from each lot of HELD.
+    """
+    step = np.uint64(((1 << 64) - 1) // parts + 1 if parts > 1 else (1 << 64) - 1)
+
+    def out(keys: list[np.ndarray], lines: list[np.ndarray]) -> pa.RecordBatch:
+        k, h = np.concatenate(keys), np.concatenate(lines)
+        order = np.argsort(k)
+        k, h = k[order], h[order]
+        new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(new, len(k)))
+        hub = np.minimum.reduceat(h, new)
+        every = np.repeat(hub, size)
+        other = np.flatnonzero(h != every)
+        several = np.zeros(len(new), bool)
+        several[np.searchsorted(new, other, "right") - 1] = True
+        rows = []
+        cuts = np.searchsorted(k[new], np.arange(1, parts, dtype=np.uint64) * step) if parts > 1 else []
+        for part, (a, b, c) in enumerate(zip(np.split(k[new], cuts), np.split(hub, cuts), np.split(several, cuts), strict=True)):
+            if len(a):
+                rows.append((part, a.tobytes(), b.tobytes(), b"", c.tobytes()))
+        where = np.minimum(h[other].view(np.uint64) // step, np.uint64(parts - 1))
+        for part in np.unique(where):
+            here = other[where == part]
+            rows.append((int(part), k[here].tobytes(), h[here].tobytes(), every[here].tobytes(), b""))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "keys", "lines", "hubs", "several"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        lines: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            every = batch.column(3).to_pylist()
-            long = np.fromiter((len(x) >= MIN_CHARS for x in every), bool, len(every))
-            keys = band_keys([x for x, y in zip(every, long, strict=True) if y])
-            ends = np.concatenate([[0], np.cumsum(long) * BANDS])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~long, False)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), lists], names=["doc_id", "version", "place", "hash", "keys"])
+            found = dict.fromkeys(y for x in batch.column(0).to_pylist() if x for y in map(_trimmed, x.split("\n")) if len(y) >= K)
+            texts = list(found)
+            keys.append(band_keys(texts).ravel())
+            lines.append(np.repeat(np.fromiter(map(line_hash, texts), np.uint64, len(texts)).view(np.int64), BANDS))
+            size += len(keys[-1])
+            if size >= HELD:
+                yield out(keys, lines)
+                keys, lines, size = [], [], 0
+        if size:
+            yield out(keys, lines)
+
+    return run
+
+
+def _trimmed(line: str) -> str:
+    return line.strip(SPACE)
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one part of the keys: bucket, hash and hub of every line that shares its bucket with another."""
+    names = ["bucket", "hash", "hub"]
+    keys: list[np.ndarray] = [np.empty(0, np.uint64)]
+    lines: list[np.ndarray] = [np.empty(0, np.int64)]
+    several: list[np.ndarray] = [np.empty(0, bool)]
+    for batch in batches:
+        for k, h, hub, more in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            if hub:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (k, h, hub)], names=names)
+            else:
+                keys.append(np.frombuffer(k, np.uint64))
+                lines.append(np.frombuffer(h, np.int64))
+                several.append(np.frombuffer(more, bool))
+    k, h, more = map(np.concatenate, (keys, lines, several))
+    if not len(k):
+        return
+    order = np.argsort(k)
+    k, h, more = k[order], h[order], more[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(new, len(k)))
+    hub = np.minimum.reduceat(h, new)
+    kept = np.repeat((np.maximum.reduceat(h, new) != hub) | np.logical_or.reduceat(more, new), size)
+    k, h, hub = k[kept].view(np.int64), h[kept], np.repeat(hub, size)[kept]
+    for i in range(0, len(k), HELD):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HELD]) for x in (k, h, hub)], names=names)
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """bucket (one key of one band), hash (of a line) and hub (one line of the bucket) of all distinct lines that share a bucket with another."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("text").mapInArrow(_entries(parts), "part int, keys binary, lines binary, hubs binary, several binary")
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(_buckets, "bucket long, hash long, hub long")
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """doc_id, version (of the text), place from 0 and the hash of the trimmed line, of every line that is not blank."""
+    text = F.coalesce("text", F.lit(""))
+    hashes = F.transform(F.split(text, "\n"), lambda x: let(F.btrim(x, F.lit(SPACE)), lambda y: F.when(y != "", F.xxhash64(y))))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("version"), F.posexplode(hashes).alias("place", "hash")).filter("hash IS NOT NULL")
 
-    return rows.select("doc_id", "version", "place", "line", "hash").mapInArrow(run, "doc_id long, version long, place int, hash long, keys array<long>")
 
+def line_texts(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
+    """hash and line of the lines in ids, each read from one place of places()."""
+    at = found.join(small(ids), "hash", "left_semi").groupBy("hash").agg(*[F.first(c).alias(c) for c in ("doc_id", "version", "place")])
+    spots = at.groupBy("doc_id", "version").agg(F.collect_list(F.struct("hash", "place")).alias("spots"))
+    spots = stored(spots.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spots"), "spots")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("version"))
+    rows = rows.join(small(spots), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    lines = let(F.split("text", "\n"), lambda x: F.transform("spots", lambda s: F.struct(s["hash"].alias("hash"), F.btrim(F.get(x, s["place"]), F.lit(SPACE)).alias("line"))))
+    return rows.select(F.inline(lines)).groupBy("hash").agg(F.first("line").alias("line"))
 
-def shingle_set(line: Column) -> Column:
-    """Hashes of 32 bits of the line's shingles of K characters; two of a line agree by chance once in 2**32 pairs."""
-    return F.array_distinct(F.transform(any_windows(line, K), lambda w: F.hash(w)))
 
+def shingles(line: str) -> set[str]:
+    return {line[i : i + K] for i in range(len(line) - K + 1)}
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version (of the text), place from 0, line (trimmed) and its 64-bit hash, of every line that is not blank."""
-    text = F.coalesce("text", F.lit(""))
-    return (
-        docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
-        .select("doc_id", "version", "place", F.btrim("raw", F.lit(SPACE)).alias("line"))
-        .filter("line <> ''")
-        .withColumn("hash", F.xxhash64("line"))
-    )
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b of lines that are linked, by the full sets of both; the texts of all members of a hub meet it in the last join."""
+    rows = pairs.join(texts.select(F.col("hash").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("hash").alias("a"), F.col("line").alias("x")), "a")
 
-def _alike(a: str, b: str) -> Column:
-    """Whether two lines may be linked by their lengths and least hashes."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    agree = F.size(F.array_intersect(f"{a}.low", f"{b}.low"))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (agree >= F.least(F.lit(AGREE), F.floor(F.least(F.size(f"{a}.low"), F.size(f"{b}.low")) / 3)))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, p = None, set()
+        for batch in batches:
+            linked = []
+            for key, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if key != last:
+                    last, p = key, shingles(x.as_py())
+                q = shingles(y)
+                enough = 100 * min(len(p), len(q)) >= PERCENT * max(len(p), len(q))
+                shared = len(p & q) if enough else 0
+                linked.append(enough and 100 * shared >= PERCENT * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(linked, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """node and root over line hashes: lines that are linked to another line. found: lines() with their keys, stored."""
-    entries = found.select("hash", F.explode("keys").alias("bucket"))
-    buckets = stored(entries.groupBy("bucket").agg(F.min("hash").alias("hub"), F.max("hash").alias("top")).filter("hub < top").select("bucket", "hub"), "buckets")
-    members = stored(entries.join(small(buckets), "bucket").distinct(), "members")
-    ids = stored(members.select("hash").distinct(), "ids")
-    texts = lines(docs).join(small(ids), "hash", "left_semi").select("hash", "line").dropDuplicates(["hash"])
-    sets = stored(
-        texts.select("hash", shingle_set(F.col("line")).alias("shingles"))
-        .withColumn("n", F.size("shingles"))
-        .withColumn("low", F.slice(F.sort_array("shingles"), 1, SCREEN)),
-        "sets",
-    )
-    pairs = members.filter("hash <> hub").select(F.col("hub").alias("a"), F.col("hash").alias("b")).distinct()
-    links = stored(_verified(_screened(pairs, sets), sets), "links")
-    for step in range(DEALS + 1):
-        roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
-        placed = stored(members.join(small(roots), "hash", "left").withColumn("comp", F.coalesce("root", "hash")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most AND n > 2").drop("most")
-        rest = stored(placed.join(mixed, "bucket").drop("root"), "rest")
-        drop_stored(placed)
-        if not rest.limit(1).count():
-            return roots
-        # a bucket of two has had its only pair tested
-        more = _verified(_screened(dealt_pairs(rest, "hash", step), sets), sets) if step < DEALS else _across(rest, sets)
-        links = stored(links.union(more), "links")
-    return stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """hash, shingles (64-bit hashes of the set, ascending), n of them and low, the SCREEN least."""
 
-def _screened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose lines may be linked; small rows only."""
-    x, y = sets.select("hash", "n", "low").alias("x"), sets.select("hash", "n", "low").alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.hash")).join(y, (F.col("b") == F.col("y.hash")) & _alike("x", "y"))
-    return stored(both.select("a", "b"), "screened")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - 2**63 for w in shingles(x)) for x in batch.column(1).to_pylist()]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, longs), pa.array(map(len, sets), pa.int32()), pa.array([x[:SCREEN] for x in sets], longs)], names=["hash", "shingles", "n", "low"]
+            )
 
+    return texts.mapInArrow(run, "hash long, shingles array<long>, n int, low array<long>")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x, y = sets.select("hash", "shingles").alias("x"), sets.select("hash", "shingles").alias("y")
-    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    enough = (100 + PERCENT) * shared >= PERCENT * (F.size("x.shingles") + F.size("y.shingles"))
-    return pairs.join(x, F.col("a") == F.col("x.hash")).join(y, (F.col("b") == F.col("y.hash")) & enough).select("a", "b")
 
+def _alike(a: str, b: str) -> Column:
+    """Whether two lines may be linked by their lengths and least hashes."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    agree = F.size(F.array_intersect(f"{a}.low", f"{b}.low"))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (agree >= F.least(F.lit(AGREE), F.floor(F.least(F.size(f"{a}.low"), F.size(f"{b}.low")) / 3)))
 
-def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """The links between members of one bucket in different components; see near_dedup for why it is linear in copies."""
+    sets = stored(_sets(texts.join(small(stored(rest.select("hash").distinct(), "open")), "hash", "left_semi")), "sets")
     full = rest.select("bucket", "hash", "comp", "least").join(sets, "hash")
     x, y = full.filter("comp <> least").alias("x"), full.alias("y")
     shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
@@ -163,22 +252,49 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return x.join(y, across).select(F.least("x.hash", "y.hash").alias("a"), F.greatest("x.hash", "y.hash").alias("b")).distinct()
 
 
+def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """hash and root of the lines that are linked to another line. found: places(), stored."""
+    near = stored(members(docs), "members")
+    ids = stored(near.select("hash").distinct(), "ids")
+    texts = stored(line_texts(docs, found, ids), "texts")
+    links = stored(_verified(near.filter("hash <> hub").select(F.col("hub").alias("a"), F.col("hash").alias("b")).distinct(), texts), "links")
+    within = near.select("bucket", "hash").distinct()
+    for step in range(DEALS + 1):
+        roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
+        placed = stored(within.join(small(roots), "hash", "left").withColumn("comp", F.coalesce("root", "hash")).drop("root"), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most AND n > 2").drop("most")
+        # a bucket of two has had its only pair tested
+        rest = stored(placed.join(small(stored(mixed, "mixed")), "bucket"), "rest")
+        drop_stored(placed)
+        if not rest.limit(1).count():
+            break
+        within = rest.select("bucket", "hash")
+        more = _verified(dealt_pairs(rest, "hash", step), texts) if step < DEALS else _across(rest, texts)
+        links = stored(links.union(more), "links")
+    else:
+        roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
+    drop_stored(near, ids, texts)
+    return roots
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, version and places (of the lines to drop, ascending), for documents that lose any.
 
     Equal lines (trimmed) and linked lines are one component; its first line by doc_id (null first), version, place stays. Rows that
-    repeat a doc_id with the same text are one document. Equal lines are always found; a pair at PERCENT is missed with a chance of about
-    0.001, by banding or by the screen.
+    repeat a doc_id with the same text are one document. Equal lines are always found, at any length; a pair of linked lines is missed by all
+    bands with a chance of 0.005 at PERCENT, less above. Lines are told apart by 64-bit hashes.
     """
     with arrow_rows(docs.sparkSession, BATCH):
-        found = stored(signatures(lines(docs)), "lines")
-    roots = line_components(docs, found)
+        found = stored(places(docs), "places")
+        roots = line_components(docs, found)
     copies = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", F.col("hash").alias("root"))
-    several = stored(copies.union(roots.select("hash", "root")).groupBy("hash").agg(F.min(F.struct((F.col("root") == F.col("hash")), "root")).alias("r")).select("hash", "r.root"), "several")
-    seen = stored(found.drop("keys").join(small(several), "hash"), "seen")
+    several = copies.join(small(roots), "hash", "left_anti").union(roots.select("hash", "root"))
+    seen = stored(found.join(small(stored(several, "several")), "hash"), "seen")
     first = stored(seen.groupBy("root").agg(F.min(F.struct("doc_id", "version", "place")).alias("first")), "first")
     gone = seen.join(small(first), "root").filter(~F.struct("doc_id", "version", "place").eqNullSafe(F.col("first")))
-    return stored(gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("place")).alias("places")), "gone")
+    out = stored(gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("place")).alias("places")), "gone")
+    drop_stored(found, seen, first)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -186,17 +302,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Documents of which nothing is dropped keep their text as it is, null included; from others the dropped lines go, the rest is joined by \\n.
     """
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "_id")
+    gone = small(dropped_lines(docs)).select(F.col("doc_id").alias("_gone_id"), F.col("version").alias("_gone_version"), F.col("places").alias("_gone_places"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_version", F.xxhash64(text)).join(
-        small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("version")), "left"
-    )
-    kept = let(F.split(text, "\n"), lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains("places", i)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # the row's own columns are packed, so that none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_version"))
+    rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_version") == F.col("_gone_version")), "left")
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone_places"))
+    kept = let(F.split("_text", "\n"), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col("_gone_places").isNull(), F.col("_row.text")).otherwise(kept)
     return rows.select(
-        *[F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in names],
-        F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in names],
+        (F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone_places"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

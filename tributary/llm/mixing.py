@@ -83,19 +83,19 @@ def mixture(docs: DataFrame, max_repeat: float = MAX_REPEAT, towards_equal: floa
     quota = F.floor(weight * budget * (1 + 1e-12))
     plan = sources.select("source", "t", weight.alias("weight"), quota.alias("quota"))
     plan = plan.withColumn("passes", F.when(F.col("t") > 0, F.expr("quota div t")).otherwise(F.lit(1).cast("long")))
-    plan = stored(plan.withColumn("left", F.col("quota") - F.col("passes") * F.col("t")), "plan").withColumnRenamed("source", "_source")
+    plan = small(stored(plan.withColumn("left", F.col("quota") - F.col("passes") * F.col("t")), "plan")).withColumnRenamed("source", "_source")
     same = lambda df: df["source"].eqNullSafe(plan["_source"])
     sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("b"))
     upto = sums.withColumn("after", F.sum("b").over(Window.partitionBy("source").orderBy("block")))
-    last = upto.join(small(plan), same(upto)).filter("t > 0 AND after > left AND after - b <= left")
+    last = upto.join(plan, same(upto)).filter("t > 0 AND after > left AND after - b <= left")
     # the first such block is the one in which the budget ends; blocks without tokens add none
     last = stored(last.groupBy("_source").agg(F.min(F.struct("block", (F.col("left") - F.col("after") + F.col("b")).alias("room"))).alias("e")).select("_source", "e.block", "e.room"), "ends")
-    inside = rows.join(small(last.withColumnRenamed("block", "_block")), rows["source"].eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    inside = rows.join(small(last).withColumnRenamed("block", "_block"), rows["source"].eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     running = F.sum("n_tokens").over(Window.partitionBy("_source").orderBy("_h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     cut = inside.withColumn("sum", running).groupBy("_source", "_block").agg(F.max(F.when(F.col("sum") <= F.col("room"), F.col("_h"))).alias("cut"))
-    cuts = stored(plan.join(cut.withColumnRenamed("_source", "_s"), plan["_source"].eqNullSafe(F.col("_s")), "left").drop("_s"), "cuts").withColumnRenamed("_source", "_key")
+    cuts = small(stored(plan.join(cut.withColumnRenamed("_source", "_s"), plan["_source"].eqNullSafe(F.col("_s")), "left").drop("_s"), "cuts")).withColumnRenamed("_source", "_key")
     out = plain.withColumn("n_tokens", tokens).withColumn("_h", order).withColumn("block", block)
-    out = out.join(small(cuts), out["source"].eqNullSafe(F.col("_key")), "left")
+    out = out.join(cuts, out["source"].eqNullSafe(F.col("_key")), "left")
     extra = (F.col("block") < F.col("_block")) | ((F.col("block") == F.col("_block")) & (F.col("_h") <= F.col("cut")))
     copies = F.col("passes") + F.when(extra, 1).otherwise(0)
     return out.withColumn("copies", copies.cast("long")).drop("_h", "_key", "t", "quota", "passes", "left", "_block", "cut")
