@@ -23,45 +23,67 @@ def ws(text):
 # 1
 def test_backoff_scores_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b a b"), (2, "a c"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.scored(docs, lm_scoring.CountTables(docs)).collect()}
-    ab, ba = math.log(2 / 3), math.log(0.4) + math.log(3 / 6)
-    assert got[1].score == pytest.approx(math.log(3 / 6) + ab + ba + ab, abs=1e-5)
-    assert got[2].score == pytest.approx(math.log(3 / 6) + math.log(0.4) + math.log(1 / 6), abs=1e-5)
+    got = {r.doc_id: r for r in lm_scoring.scored(docs).collect()}
+    assert got[1].score == pytest.approx(math.log(3 / 6) + 2 * math.log(2 / 3) + math.log(1 / 2), abs=1e-5)
+    assert got[2].score == pytest.approx(math.log(3 / 6) + math.log(1 / 3), abs=1e-5)
     assert (got[3].n_words, got[3].score) == (0, 0)
+    other = spark.createDataFrame([(1, "c a"), (2, "new a b"), (3, "a new new"), (4, "new")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.scored(other, docs).collect()}
+    back = lambda n: math.log(0.4 * n / 6)
+    want = {1: math.log(1 / 6) + back(3), 2: math.log(1 / 6) + back(3) + math.log(2 / 3), 3: math.log(3 / 6) + 2 * back(1), 4: math.log(1 / 6)}
+    assert got == pytest.approx(want, abs=1e-5)
 
 
 def test_scores_of_odd_and_no_documents(odd_docs, no_docs):
-    got = lm_scoring.scored(odd_docs, lm_scoring.CountTables(odd_docs)).collect()
+    got = lm_scoring.scored(odd_docs).collect()
     assert len(got) == 10 and {r.n_words for r in got if r.doc_id in (4, 5, 6)} == {0}
-    assert lm_scoring.scored(no_docs, lm_scoring.CountTables(no_docs)).count() == 0
+    assert sum(r.doc_id is None for r in got) == 1
+    assert lm_scoring.scored(no_docs).count() == 0 and lm_scoring.scored(no_docs, odd_docs).count() == 0
+    assert {r.score for r in lm_scoring.scored(odd_docs, no_docs).collect() if r.doc_id == 4} == {0}
 
 
-def test_scores_of_a_corpus_above_the_head_match_brute_force(spark):
-    rng, rare = random.Random(4), iter(range(10**9))
-    unseen = lambda: f"r{next(rare)}"
-    texts = []
-    for _ in range(600):
-        word = [f"w{int(rng.paretovariate(0.6))}" if rng.random() < 0.4 else unseen() for _ in range(2000)]
-        texts.append(" ".join(word))
-    texts += [texts[0][-300:], "r5 r6 nowhere"]
+def backoff(texts, corpus):
     uni, bi = Counter(), Counter()
-    for t in texts:
-        w = t.split()
+    for t in corpus:
+        w = ws(t)
         uni.update(w)
         bi.update(zip(w, w[1:]))
     total = sum(uni.values())
-    assert total > lm_scoring.PARTS and len(uni) > 2**19 and min(uni.values()) * lm_scoring.PARTS < total
 
     def score(w):
-        out = math.log(uni[w[0]] / total)
+        out = math.log(max(1, uni[w[0]]) / total) if w else 0
         for v, x in zip(w, w[1:]):
-            out += math.log(bi[v, x] / uni[v]) if bi[v, x] >= 2 else math.log(0.4 * uni[x] / total)
+            out += math.log(bi[v, x] / uni[v]) if bi[v, x] else math.log(0.4 * max(1, uni[x]) / total)
         return out
 
+    return [score(ws(t)) for t in texts]
+
+
+def test_scores_of_many_rare_words_match_brute_force(spark):
+    rng, rare = random.Random(4), iter(range(10**9))
+    texts = []
+    for _ in range(600):
+        word = [f"w{int(rng.paretovariate(0.6))}" if rng.random() < 0.4 else f"r{next(rare)}" for _ in range(2000)]
+        texts.append(" ".join(word))
+    texts += [texts[0][-300:], "r5 r6 nowhere"]
+    assert len({w for t in texts for w in t.split()}) > 2**19
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.scored(docs, lm_scoring.CountTables(docs)).collect()}
-    for i, t in enumerate(texts):
-        assert got[i].n_words == len(t.split()) and got[i].score == pytest.approx(score(t.split()), abs=2e-3)
+    got = {r.doc_id: r for r in lm_scoring.scored(docs).collect()}
+    for i, want in enumerate(backoff(texts, texts)):
+        assert got[i].n_words == len(texts[i].split()) and got[i].score == pytest.approx(want, abs=4e-3)
+
+
+@pytest.mark.parametrize("held", [300, lm_scoring.HELD])
+def test_scores_do_not_depend_on_lots_or_hot_words(spark, held):
+    rng = random.Random(3)
+    make = lambda n: " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(n))
+    corpus = [make(rng.choice([0, 1, 2, 5, 200])) for _ in range(150)] + ["the of " * 300] * 3 + [None, "", " one "]
+    texts = [make(rng.choice([0, 1, 2, 50])) for _ in range(50)] + ["zzz yyy", "w1 zzz w1 w1 w2", "new pair " * 200, "new pair " * 90]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for rows, df in ((corpus, lm_scoring.scored(frame(corpus), held=held)), (texts, lm_scoring.scored(frame(texts), frame(corpus), held))):
+        got = {r.doc_id: r for r in df.collect()}
+        assert [got[i].n_words for i in range(len(rows))] == [len(ws(t)) for t in rows]
+        assert [got[i].score for i in range(len(rows))] == pytest.approx(backoff(rows, corpus), abs=1e-3)
 
 
 # 2

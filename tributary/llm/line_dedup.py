@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import SPACE, arrow_rows, drop_stored, let, small, stored, table
-from tributary.llm.components import components, dealt_pairs
+from tributary.llm.components import components
 
 #: Two lines are linked if 100 * intersection >= PERCENT * union of their sets of shingles of K characters; a shorter line equals itself only.
 K, PERCENT = 5, 80
@@ -24,10 +24,8 @@ FUNCTIONS, BANDS, ROWS = 60, 24, 6
 #: Texts in one Arrow batch, characters hashed at once (a longer line is one lot), and band keys that a worker holds before it hands them
 #: on. They bound memory, not results.
 BATCH, LOT, HELD = 500, 1 << 16, 1 << 20
-#: Rounds of random pairing in buckets of several components.
-DEALS = 2
-#: In the last comparison lines go by full sets if this many of their SCREEN least shingle hashes agree. At PERCENT fewer do with a chance of 0.0003 at most.
-SCREEN, AGREE = 16, 7
+#: Lines of one side in one block of the comparison across components.
+BLOCK = 2000
 _RANDOM = np.random.default_rng(2)
 _XOR, _TIMES = (_RANDOM.integers(0, 1 << 32, FUNCTIONS, np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
@@ -193,8 +191,65 @@ def line_texts(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select(F.inline(lines)).groupBy("hash").agg(F.first("line").alias("line"))
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + K] for i in range(len(line) - K + 1)}
+class Sets:
+    """The sets of shingles of some lines, as numbers below `size`: those of line i are ids[start[i] : start[i + 1]]."""
+
+    def __init__(self, lines: list[str]):
+        chars, start, lengths = _joined(lines)
+        n = max(len(chars) - K + 1, 0)
+        x = np.zeros(n, np.uint64)
+        for k in range(K):
+            x = (x ^ chars[k : n + k]) * _MIX
+            x ^= x >> np.uint64(32)
+        m = np.maximum(lengths - K + 1, 0)
+        of = np.repeat(np.arange(len(lines)), m)
+        x = x[np.arange(len(of)) + np.repeat(start - np.cumsum(m) + m, m)]
+        order = np.argsort(x)
+        fresh = np.concatenate([[True], x[order[1:]] != x[order[:-1]]])[: len(x)]
+        number = np.empty(len(x), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        self.size = max(1, np.count_nonzero(fresh))
+        each = np.sort(of * self.size + number)
+        each = each[np.concatenate([[True], each[1:] != each[:-1]])[: len(each)]]
+        self.ids = (each % self.size).astype(np.int32)  # a block has fewer shingles
+        self.start = np.searchsorted(each, np.arange(len(lines) + 1) * self.size)
+        self.n = np.diff(self.start)
+        self.mark = np.zeros(self.size, bool)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of some lines are linked to line i."""
+        n = self.n[i]
+        near = others[(100 * np.minimum(n, self.n[others]) >= PERCENT * np.maximum(n, self.n[others])) & (n > 0)]
+        own = self.ids[self.start[i] : self.start[i + 1]]
+        self.mark[own] = True
+        if 4 * len(near) < len(self.n):
+            shared = np.fromiter((np.count_nonzero(self.mark[self.ids[self.start[j] : self.start[j + 1]]]) for j in near), np.int64, len(near))
+        else:
+            upto = np.concatenate([[0], np.cumsum(self.mark[self.ids], dtype=np.int32)])
+            shared = upto[self.start[near + 1]] - upto[self.start[near]]
+        self.mark[own] = False
+        return near[(100 + PERCENT) * shared >= PERCENT * (n + self.n[near])]
+
+
+def linked_pairs(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Whether the lines of each pair are linked; pairs with the same first line are best together."""
+    out = np.zeros(len(xs), bool)
+    i = 0
+    while i < len(xs):
+        j, chars, number = i, 0, {}
+        while j < len(xs) and (j == i or chars < LOT):
+            for line in (xs[j], ys[j]):
+                if line not in number:
+                    number[line] = len(number)
+                    chars += len(line)
+            j += 1
+        sets = Sets(list(number))
+        a, b = (np.array([number[line] for line in side[i:j]]) for side in (xs, ys))
+        for x in dict.fromkeys(a.tolist()):
+            here = np.flatnonzero(a == x)
+            out[i + here] = np.isin(b[here], sets.linked(x, np.unique(b[here])))
+        i = j
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,79 +257,63 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(texts.select(F.col("hash").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("hash").alias("a"), F.col("line").alias("x")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, p = None, set()
         for batch in batches:
-            linked = []
-            for key, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if key != last:
-                    last, p = key, shingles(x.as_py())
-                q = shingles(y)
-                enough = 100 * min(len(p), len(q)) >= PERCENT * max(len(p), len(q))
-                shared = len(p & q) if enough else 0
-                linked.append(enough and 100 * shared >= PERCENT * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(linked, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+            linked = pa.array(linked_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(linked) for i in (0, 1)], names=["a", "b"])
 
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """hash, shingles (64-bit hashes of the set, ascending), n of them and low, the SCREEN least."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - 2**63 for w in shingles(x)) for x in batch.column(1).to_pylist()]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, longs), pa.array(map(len, sets), pa.int32()), pa.array([x[:SCREEN] for x in sets], longs)], names=["hash", "shingles", "n", "low"]
-            )
-
-    return texts.mapInArrow(run, "hash long, shingles array<long>, n int, low array<long>")
-
-
-def _alike(a: str, b: str) -> Column:
-    """Whether two lines may be linked by their lengths and least hashes."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    agree = F.size(F.array_intersect(f"{a}.low", f"{b}.low"))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (agree >= F.least(F.lit(AGREE), F.floor(F.least(F.size(f"{a}.low"), F.size(f"{b}.low")) / 3)))
+def _block_links(block: pa.Table) -> pa.Table:
+    """Links within a block: each of its lines that is outside the bucket's least component, against those of other components."""
+    hashes, comp, least, left = (block.column(c).to_numpy() for c in ("hash", "comp", "least", "left"))
+    sets = Sets(block.column("line").to_pylist())
+    right = np.flatnonzero(~left)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(left):
+        others = right[(comp[right] != comp[i]) & ((comp[right] == least[right]) | (hashes[i] < hashes[right]))]
+        found = hashes[sets.linked(i, others)]
+        a.append(np.minimum(found, hashes[i]))
+        b.append(np.maximum(found, hashes[i]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between members of one bucket in different components; see near_dedup for why it is linear in copies."""
-    sets = stored(_sets(texts.join(small(stored(rest.select("hash").distinct(), "open")), "hash", "left_semi")), "sets")
-    full = rest.select("bucket", "hash", "comp", "least").join(sets, "hash")
-    x, y = full.filter("comp <> least").alias("x"), full.alias("y")
-    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    across = (
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.least")) | (F.col("x.hash") < F.col("y.hash"))) & _alike("x", "y")
-        & ((100 + PERCENT) * shared >= PERCENT * (F.col("x.n") + F.col("y.n")))
-    )
-    return x.join(y, across).select(F.least("x.hash", "y.hash").alias("a"), F.greatest("x.hash", "y.hash").alias("b")).distinct()
+    """The links between members of one bucket in different components.
+
+    Of two such members one is outside the bucket's least component; so the left side holds those outside only, and a large component of
+    copies meets the few that are not in it rather than itself. Both sides are dealt into blocks of about BLOCK lines, each pair of which is
+    a group of its own: no task holds a bucket.
+    """
+    outside = F.col("comp") != F.col("least")
+    sides = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("rights"), F.ceil(F.count_if(outside) / BLOCK).alias("lefts"))
+    rows = rest.join(small(stored(sides, "sides")), "bucket").join(texts, "hash")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("hash", F.lit(n)), F.col(n))
+    left = rows.filter(outside).select("bucket", of("lefts").alias("i"), numbers("rights").alias("j"), "hash", "comp", "least", "line", F.lit(True).alias("left"))
+    right = rows.select("bucket", numbers("lefts").alias("i"), of("rights").alias("j"), "hash", "comp", "least", "line", F.lit(False).alias("left"))
+    return left.union(right).groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
 
 
 def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """hash and root of the lines that are linked to another line. found: places(), stored."""
+    """hash and root of the lines that are linked to another line. found: places(), stored.
+
+    The lines of a bucket are first compared with its hub; then, where its lines are still in several components, across these.
+    """
     near = stored(members(docs), "members")
     ids = stored(near.select("hash").distinct(), "ids")
     texts = stored(line_texts(docs, found, ids), "texts")
     links = stored(_verified(near.filter("hash <> hub").select(F.col("hub").alias("a"), F.col("hash").alias("b")).distinct(), texts), "links")
-    within = near.select("bucket", "hash").distinct()
-    for step in range(DEALS + 1):
-        roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
-        placed = stored(within.join(small(roots), "hash", "left").withColumn("comp", F.coalesce("root", "hash")).drop("root"), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most AND n > 2").drop("most")
-        # a bucket of two has had its only pair tested
-        rest = stored(placed.join(small(stored(mixed, "mixed")), "bucket"), "rest")
-        drop_stored(placed)
-        if not rest.limit(1).count():
-            break
-        within = rest.select("bucket", "hash")
-        more = _verified(dealt_pairs(rest, "hash", step), texts) if step < DEALS else _across(rest, texts)
-        links = stored(links.union(more), "links")
-    else:
-        roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
-    drop_stored(near, ids, texts)
-    return roots
+    roots = stored(components(links, "a", "b").withColumnRenamed("node", "hash"), "roots")
+    placed = stored(near.select("bucket", "hash").distinct().join(small(roots), "hash", "left").withColumn("comp", F.coalesce("root", "hash")).drop("root"), "placed")
+    # a bucket of two has had its only pair tested
+    mixed = stored(placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).filter("least < most AND n > 2").select("bucket", "least"), "mixed")
+    rest = stored(placed.join(small(mixed), "bucket"), "rest")
+    more = stored(_across(rest, texts), "across")
+    drop_stored(near, ids, texts, placed, mixed, rest)
+    if not more.limit(1).count():
+        return roots
+    return stored(components(links.union(more), "a", "b").withColumnRenamed("node", "hash"), "roots")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Operator 1, LM scoring: stupid backoff over n-gram count tables partitioned by hash, joined to exploded n-grams.
+"""Operator 1, LM scoring: stupid backoff over n-gram count tables partitioned by hash, joined to exploded n-grams, summed per document.
 
-Words are hashed and n-grams counted per batch in numpy before anything is shuffled; the count tables, their join to the n-grams and
-the sums per document are relational.
+Words are hashed in numpy. A lot of texts hands on, to the part of its hash, each distinct n-gram with its count in the lot and the documents
+that hold it; there the counts add up, and the documents' n-grams are joined to them. So counting and looking up take one shuffle.
 """
 
 from __future__ import annotations
@@ -14,21 +14,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import SPACE, arrow_rows, stored, table
+from tributary.llm.common import SPACE, arrow_rows, drop_stored, small, stored, table
 
 ALPHA = 0.4
-#: Bigrams seen less often back off to the unigram.
-MIN_COUNT = 2
-#: Words and bigrams with a share of all words of 1 / PARTS or more, at most PARTS each at any size of the corpus, are the head that is
-#: sent to every worker; the counts of all others stay in tables that are joined. No count is cut or merged.
-PARTS = 1 << 20
-#: A word of the head goes by its number from 1, others by their hash. A bigram of the head's words is the first's number << BITS | the second's, others go by a hash of both.
-BITS = 21
+#: An n-gram with a share of 1 / HOT or more of a lot's words, and LEAST occurrences in it, is hot there: its documents are not sent to where it
+#: is counted (one task), they are joined to its count afterwards. This spreads work and changes no result.
+HOT, LEAST = 1 << 10, 64
 #: Scores are sums of whole micronats: they do not depend on the order of summing.
 SCALE = 1_000_000
-#: Texts sent at once to a Python worker, and bigrams or words that one holds before it hands their counts on. They bound memory, not results.
+#: Texts sent at once to a Python worker, and words and texts of one lot. They bound memory, not results.
 BATCH = 500
-HELD = 1 << 21
+HELD, MOST_TEXTS = 1 << 21, 1 << 16
 
 #: Bytes whose words are hashed at once (a longer word is one lot); bounds memory.
 LOT = 1 << 20
@@ -81,46 +77,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), np.diff(np.searchsorted(start, ends))
 
 
-def micro(x: np.ndarray) -> np.ndarray:
-    return (np.sign(x) * np.floor(np.abs(SCALE * x) + 0.5)).astype(np.int64)
-
-
-def _counted(name: str, batches: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Distinct numbers and their counts, HELD numbers or more at a time."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=[name, "n"])
-
-    for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size > HELD:
-            yield out()
-            held.clear()
-            size = 0
-    if held:
-        yield out()
-
-
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _counted("word", (word_hashes(b.column(0))[0] for b in batches))
-
-
-def numbered(texts: pa.Array, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of some texts, which of them are in the head, and how many each text has. A word is its place in the head's sorted hashes from 1, or its hash."""
-    words, lengths = word_hashes(texts)
-    if not len(head):
-        return words, np.zeros(len(words), bool), lengths
-    at = np.minimum(np.searchsorted(head, words), len(head) - 1)
-    known = head[at] == words
-    return np.where(known, at + 1, words), known, lengths
-
-
 def pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of words of which one or both are not in the head."""
+    """64-bit hashes of pairs of words."""
     with np.errstate(over="ignore"):
         x = v.view(np.uint64) + np.uint64(_BASE)
         x = (x ^ (x >> np.uint64(32))) * _MIX
@@ -129,207 +87,236 @@ def pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def grams(words: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bigrams of texts whose words follow one another, whether both words are of the head, the text, and the words of each."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    inside = np.flatnonzero(text[:-1] == text[1:])
-    v, w, both = words[inside], words[inside + 1], known[inside] & known[inside + 1]
-    gram = np.empty(len(inside), np.int64)
-    gram[both] = v[both] << BITS | w[both]
-    gram[~both] = pair_hashes(v[~both], w[~both])
-    return gram, both, text[inside], v, w
-
-
-def _gram_counts(shared) -> Callable:
-    """Distinct bigrams with their words and counts, HELD or more at a time; 0 and 0 for words of the head, which the bigram itself tells."""
-
-    def out(pairs: list[np.ndarray], others: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        gram, n = np.unique(np.concatenate(pairs), return_counts=True)
-        mixed, v, w = (np.concatenate(x) for x in zip(*others, strict=True))
-        found, at, times = np.unique(mixed, return_index=True, return_counts=True)
-        none = np.zeros(len(gram), np.int64)
-        columns = ((gram, found), (none, v[at]), (none, w[at]), (n, times))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["gram", "v", "w", "n"])
+def micro(n: np.ndarray) -> np.ndarray:
+    """ln n in whole micronats; 0 for n = 0, which counts as 1."""
+    return np.floor(SCALE * np.log(np.maximum(n, 1).astype(np.float64)) + 0.5).astype(np.int64)
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte, so that the shuffle can compress them."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+#: What a lot hands on. kind 0: n-grams of one part (hashes, counts, whether hot, the words of a pair, how many of its documents follow, which of
+#: uids they are, and times; negative times for words); 1: the same for hot ones; 2: its documents (uids, doc_ids in keys, words in n).
+PARCEL = {"part": pa.int32(), "kind": pa.int32(), **{k: pa.binary() for k in ("keys", "n", "hot", "v", "w", "lens", "owners", "times", "uids")}}
+PARCEL_TYPE = "part int, kind int, keys binary, n binary, hot binary, v binary, w binary, lens binary, owners binary, times binary, uids binary"
+
+
+def _parcels(parts: int, count: bool, score: bool, most: int) -> Callable:
+    """Of uid, doc_id and text: PARCEL rows; their n-grams are counted, or looked up, or both."""
+    step = np.uint64(((1 << 64) - 1) // parts + 1 if parts > 1 else (1 << 64) - 1)
+
+    def out(words: np.ndarray, lengths: np.ndarray, uids: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        total = len(words)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        v, w = words[inside], words[inside + 1]
+        keys = np.concatenate([words, pair_hashes(v, w)]).view(np.uint64)
+        order = np.argsort(keys)
+        fresh = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])[: len(keys)]
+        new = np.flatnonzero(fresh)
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        first = order[new]  # where each n-gram occurs
+        grams, n = keys[first], np.diff(np.append(new, len(keys)))
+        of_pair = first >= total
+        none = np.zeros(0, np.int64)
+        starts, gram_owner, times = np.zeros(len(grams) + 1, np.int64), none, none
+        hot = (n * HOT >= total) & (n >= LEAST)
+
+        def pair_words(at) -> list[bytes]:
+            """The words of pairs that the corpus may not have; 0 and 0 for words."""
+            if count:
+                return [b"", b""]
+            spot, pair = np.maximum(first[at] - total, 0), of_pair[at]
+            return [np.where(pair, x[spot] if len(x) else 0, 0).astype(np.int64).tobytes() for x in (v, w)]
+
+        if score:
+            # a text scores its pairs less the words inside it; one word alone scores itself
+            last = np.cumsum(lengths) - 1
+            ends = np.zeros(total, bool)
+            ends[(last - lengths + 1)[lengths > 0]] = True
+            ends[last[lengths > 0]] = True
+            inner = np.flatnonzero(~ends)
+            codes = np.sort(np.concatenate([number[total:] << 16 | owner[inside], number[inner] << 16 | owner[inner]]))
+            change = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+            at = np.flatnonzero(change)
+            times, codes = np.diff(np.append(at, len(codes))), codes[at]
+            times = np.where(of_pair[codes >> 16], times, -times)
+            alone = np.flatnonzero(lengths == 1)
+            single = np.sort(number[last[alone]] << 16 | alone)
+            place = np.searchsorted(codes, single)
+            codes, times = np.insert(codes, place, single), np.insert(times, place, 1)
+            starts = np.searchsorted(codes, np.arange(len(grams) + 1) << 16)
+            gram_owner = codes & 0xFFFF
+            rows.append((0, 2, ids.tobytes(), lengths.astype(np.int64).tobytes(), b"", b"", b"", b"", b"", b"", uids.tobytes()))
+            warm = np.flatnonzero(np.repeat(hot, np.diff(starts)))
+            by = warm[np.argsort(gram_owner[warm], kind="stable")]
+            if len(by):
+                of = codes[by] >> 16
+                rows.append((0, 1, grams[of].tobytes(), b"", b"", *pair_words(of), b"", b"", times[by].astype(np.int32).tobytes(), uids[gram_owner[by]].tobytes()))
+        lens = np.diff(starts)
+        sent = np.where(hot, 0, lens)
+        cold = np.repeat(~hot, lens)
+        gram_owner, times = gram_owner[cold], times[cold]
+        upto = np.concatenate([[0], np.cumsum(sent)])
+        cuts = np.searchsorted(grams, np.arange(1, parts, dtype=np.uint64) * step) if parts > 1 else none
+        bounds = np.concatenate([[0], cuts, [len(grams)]]).astype(np.int64)
+        for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if a == b:
+                continue
+            here, which = np.unique(gram_owner[upto[a] : upto[b]], return_inverse=True)
+            rows.append((
+                part, 0, _planes(grams[a:b]), (n[a:b] if count else np.zeros(b - a, np.int64)).astype(np.int32).tobytes(), hot[a:b].tobytes(), *pair_words(slice(a, b)),
+                sent[a:b].astype(np.uint16 if len(lengths) < 1 << 16 else np.uint32).tobytes(), which.astype(np.uint16).tobytes(), times[upto[a] : upto[b]].astype(np.int32).tobytes(), uids[here].tobytes(),
+            ))
+        spread = int(xxhash.xxh32_intdigest(uids.tobytes()))
+        rows = [(spread % parts if r[1] else r[0], *r[1:]) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(PARCEL.values())], names=list(PARCEL))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
-        others: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for b in batches:
-            gram, both, _, v, w = grams(*numbered(b.column(0), shared.value[0]))
-            pairs.append(gram[both])
-            others.append((gram[~both], v[~both], w[~both]))
-            size += len(gram)
-            if size > HELD:
-                yield out(pairs, others)
-                pairs, others, size = [], [], 0
-        if pairs:
-            yield out(pairs, others)
-
-    return run
-
-
-class CountTables:
-    """Unigram and bigram counts over all rows of a corpus, as tables in the shared folder, partitioned by hash.
-
-    words: word and n of those that are not in the head; bigrams: gram, v, w and n of those seen MIN_COUNT times or more.
-    The head of either has at most PARTS rows at any size of the corpus, so it may be sent to every worker.
-    """
-
-    def __init__(self, corpus: DataFrame):
-        texts = corpus.select("text")
-        spark = self.spark = corpus.sparkSession
-        with arrow_rows(spark, BATCH):
-            words = texts.mapInArrow(_word_counts, "word long, n long")
-            counts = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-            self.total = counts.agg(F.sum("n")).first()[0] or 0
-            head = counts.filter(F.col("n") * PARTS >= self.total).toArrow()
-            self.words = counts.filter(F.col("n") * PARTS < self.total)
-            hashes, n = (head.column(c).to_numpy() for c in ("word", "n"))
-            order = np.argsort(hashes)
-            #: sorted hashes; counts by number, 1 for a word that the corpus does not have
-            self.head = hashes[order], np.concatenate([[1], n[order]]).astype(np.int64)
-            self.shared = spark.sparkContext.broadcast(self.head)
-            found = texts.mapInArrow(_gram_counts(self.shared), "gram long, v long, w long, n long").groupBy("gram", "v", "w").agg(F.sum("n").alias("n"))
-            self.bigrams = stored(found.filter(F.col("n") >= MIN_COUNT), "bigrams")
-
-
-def _backoff(counts: np.ndarray, total: int, alpha: float) -> np.ndarray:
-    """Micronats of words by their counts; alpha 1 at the start of a text."""
-    return micro(np.log(counts.astype(np.float64)) - np.log(float(total)) if alpha == 1 else np.log(alpha) + np.log(counts.astype(np.float64)) - np.log(float(total)))
-
-
-def _rows(doc_id: pa.Array, version: pa.Array, key: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, version, key, *[pa.array(x.astype(np.int64)) for x in numbers]], names=["doc_id", "version", "key", "n", "starts", "s"])
-
-
-def _document_sums(shared, frequent, total: int) -> Callable:
-    """Per row of docs one row with its words and a sum, and one for each word or bigram that may change it, n times in it or starts times at its start.
-
-    The sum holds the backoffs of the head's words, the gains of its bigrams, and other words as if the corpus did not have them.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, counts = shared.value
-        frequent_grams, gains = frequent.value
-        first, later = _backoff(counts, total, 1), _backoff(counts, total, ALPHA)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = texts = 0
         for batch in batches:
-            doc_id, version, texts = (batch.column(i) for i in range(3))
-            words, known, lengths = numbered(texts, head)
-            full = lengths > 0
-            number = np.where(known, words, 0)
-            start = np.zeros(len(words), bool)
-            start[(np.cumsum(lengths) - lengths)[full]] = True
-            of = np.repeat(np.arange(len(lengths)), lengths)
-            # whole numbers far below 2 ** 53: the sums are exact
-            score = np.bincount(of, np.where(start, first[number], later[number]), len(lengths)).astype(np.int64)
-            gram, both, text, _, _ = grams(words, known, lengths)
-            # a batch has less than 2 ** (63 - 2 * BITS) texts
-            found, times = np.unique(text[both] << 2 * BITS | gram[both], return_counts=True)
-            pair, owner = found & ((1 << 2 * BITS) - 1), found >> 2 * BITS
-            place = np.minimum(np.searchsorted(frequent_grams, pair), max(0, len(frequent_grams) - 1))
-            here = frequent_grams[place] == pair if len(frequent_grams) else np.zeros(len(pair), bool)
-            score += np.bincount(owner[here], gains[place[here]] * times[here], len(lengths)).astype(np.int64)
-            yield _rows(doc_id, version, pa.nulls(len(lengths), pa.int64()), lengths, full, score)
-            # words outside the head and bigrams with one have a share under 1 / PARTS each, so they go as they come
-            at = pa.array(np.concatenate([owner[~here], text[~both], of[~known]]))
-            key = pa.array(np.concatenate([pair[~here], gram[~both], words[~known]]))
-            n = np.concatenate([times[~here], np.ones(np.count_nonzero(~both), np.int64), ~start[~known]])
-            starts = np.concatenate([np.zeros(len(n) - np.count_nonzero(~known), bool), start[~known]])
-            yield _rows(doc_id.take(at), version.take(at), key, n, starts, np.zeros(len(n)))
+            words, lengths = word_hashes(batch.column(2))
+            uid = batch.column(0).to_numpy()
+            ids = batch.column(1)
+            # a null doc_id goes as the least long
+            held.append((words, lengths, uid, ids.fill_null(-(2**63)).to_numpy()))
+            size, texts = size + len(words), texts + len(lengths)
+            if size >= most or texts + BATCH >= MOST_TEXTS:
+                yield out(*map(np.concatenate, zip(*held, strict=True)))
+                held, size, texts = [], 0, 0
+        if held:
+            yield out(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _gains(shared, total: int) -> Callable:
-    """What a bigram adds to the backoff that its second word has without it; cv and cw are the counts of words outside the head."""
+SUM_NAMES = ["kind", "uid", "doc_id", "key", "n", "s"]
+SUM_TYPE = "kind int, uid long, doc_id long, key long, n long, s long"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value[1]
-        for batch in batches:
-            gram, v, w, n = (batch.column(i).to_numpy() for i in range(4))
-            both = (v == 0) & (w == 0)
-            v, w = np.where(both, gram >> BITS, v), np.where(both, gram & ((1 << BITS) - 1), w)
-            c = []
-            for word, outside in ((v, batch.column(4)), (w, batch.column(5))):
-                inside = np.asarray(outside.is_null())
-                c.append(np.where(inside, counts[np.where(inside, word, 0)], outside.fill_null(0).to_numpy()))
-            gain = micro(np.log(n.astype(np.float64)) - np.log(c[0].astype(np.float64))) - _backoff(c[1], total, ALPHA)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(gain), pa.array(np.zeros(len(gain), np.int64))], names=["key", "gain", "first"])
 
-    return run
+def _sum_rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+    rows = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[c].astype(np.int64)) if c in columns else pa.nulls(rows, pa.int64()) for c in SUM_NAMES[1:]]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *arrays], names=SUM_NAMES)
 
 
-def _word_gains(total: int) -> Callable:
-    """What a word's count adds, later in a text and at its start, to a word that the corpus does not have."""
+def _resolved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all parcels of one part: sums by document (kind 0), hot n-grams of documents (1; doc_id and s are the words of
+    a pair that the corpus may not have), documents (2), counts of hot n-grams (3) and pairs of documents that the corpus
+    does not have (4; key and s are the words)."""
+    grams: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(1, len(PARCEL))), strict=True):
+            kind, keys, n, hot, v, w, lens, owners, times, uids = row
+            if kind == 2:
+                yield _sum_rows(2, uid=np.frombuffer(uids, np.int64), doc_id=np.frombuffer(keys, np.int64), n=np.frombuffer(n, np.int64))
+            elif kind == 1:
+                of_pair = {c: np.frombuffer(x, np.int64) for c, x in (("doc_id", v), ("s", w)) if x}
+                yield _sum_rows(1, uid=np.frombuffer(uids, np.int64), key=np.frombuffer(keys, np.int64), n=np.frombuffer(times, np.int32), **of_pair)
+            else:
+                own = _from_planes(keys)
+                each = np.frombuffer(lens, np.uint32 if len(lens) == 4 * len(own) else np.uint16)
+                grams.append((own, np.frombuffer(n, np.int32), np.frombuffer(hot, bool), *(np.frombuffer(x, np.int64) for x in (v, w)), each, np.frombuffer(owners, np.uint16), np.frombuffer(times, np.int32), np.frombuffer(uids, np.int64)))
+    if not grams:
+        return
+    keys, n, hot = (np.concatenate([g[i] for g in grams]) for i in range(3))
+    order = np.argsort(keys)
+    new = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+    totals = np.add.reduceat(n[order].astype(np.int64), new)
+    warm = np.logical_or.reduceat(hot[order], new)
+    if warm.any():
+        yield _sum_rows(3, key=keys[order[new]][warm].view(np.int64), n=totals[warm])
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.repeat(totals, np.diff(np.append(new, len(keys))))
+    value = micro(total)
+    at = 0
+    for own, _, _, v, w, lens, owners, times, uids in grams:
+        upto = at + len(own)
+        if len(uids):
+            got = np.bincount(owners, np.repeat(value[at:upto], lens) * times, len(uids))  # whole numbers far below 2 ** 53
+            yield _sum_rows(0, uid=uids, s=got)
+            if len(v):
+                lost = np.flatnonzero(np.repeat((total[at:upto] == 0) & ((v != 0) | (w != 0)), lens))
+                if len(lost):
+                    of = np.repeat(np.arange(len(own)), lens)[lost]
+                    yield _sum_rows(4, uid=uids[owners[lost]], key=v[of], s=w[of], n=times[lost])
+        at = upto
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.ones(1)
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            later, first = (_backoff(n, total, a) - _backoff(one, total, a) for a in (ALPHA, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(later), pa.array(first)], names=["key", "gain", "first"])
 
-    return run
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, n = np.unique(word_hashes(batch.column(0))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
-def scored(docs: DataFrame, model: CountTables) -> DataFrame:
-    """doc_id, n_words and score (natural log, summed) of each distinct doc_id and text; 0 words and 0 for null or blank text.
+def scored(docs: DataFrame, corpus: DataFrame | None = None, held: int = HELD) -> DataFrame:
+    """doc_id, n_words and score (natural log, summed) of each distinct doc_id and text of docs, by the n-grams of corpus (None: of docs itself).
 
-    Word w after v: c(vw) / c(v) if c(vw) >= MIN_COUNT, else ALPHA * c(w) / N; the first word c(w) / N. A word that the model's corpus
-    does not have counts as seen once. doc_id is a whole number or null.
-    Words and bigrams with a share of 1 / PARTS or more, at most PARTS of each, are looked up where the words are; only the others
-    are dealt out by hash to their counts, so a key that is dealt has few rows. Those words start as if never seen and those
-    bigrams as a backoff, and those that are found add the difference. Identical rows (doc_id and text) are one; other columns are not read.
+    Word w after v: c(vw) / c(v) if the corpus has vw, else ALPHA * c(w) / N; the first word c(w) / N. A word that the corpus does not have
+    counts as seen once. All words and pairs of all rows of the corpus count, at any number of occurrences. Null or blank text: 0 words, 0.
+    doc_id is a whole number or null; rows with the same doc_id and text are one; other columns are not read. Words are told apart by
+    64-bit hashes. An n-gram's occurrences meet in the part of its hash, where each lot of texts has sent one entry; the documents of one
+    that is hot in a lot (of about held words) stay spread and are joined to its count by size-checked broadcast.
     """
-    spark, total = model.spark, max(1, model.total)
-    gain_type = "key long, gain long, first long"
-    of_head = F.col("n") * PARTS >= model.total
-    pairs = (F.col("v") == 0) & (F.col("w") == 0)
-    plain = lambda rows: rows.select("gram", "v", "w", "n", F.lit(None).cast("long").alias("cv"), F.lit(None).cast("long").alias("cw"))
-    known = plain(model.bigrams.filter(pairs & of_head)).mapInArrow(_gains(model.shared, total), gain_type).toArrow()
-    gram, gain = (known.column(c).to_numpy() for c in ("key", "gain"))
-    order = np.argsort(gram)
-    frequent = spark.sparkContext.broadcast((gram[order], gain[order]))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = lambda df: df.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     with arrow_rows(spark, BATCH):
-        parts = stored(rows.mapInArrow(_document_sums(model.shared, frequent, total), "doc_id long, version long, key long, n long, starts long, s long"), "scored")
-    # a word of the head has no row among the others; its bigrams are dealt by their own hash
-    mixed = model.bigrams.filter(~pairs)
-    for word, count in (("v", "cv"), ("w", "cw")):
-        outside = model.words.select(F.col("word").alias("_word"), F.col("n").alias(count))
-        key = F.when(F.col(word).between(1, PARTS), F.col("gram")).otherwise(F.col(word))
-        mixed = mixed.withColumn("_key", key).join(outside, F.col("_key") == F.col("_word"), "left").drop("_key", "_word")
-    light = plain(model.bigrams.filter(pairs & ~of_head)).union(mixed.select("gram", "v", "w", "n", "cv", "cw"))
-    gains = light.mapInArrow(_gains(model.shared, total), gain_type).union(model.words.filter("n > 1").select("word", "n").mapInArrow(_word_gains(total), gain_type))
-    here = parts.filter("key IS NULL").select("doc_id", "version", "n", "starts", "s")
-    there = parts.filter("key IS NOT NULL").select("key", "doc_id", "version", "n", "starts").join(gains, "key")
+        parcels = rows(docs).mapInArrow(_parcels(parts, corpus is None, True, held), PARCEL_TYPE)
+        if corpus is not None:
+            blank = corpus if "doc_id" in corpus.columns else corpus.withColumn("doc_id", F.lit(0))
+            parcels = parcels.union(rows(blank).mapInArrow(_parcels(parts, True, False, held), PARCEL_TYPE))
+    with arrow_rows(spark, 64):
+        sums = stored(parcels.repartitionById(parts, F.col("part")).mapInArrow(_resolved, SUM_TYPE), "sums")
+    if corpus is None:
+        total = sums.filter("kind = 2").agg(F.sum("n")).first()[0] or 1
+    else:
+        words = stored(corpus.select(F.col("text").cast("string")).mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+        total = words.agg(F.sum("c")).first()[0] or 1
+    of_total = int(micro(np.array([total]))[0])
+    value = lambda c: F.floor(SCALE * F.ln(F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).cast("double")) + 0.5)
+    counts = stored(sums.filter("kind = 3").select(F.col("key").alias("_key"), F.col("n").alias("c")), "hot")
+    start = F.when(F.col("n") > 0, F.lit(-of_total)).otherwise(0)
     zero = F.lit(0).cast("long")
-    there = there.select("doc_id", "version", zero.alias("n"), zero.alias("starts"), (F.col("n") * F.col("gain") + F.col("starts") * F.col("first")).alias("s"))
-    sums = here.union(there).groupBy("doc_id", "version").agg(*[F.sum(c).alias(c) for c in ("n", "starts", "s")])
-    copies = F.greatest(F.col("starts"), F.lit(1))
-    return sums.select("doc_id", F.expr("n div greatest(starts, 1)").alias("n_words"), F.round(F.col("s") / copies / SCALE, 6).alias("score"))
+    alls = sums.filter("kind = 2").select("uid", "doc_id", F.col("n").alias("words"), F.lit(1).cast("long").alias("copies"), start.cast("long").alias("s"))
+    nothing = (F.lit(None).cast("long"), zero, zero)
+    alls = alls.union(sums.filter("kind = 0").select("uid", *nothing, "s"))
+    warm = sums.filter("kind = 1").join(small(counts), F.col("key") == F.col("_key"))
+    alls = alls.union(warm.select("uid", *nothing, (F.col("n") * value(F.col("c"))).cast("long")))
+    if corpus is not None:
+        lost = sums.filter("kind = 4").select("uid", F.col("key").alias("v"), F.col("s").alias("w"), "n")
+        lost = lost.union(warm.filter("c = 0 AND (doc_id <> 0 OR s <> 0)").select("uid", "doc_id", "s", "n"))
+        for side in ("v", "w"):
+            lost = lost.join(small(words).select(F.col("word").alias(f"_{side}"), F.col("c").alias(f"c{side}")), F.col(side) == F.col(f"_{side}"), "left")
+        back = value(F.col("cv")) + value(F.col("cw")) + round(SCALE * float(np.log(ALPHA))) - of_total
+        alls = alls.union(lost.select("uid", *nothing, (F.col("n") * back).cast("long")))
+    found = alls.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("words").alias("words"), F.sum("copies").alias("copies"), F.sum("s").alias("s"))
+    found = found.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id")))
+    return found.select("doc_id", F.expr("words div copies").alias("n_words"), F.round(F.col("s") / F.col("copies") / SCALE, 6).alias("score"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(docs, CountTables(docs))
+    """doc_id, n_words and score of every document, by the words and pairs of words of all documents; see scored()."""
+    return scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS word, unnest(list_concat([NULL], ws[:-2])) AS prev FROM w),
-total AS (SELECT count(*) AS n FROM t),
-uni AS (SELECT word, count(*) AS c FROM t GROUP BY word HAVING count(*) * {PARTS} >= (SELECT n FROM total)),
-unk AS (SELECT greatest(1, (SELECT n FROM total) - coalesce((SELECT sum(c) FROM uni), 0)) AS c),
-k AS (SELECT t.doc_id, CASE WHEN t.prev IS NULL THEN NULL ELSE coalesce(a.word, '') END AS prev, coalesce(b.word, '') AS word,
-        coalesce(a.c, (SELECT c FROM unk)) AS cp, coalesce(b.c, (SELECT c FROM unk)) AS cw
-      FROM t LEFT JOIN uni a ON t.prev = a.word LEFT JOIN uni b ON t.word = b.word),
-bi AS (SELECT prev, word, count(*) AS c FROM k WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
-s AS (SELECT k.doc_id, CAST(CASE WHEN k.prev IS NULL THEN round({SCALE} * (ln(cw) - ln((SELECT n FROM total))))
-        WHEN bi.c IS NOT NULL THEN round({SCALE} * (ln(bi.c) - ln(cp)))
-        ELSE round({SCALE} * (ln({ALPHA}) + ln(cw) - ln((SELECT n FROM total)))) END AS BIGINT) AS s
-      FROM k LEFT JOIN bi ON k.prev = bi.prev AND k.word = bi.word)
+uni AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+bi AS (SELECT prev, word, count(*) AS c FROM t WHERE prev IS NOT NULL GROUP BY prev, word),
+s AS (SELECT t.doc_id, CAST(floor({SCALE} * ln(coalesce(bi.c, a.c)) + 0.5) AS BIGINT)
+        - CAST(floor({SCALE} * ln(coalesce(b.c, (SELECT count(*) FROM t))) + 0.5) AS BIGINT) AS s
+      FROM t JOIN uni a ON t.word = a.word LEFT JOIN uni b ON t.prev = b.word LEFT JOIN bi ON t.prev = bi.prev AND t.word = bi.word)
 SELECT d.doc_id, CAST(count(s.s) AS BIGINT) AS n_words, round(CAST(coalesce(sum(s.s), 0) AS BIGINT) / {SCALE}, 6) AS score
 FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """
