@@ -24,7 +24,7 @@ HOT, LEAST = 1 << 10, 64
 SCALE = 1_000_000
 #: Texts sent at once to a Python worker, and words and texts of one lot. They bound memory, not results.
 BATCH = 500
-HELD, MOST_TEXTS = 1 << 21, 1 << 16
+HELD, MOST_TEXTS = 1 << 20, 1 << 16
 
 #: Bytes whose words are hashed at once (a longer word is one lot); bounds memory.
 LOT = 1 << 20
@@ -114,17 +114,19 @@ def _parcels(parts: int, count: bool, score: bool, most: int) -> Callable:
     def out(words: np.ndarray, lengths: np.ndarray, uids: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         rows: list[tuple] = []
         total = len(words)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        inside = np.flatnonzero(owner[:-1] == owner[1:]).astype(np.int32)
         v, w = words[inside], words[inside + 1]
         keys = np.concatenate([words, pair_hashes(v, w)]).view(np.uint64)
-        order = np.argsort(keys)
-        fresh = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])[: len(keys)]
+        order = np.argsort(keys).astype(np.int32)  # a lot has fewer n-grams
+        keys = keys[order]
+        fresh = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
         new = np.flatnonzero(fresh)
-        number = np.empty(len(keys), np.int64)
-        number[order] = np.cumsum(fresh) - 1
+        number = np.empty(len(keys), np.int32)
+        number[order] = np.cumsum(fresh, dtype=np.int32) - 1
         first = order[new]  # where each n-gram occurs
-        grams, n = keys[first], np.diff(np.append(new, len(keys)))
+        grams, n = keys[new], np.diff(np.append(new, len(keys)))
+        del keys, order, fresh, new
         of_pair = first >= total
         none = np.zeros(0, np.int64)
         starts, gram_owner, times = np.zeros(len(grams) + 1, np.int64), none, none
@@ -144,17 +146,19 @@ def _parcels(parts: int, count: bool, score: bool, most: int) -> Callable:
             ends[(last - lengths + 1)[lengths > 0]] = True
             ends[last[lengths > 0]] = True
             inner = np.flatnonzero(~ends)
-            codes = np.sort(np.concatenate([number[total:] << 16 | owner[inside], number[inner] << 16 | owner[inner]]))
+            codes = np.concatenate([number[total:].astype(np.int64) << 16 | owner[inside], number[inner].astype(np.int64) << 16 | owner[inner]])
+            codes.sort()
             change = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
             at = np.flatnonzero(change)
-            times, codes = np.diff(np.append(at, len(codes))), codes[at]
+            times, codes = np.diff(np.append(at, len(codes))).astype(np.int32), codes[at]
+            del change, at, inner, ends
             times = np.where(of_pair[codes >> 16], times, -times)
             alone = np.flatnonzero(lengths == 1)
-            single = np.sort(number[last[alone]] << 16 | alone)
+            single = np.sort(number[last[alone]].astype(np.int64) << 16 | alone)
             place = np.searchsorted(codes, single)
             codes, times = np.insert(codes, place, single), np.insert(times, place, 1)
             starts = np.searchsorted(codes, np.arange(len(grams) + 1) << 16)
-            gram_owner = codes & 0xFFFF
+            gram_owner = (codes & 0xFFFF).astype(np.uint16)
             rows.append((0, 2, ids.tobytes(), lengths.astype(np.int64).tobytes(), b"", b"", b"", b"", b"", b"", uids.tobytes()))
             warm = np.flatnonzero(np.repeat(hot, np.diff(starts)))
             by = warm[np.argsort(gram_owner[warm], kind="stable")]
