@@ -290,6 +290,46 @@ def test_extraction():
     assert html.extract(f"<p>{long}</p><p>Short one.</p><p>{long}</p><p><a href=x>{long}</a></p><p>Other.</p>") == f"{long.strip()}\nShort one.\n{long.strip()}"
 
 
+def test_names_that_hold_a_marked_word_do_not_remove_the_page():
+    long = "the of and to in a is that it for on was with as be by " * 8
+    two = f"<p>{long}</p><p>{long}</p>"
+    for name in ("content no-sidebar", "page-with-header", "post has-ads", "social-science", "wrapper", "advertising-history", "content widget"):
+        assert html.extract(f"<div class='{name}'>{two}</div>") == f"{long.strip()}\n{long.strip()}", name
+        assert html.extract(f"<article><div class='{name}'><p>One.</p></div></article>") == "One.", name
+    for name in ("sidebar", "site-footer", "cookie-notice", "ad-slot-2", "comments", "related_posts", "nav menu", "newsletter-signup"):
+        assert html.extract(f"<div class='{name}'>{two}</div><div><p>{long}</p></div>") == long.strip(), name
+    kept = f"<article><p>{long}</p><figure><img><figcaption>The caption.</figcaption></figure><p><a href=x>One link alone.</a></p><object>Shown.</object><p>{long}</p></article>"
+    assert html.extract(kept) == f"{long.strip()}\nThe caption.\nOne link alone.\nShown.\n{long.strip()}"
+    menu = f"<article><p>{long}</p><ul><li><a href=a>First other page</a><li><a href=b>Second other page</a></ul></article>"
+    assert html.extract(menu) == long.strip()
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for piece in ("<div", "<a '", "<a x='", '<a b="', "<", "</", "<!", "<!--", "<div x=", "<script>", "<p><b", "<i>", "</x><i>", "&", "<a>", "<x / "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            html.extract(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.5, piece
+    assert html.extract("<article>a < b <i d='e>f' g>h</i> 1<2 &lt;x&gt;<br/>i") == "a < b h 1<2 <x>\ni"
+
+
+def test_extraction_of_all_pages_matches_brute_force(spark):
+    import html as entities
+
+    rows = spark.read.parquet(f"{DIR}/pages.parquet").collect()
+    got = {r.page_id: r for r in registry.queries()["op7_html_extraction"](spark, DIR).collect()}
+    assert len(got) == len(rows) > 20
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        pieces = [re.sub(r"</?b>", "", x) for x in re.split(r"</?(?:p|h1|br)>", inner)]
+        want = "\n".join(x for x in (" ".join(entities.unescape(y).split()) for y in pieces) if x)
+        assert (got[r.page_id].url, got[r.page_id].text, got[r.page_id].n_chars) == (r.url, want, len(want))
+
+
 def test_extraction_of_odd_pages(spark):
     rows = spark.createDataFrame([(1, None, None, 5), (None, "u", "<article>x</article>", 6), (None, "u", "<article>x</article>", 6)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extracted(rows).collect()) == [(0, "x", 1), (0, "x", 1), (1, "", 0)]

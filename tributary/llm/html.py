@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,67 +21,101 @@ STOP_WORDS = frozenset(
 )
 #: Elements whose whole content is no text of the page, and those that hold menus, notices, forms and the like.
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
-AWAY = frozenset("nav footer aside form menu button select dialog head object map figcaption".split())
+AWAY = frozenset("nav footer aside form menu button select head".split())
+#: These go only outside the article, where they hold the site's name or a notice.
+AWAY_OUTSIDE = frozenset("header dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub
     sup time tt u var wbr data ruby rb rt rp input link meta area param source track""".split()
 )
 MAIN = frozenset("article main".split())
-#: Words in class, id or role that mark an element as away.
+#: A name in class, id or role marks an element as away if it is one of these, or made of them and of PLAIN words only: site-footer and
+#: cookie-notice do, no-sidebar, page-with-header, has-ads and social-science do not.
 AWAY_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices
-    sidebar aside menu nav navbar navigation footer header masthead breadcrumb breadcrumbs comment comments reply replies respond
-    disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget
-    pagination pager toolbar alert disclaimer copyright gdpr paywall search searchbox form complementary contentinfo""".split()
+    sidebar aside menu nav navbar navigation footer masthead breadcrumb breadcrumbs comment comments reply replies respond
+    disqus share sharing related recommended newsletter subscribe subscription signup login popup modal overlay
+    pagination pager toolbar alert disclaimer gdpr paywall searchbox searchform complementary contentinfo""".split()
 )
+#: These mark outside the article only, where a name of an article's own part cannot be meant.
+AWAY_NAMES_OUTSIDE = frozenset("header search form copyright social widget".split())
+PLAIN = frozenset(
+    """site page global top bottom left right main primary secondary box list item items container wrapper wrap inner outer holder bar block
+    section area slot unit links link buttons button icons icon media posts articles stories content body text thread form policy
+    desktop mobile sticky fixed google dfp""".split()
+)
+#: An element of one of these names holds text whatever its other names say.
+TEXT_NAMES = frozenset("content article post entry story main text body".split())
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.10, 0.20
 LINKS_HIGH = 0.5
 
-PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What may follow a tag's name, one at a time: its end, or an attribute. No part can match in two ways, so a page takes linear time.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)("?)|'([^']*+)('?)|([^\s>"'][^\s>]*+)|(?=>)))?)""")
+TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
 NAME_PART = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HIDDEN = re.compile(r"display\s*+:\s*+none")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    """Text of one block, the characters of it inside links, and whether the article holds it."""
+    """Text of one block, the characters of it inside links, whether the article holds it and whether it is an item of a list."""
+
+    __slots__ = ("item", "linked", "main", "text")
 
-    __slots__ = ("linked", "main", "text")
+    def __init__(self, text: str, linked: int, main: bool, item: bool):
+        self.text, self.linked, self.main, self.item = text, linked, main, item
 
-    def __init__(self, text: str, linked: int, main: bool):
-        self.text, self.linked, self.main = text, linked, main
+
+def attributes_from(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes that stand at `at`, after a tag's name, and where the tag ends; -1 if it has no end, when the rest of the page is in it."""
+    out: dict[str, str] = {}
+    while m := ATTRIBUTE.match(page, at):
+        at = m.end()
+        if m[1]:
+            return out, at
+        if m[3] is not None and not m[4] or m[5] is not None and not m[6]:
+            return out, -1
+        out.setdefault(m[2].lower(), m[3] or m[5] or m[7] or "")
+    return out, -1
 
 
-def _away(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in AWAY or tag == "header" and not in_main or HIDDEN.search(attributes):
+def _away(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+    if tag in AWAY or tag in AWAY_OUTSIDE and not in_main:
+        return True
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attributes.get("style", "").lower()):
         return True
     if tag in ("html", "body") or tag in MAIN:
         return False
-    parts = {w for m in NAMES.finditer(attributes) for w in NAME_PART.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(parts & AWAY_NAMES)
+    marks = AWAY_NAMES if in_main else AWAY_NAMES | AWAY_NAMES_OUTSIDE
+    names = [x for k in ("class", "id", "role") for x in attributes.get(k, "").lower().split()]
+    if any(x in TEXT_NAMES for x in names):
+        return False
+    parts = [set(NAME_PART.findall(x)) for x in names]
+    return any(p & marks and p <= marks | PLAIN for p in parts)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks outside removed elements, in page order; white space runs are one space, references decoded, empty ones gone.
 
-    One pass over the page: tags out of place close what they can, an unclosed element ends with the one around it.
+    One pass over the page, in time linear in it: tags out of place close what they can, an unclosed element ends with the one around it, and
+    a tag, comment or script without an end takes the rest of the page, as in a browser.
     """
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each begins a removed one
-    away = anchors = mains = 0
-    at = 0
+    opened: Counter[str] = Counter()
+    away = mains = 0
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), mains > 0))
+                out.append(Block(text, min(linked, len(text)), mains > 0, opened["li"] > 0))
             parts.clear()
         linked = 0
 
@@ -89,44 +124,56 @@ def blocks(page: str) -> list[Block]:
         if end > at and not away:
             raw = page[at:end]
             parts.append(raw)
-            if anchors:
+            if opened["a"]:
                 linked += len(" ".join(entities.unescape(raw).split()))
 
     def pop() -> None:
-        nonlocal away, anchors, mains
+        nonlocal away, mains
         tag, gone = stack.pop()
+        opened[tag] -= 1
         away -= gone
-        anchors -= tag == "a"
         mains -= tag in MAIN
 
-    while m := PIECE.search(page, at):
-        text_to(m.start())
-        at = m.end()
-        if not m[2]:
+    at = look = 0  # text from `at` is not yet taken; the next tag is sought from `look`
+    while (lt := page.find("<", look)) >= 0:
+        if page.startswith(("<!", "<?"), lt):
+            text_to(lt)
+            end = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)
+            at = look = len(page) if end < 0 else end + (3 if page.startswith("<!--", lt) else 1)
+            continue
+        m = TAG.match(page, lt + 1)
+        if not m:
+            look = lt + 1
             continue
+        text_to(lt)
         tag, closing = m[2].lower(), bool(m[1])
+        attributes, end = attributes_from(page, m.end())
+        at = look = len(page) if end < 0 else end
+        if end < 0:
+            break
+        empty = page[end - 2] == "/"
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                at = end.end()
+            if not closing and not empty:
+                close = RAW_END[tag].search(page, at)
+                at = look = close.end() if close else len(page)
             continue
         if tag not in INLINE:
             close_block()
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag == "a":  # links do not nest
-                while anchors and any(t == "a" for t, _ in stack[-3:]):
+        elif tag not in VOID and not empty:
+            if tag == "a" and any(t == "a" for t, _ in stack[-3:]):  # links do not nest
+                while opened["a"] and any(t == "a" for t, _ in stack[-3:]):
                     pop()
             if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 pop()
-            gone = _away(tag, m[3], mains > 0)
+            gone = _away(tag, attributes, mains > 0)
             stack.append((tag, gone))
+            opened[tag] += 1
             away += gone
-            anchors += tag == "a"
             mains += tag in MAIN
     text_to(len(page))
     close_block()
@@ -137,7 +184,8 @@ def first_pass(b: Block) -> str:
     """good, near, short or bad by the block alone."""
     n = len(b.text)
     if b.linked > LINKS_HIGH * n:
-        return "bad"
+        # a paragraph of the article may be one link, a list of links is a menu
+        return "near" if b.main and not b.item else "bad"
     if n < LENGTH_LOW:
         return "bad" if b.linked and not b.main else "short"
     found = WORD.findall(b.text.lower())
@@ -203,4 +251,5 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page; see extracted()."""
     return extracted(table(spark, sf_dir, "pages"))

@@ -124,6 +124,27 @@ def ratios(target: DataFrame, raw: DataFrame) -> DataFrame:
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_ngrams", "score_micro", "kept", "_m", "_t", "_llr")
 
 
+def model(docs: DataFrame, labels: DataFrame | None, max_trusted: int = MAX_TRUSTED) -> Column:
+    """The ratios as a scalar subquery, by the n-grams of all documents and of the trusted ones."""
+    raw = bucket_counts(docs.select("text"))
+    if labels is None:
+        target = raw.limit(0)
+    else:
+        target = bucket_counts(docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, max_trusted)), "doc_id", "left_semi"))
+    return ratios(target, raw).scalar()
+
+
+def summed(buckets: Column, llr: Column) -> Column:
+    return F.aggregate(buckets, F.lit(0).cast("long"), lambda acc, b: acc + F.get(llr, b.cast("int")))
+
+
+def passes(text: Column, llr: Column, threshold: float = THRESHOLD) -> Column:
+    """kept of with_quality() as one expression, so that a filter computes each measure once and scores only what the base rules leave."""
+    base = let(words(text), lambda w: (F.size(w) >= 50) & (100 * repeat_words(w) <= 50 * F.size(w)))
+    score = let(ngram_buckets(text), lambda g: summed(g, llr) >= math.floor(threshold * SCALE) * F.size(g).cast("long"))
+    return F.when(base, score).otherwise(F.lit(False))
+
+
 def with_quality(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """docs with the base measures, base_failed, n_ngrams, score_micro (summed ratio) and kept.
 
@@ -133,12 +154,7 @@ def with_quality(docs: DataFrame, labels: DataFrame | None, threshold: float = T
     Null or empty text: all measures 0, base_failed. No trusted rows (or labels None): ratios of 0, the base
     rules decide. Null or repeated doc_ids and any further columns are carried along, one row out for each in.
     """
-    raw = bucket_counts(docs.select("text"))
-    if labels is None:
-        target = raw.limit(0)
-    else:
-        target = bucket_counts(docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, max_trusted)), "doc_id", "left_semi"))
-    llr = ratios(target, raw).scalar()
+    llr = model(docs, labels, max_trusted)
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], base_measures(F.col("text")).alias("_m"))
     out = out.select("*", *[F.col(f"_m.{k}") for k in measures]).drop("_m")
@@ -146,7 +162,7 @@ def with_quality(docs: DataFrame, labels: DataFrame | None, threshold: float = T
         F.array(ngram_buckets(F.col("text"))),
         lambda g: F.struct(
             F.size(g).cast("long").alias("n"),
-            F.aggregate(g, F.lit(0).cast("long"), lambda acc, b: acc + F.get(F.col("_llr"), b.cast("int"))).alias("s"),
+            summed(g, F.col("_llr")).alias("s"),
         ),
     )
     out = out.withColumn("_llr", llr).withColumn("_t", F.element_at(totals, 1)).drop("_llr")
@@ -170,6 +186,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, in the columns that they came with."""
-    judged = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])) if set(docs.columns) & set(ADDED) else docs
-    out = with_quality(judged, table(spark, sf_dir, "labels")).filter("kept")
-    return out.select("_row.*") if judged is not docs else out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # the ratios are a column of their own: a subquery within a lambda would be looked at for every element
+    judged = docs.select(row.alias("_row"), F.col("text").alias("_text"), model(docs, table(spark, sf_dir, "labels")).alias("_llr"))
+    return judged.filter(passes(F.col("_text"), F.col("_llr"))).select("_row.*")
