@@ -105,3 +105,41 @@ def test_coaccess_union_and_provenance_take_every_key(spark):
     assert got == {(u, a): (ranks.get((u, a), 0), ranks.get((u + 1, a), 0)) for u, a in keys}
     assert min(r.score for r in rows("coaccess_sum_of_max")) < 5
     assert all(0 < min(r.s for r in rows(name)) < 1 for name in ("profile_linear_score", "profile_log_score"))
+
+
+def test_terms_keep_accented_letters(spark):
+    from tributary.plans.dialect import Query, run
+
+    got = run(Query("SELECT @TERMS(concat('Über-élan 3x', CAST(aid AS STRING)) ) AS term FROM article WHERE aid = 1"), spark, DIR)
+    assert [r.term for r in got.collect()] == ["über", "élan", "3x1"]
+
+
+def test_a_removed_article_scores_no_folder(spark):
+    from collections import defaultdict
+
+    from tributary.plans.dialect import Query, run
+
+    state, judged, viewed = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in sorted(run(Query("SELECT id, uid, aid, kind, op FROM act"), spark, DIR).collect()):
+        key = r.uid, r.aid
+        if r.kind in ("purchase", "error"):
+            state[key] = 1000 if r.kind == "purchase" else 0
+        if r.kind in ("signup", "error"):
+            judged[key] = r.op
+        if r.kind in ("view", "click"):
+            viewed[key] = max(viewed[key], r.op)
+    want = {k: s for k in state | judged | viewed if (s := state[k] + judged[k] + viewed[k])}
+    assert {(r.uid, r.aid): r.score for r in registry.queries()["page_score"](spark, DIR).collect()} == want
+
+
+def test_rank_vectors_are_compared_place_by_place(spark):
+    from collections import defaultdict
+
+    from tributary.plans.dialect import Query, run
+
+    ranks = defaultdict(list)
+    for r in run(Query("SELECT aid, rn FROM ranked_page"), spark, DIR).collect():
+        ranks[r.aid].append(r.rn)
+    longest = max(map(len, ranks.values()))
+    order = sorted(ranks, key=lambda a: (sorted(ranks[a]) + [10**9] * (longest - len(ranks[a])), a is not None, a))
+    assert [r.aid for r in registry.queries()["rank_vector_merge"](spark, DIR).collect()] == order[:20]

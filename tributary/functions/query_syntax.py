@@ -56,7 +56,7 @@ def _any_starts(words: Column, prefix: str) -> Column:
 
 def predicate(clauses: list[Clause], text: dict[str, Column], category: Column, day: Column | None = None, today: Column | None = None) -> Column:
     """Whether a row meets all clauses; no clause is met by none. text: the fields that are searched, words parted by anything but a-z, 0-9."""
-    words = {f: F.split(F.lower(c), "[^a-z0-9]+") for f, c in text.items()}
+    words = {f: F.split(F.lower(c), r"[^\p{L}\p{Nd}]+") for f, c in text.items()}
     out = F.lit(bool(clauses))
     for c in clauses:
         where = [words[c.field]] if c.field in words else list(words.values())

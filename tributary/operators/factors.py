@@ -85,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (singular_values, rocchio_profiles, similarity_priors, query_search)}
 
 
-PADDED = "concat(' ', @REALL(lower(coalesce(body, '')), '[^a-z0-9]+', ' '), ' ')"
+PADDED = r"concat(' ', @REALL(lower(coalesce(body, '')), '[^\p{L}\p{Nd}]+', ' '), ' ')"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -285,7 +285,7 @@ def vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def match(texts: pd.Series) -> pd.Series:
         import re
 
-        return texts.map(lambda t: longest_match([w for w in re.split(r"[^a-z0-9]+", t.lower().strip()) if w], entries, 6))
+        return texts.map(lambda t: longest_match([w for w in re.split(r"[\W_]+", t.lower().strip()) if w], entries, 6))
 
     return docs.select("aid", match("text").alias("m")).select("aid", *[F.get("m", F.lit(k)).alias(f"c{k}") for k in range(6)])
 

@@ -61,10 +61,6 @@ QUERIES = {
     "exclusions": Query("SELECT aid FROM article r WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.aid = r.aid AND a.op < 0)"),
     "unseen_articles": Query("SELECT aid FROM article EXCEPT SELECT aid FROM act"),
     "accepted_actions": Query("SELECT id, uid, aid FROM act a WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.aid AND l.quality = 1)"),
-    "as_of_latest": Query(
-        """SELECT id, prior_id FROM (SELECT a.id, p.id AS prior_id, row_number() OVER (PARTITION BY a.id ORDER BY p.id DESC) AS rn
-        FROM act a JOIN act p ON a.uid = p.uid AND p.id < a.id WHERE p.kind = 'purchase') x WHERE rn = 1"""
-    ),
     "as_of_latest_window": Query("SELECT id, max(CASE WHEN kind = 'purchase' THEN id END) OVER (PARTITION BY uid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_id FROM act"),
     "union_newer": Query(
         "SELECT uid, aid, max(id) AS id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x GROUP BY uid, aid",
@@ -107,8 +103,10 @@ QUERIES = {
     "fractional_sample": Query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY uid ORDER BY id) AS rn FROM act) x WHERE floor(rn * 0.25) > floor((rn - 1) * 0.25)"),
     "hash_split": Query("SELECT CASE WHEN @COIN(CAST(aid AS STRING)) % 2 = 0 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM article GROUP BY 1"),
     "page_window": Query("SELECT uid, aid, rn FROM (SELECT uid, aid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, aid) AS rn FROM page_score) x WHERE rn BETWEEN 6 AND 15"),
+    # articles by their ranks in all lists, ascending, compared place by place; of two where one goes on the longer is better
     "rank_vector_merge": Query(
-        "SELECT aid, n_lists, best, total FROM (SELECT aid, count(*) AS n_lists, min(rn) AS best, CAST(sum(score) AS BIGINT) AS total FROM ranked_page WHERE rn <= 100 GROUP BY aid) x ORDER BY best, n_lists DESC, total DESC, aid LIMIT 20"
+        "SELECT aid, n_lists, best, total, age FROM (SELECT aid, count(*) AS n_lists, min(rn) AS best, CAST(sum(score) AS BIGINT) AS total, min(age) AS age, @RANKS(rn) AS ranks FROM a GROUP BY aid) x ORDER BY ranks, n_lists DESC, aid LIMIT 20",
+        "a AS (SELECT aid, rn, score, CAST(row_number() OVER (PARTITION BY uid ORDER BY last_id DESC, aid) - 1 AS INT) AS age FROM ranked_page)",
     ),
     "provenance_ranks": Query(
         "SELECT coalesce(a.uid, b.uid) AS uid, coalesce(a.aid, b.aid) AS aid, coalesce(a.rn, 0) AS arank, coalesce(b.rn, 0) AS brank FROM a FULL OUTER JOIN b ON a.uid = b.uid AND a.aid = b.aid",
@@ -134,9 +132,9 @@ QUERIES = {
     "date_range": Query("SELECT id FROM act WHERE t >= TIMESTAMP '2024-01-10 00:00:00' AND t < TIMESTAMP '2024-01-17 00:00:00'"),
     "profile_from_history": Query("SELECT uid, term, round(w1, 6) AS w1, round(sqrt(w1), 6) AS w2 FROM profile"),
     "profile_linear_score": Query(
-        "SELECT uid, aid, s FROM (SELECT uid, v.aid, round(sum(w1 * x * sqrt(idf)), 5) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term GROUP BY uid, v.aid) x WHERE s >= 1"
+        "SELECT uid, aid, s FROM (SELECT uid, v.aid, round(sum(w1 * x * sqrt(idf)), 5) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term GROUP BY uid, v.aid) x WHERE s > 0"
     ),
-    "profile_log_score": Query("SELECT uid, aid, s FROM (SELECT uid, p.aid, round(sum(ln(1 + tf) * w1 * idf), 5) AS s FROM profile f JOIN posting p ON f.term = p.term JOIN idf i ON p.term = i.term GROUP BY uid, p.aid) x WHERE s >= 1"),
+    "profile_log_score": Query("SELECT uid, aid, s FROM (SELECT uid, p.aid, round(sum(ln(1 + tf) * w1 * idf), 5) AS s FROM profile f JOIN posting p ON f.term = p.term JOIN idf i ON p.term = i.term GROUP BY uid, p.aid) x WHERE s > 0"),
     "flagship": Query(
         "SELECT uid, aid, round(s, 5) AS s, CAST(rn AS INT) AS rn FROM (SELECT uid, aid, s, row_number() OVER (PARTITION BY uid ORDER BY round(s, 5) DESC, aid) AS rn FROM c) x WHERE rn <= 10",
         """c AS (SELECT f.uid, v.aid, sum(w1 * x * sqrt(idf)) AS s FROM profile f JOIN vec v ON f.term = v.term JOIN idf i ON v.term = i.term

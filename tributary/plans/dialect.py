@@ -17,11 +17,17 @@ FUNCTIONS = {
     "COIN": ("CAST(conv(substr(md5($1), 1, 8), 16, 10) AS BIGINT)", "CAST(concat('0x', substr(md5($1), 1, 8)) AS BIGINT)"),
     "DAYS": ("datediff($1, $2)", "date_diff('day', CAST($2 AS DATE), CAST($1 AS DATE))"),
     "EPOCH": ("unix_timestamp($1)", "CAST(floor(epoch($1)) AS BIGINT)"),
-    "TERMS": ("explode(split(lower($1), '[^a-z0-9]+'))", "unnest(regexp_split_to_array(lower($1), '[^a-z0-9]+'))"),
+    "TERMS": (r"explode(split(lower($1), r'[^\p{L}\p{Nd}]+'))", r"unnest(regexp_split_to_array(lower($1), '[^\p{L}\p{Nd}]+'))"),
     "LAST": ("max_by($1, $2)", "arg_max($1, $2)"),
     "VECTOR": ("posexplode(transform($1, x -> CAST(x AS DOUBLE))) AS (pos, v)", "unnest(generate_series(0, len($1) - 1)) AS pos, unnest(CAST($1 AS DOUBLE[])) AS v"),
     "LISTAGG": ("array_join(array_sort(collect_set($1)), ' ')", "array_to_string(list_sort(list_distinct(list($1))), ' ')"),
     "DAY": ("CAST($1 AS DATE)", "CAST($1 AS DATE)"),
+    # fixed width, with a last sign above all digits, so that a vector of which another is the beginning comes first
+    "RANKS": (
+        "concat(array_join(transform(array_sort(collect_list($1)), x -> lpad(CAST(x AS STRING), 9, '0')), ''), '~')",
+        "concat(array_to_string(list_transform(list_sort(list($1)), lambda x: lpad(CAST(x AS VARCHAR), 9, '0')), ''), '~')",
+    ),
+    "RINT": ("rint($1)", "round_even($1, 0)"),
     "RE1": ("regexp_extract($1, $2, 1)", "regexp_extract($1, $2, 1)"),
     "REALL": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
 }
@@ -40,10 +46,10 @@ VIEWS = {
     "idf": "SELECT term, df, 1 + ln((SELECT n FROM n_docs) / CAST(1 + df AS DOUBLE)) AS idf FROM df",
     "norm": "SELECT p.aid, sqrt(sum(tf * tf * idf)) AS norm FROM posting p JOIN idf i ON p.term = i.term WHERE df >= 10 GROUP BY p.aid",
     "vec": "SELECT p.aid, p.term, tf * sqrt(idf) / norm AS x FROM posting p JOIN idf i ON p.term = i.term JOIN norm n ON p.aid = n.aid WHERE df >= 10 AND norm > 0",
-    "page_score": """SELECT uid, aid, 1000 * coalesce(max(CASE WHEN kind = 'purchase' THEN 1 END), 0)
+    "page_score": """SELECT uid, aid, CASE WHEN @LAST(CASE WHEN kind IN ('purchase', 'error') THEN kind END, CASE WHEN kind IN ('purchase', 'error') THEN id END) = 'purchase' THEN 1000 ELSE 0 END
         + coalesce(@LAST(CASE WHEN kind IN ('signup', 'error') THEN op END, CASE WHEN kind IN ('signup', 'error') THEN id END), 0)
         + coalesce(max(CASE WHEN kind IN ('view', 'click') THEN op END), 0) AS score, max(id) AS last_id FROM act GROUP BY uid, aid""",
-    "ranked_page": "SELECT uid, aid, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, last_id DESC, aid) AS rn FROM page_score WHERE score > 0",
+    "ranked_page": "SELECT uid, aid, score, last_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, last_id DESC, aid) AS rn FROM page_score WHERE score > 0",
     "profile": """SELECT uid, v.term, sum(x / (1 + ln(rn))) AS w1 FROM ranked_page r JOIN vec v ON r.aid = v.aid GROUP BY uid, v.term""",
 }
 
@@ -97,7 +103,9 @@ def text(query: Query, sf_dir: str | None = None) -> str:
         parts.append(query.ctes)
     sql = f"WITH {', '.join(parts)} {query.select}" if parts else query.select
     sql = sql.replace("@NOW", NOW)
-    return _filled(sql, 0 if sf_dir else 1).replace("AS STRING", "AS STRING" if sf_dir else "AS VARCHAR")
+    if not sf_dir:
+        sql = re.sub(r"\bdiv\b", "//", sql)
+    return _filled(sql, 0 if sf_dir else 1).replace("@BACK1", "$1" if sf_dir else "\\1").replace("AS STRING", "AS STRING" if sf_dir else "AS VARCHAR")
 
 
 def run(query: Query, spark: SparkSession, sf_dir: str) -> DataFrame:

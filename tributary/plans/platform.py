@@ -77,8 +77,10 @@ QUERIES = {
     "subject_candidates": Query(
         "SELECT cat, aid, CAST(rn AS INT) AS rn FROM (SELECT cat, aid, row_number() OVER (PARTITION BY cat ORDER BY last_t DESC, aid) AS rn FROM (SELECT r.cat, r.aid, max(a.t) AS last_t FROM article r JOIN act a ON r.aid = a.aid WHERE a.t >= @NOW - INTERVAL '7' DAY GROUP BY r.cat, r.aid) y) x WHERE rn <= 200"
     ),
+    # the sum of products of weights over pairs of actions of a session in a year, but of the reader's own sessions
     "coaccess_sessions": Query(
-        "SELECT a1.aid AS a0, a2.aid AS a1, count(*) AS n FROM act a1 JOIN act a2 ON a1.sid = a2.sid AND a1.aid <> a2.aid WHERE a1.w > 0 AND a2.w > 0 GROUP BY a1.aid, a2.aid"
+        "SELECT a1.aid AS a0, a2.aid AS a1, CAST(sum(a1.w * a2.w) AS BIGINT) AS score FROM s a1 JOIN s a2 ON a1.sid = a2.sid AND a1.aid <> a2.aid GROUP BY a1.aid, a2.aid",
+        "s AS (SELECT sid, aid, w FROM act WHERE w > 0 AND aid IS NOT NULL AND t > @NOW - INTERVAL '365' DAY AND uid <> 1)",
     ),
     "explore_exploit": Query(
         "SELECT aid, cat, round(p, 8) AS exploit, CAST(row_number() OVER (PARTITION BY cat ORDER BY round(p, 8) DESC, aid) AS INT) AS place FROM v",

@@ -8,11 +8,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.operators import factors, kernels, sampling, scoring, similarity
-from tributary.plans import catalogue, dialect, platform
+from tributary.plans import catalogue, dialect, platform, records
 from tributary.sources import exchange
 from tributary.streaming import incremental
 
-QUERIES = catalogue.QUERIES | platform.QUERIES
+QUERIES = catalogue.QUERIES | platform.QUERIES | records.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
