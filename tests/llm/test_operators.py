@@ -271,7 +271,7 @@ def test_slot_map_versions(spark, tmp_path):
     weights = [1 + s * s % 17 for s in range(64)]
     second, grown = first.rebalanced(weights), first.grown(weights)
     assert all(k == old or k == 4 for k, old in zip(grown.shards, first.shards)) and 4 in grown.shards
-    for m in (first, second):
+    for m in (first, second, first):
         m.save(spark, f"file://{tmp_path}/map")
     assert sharding.SlotMap.load(spark, f"file://{tmp_path}/map") == second
     assert sharding.SlotMap.load(spark, f"file://{tmp_path}/map", 1) == first

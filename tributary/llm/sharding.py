@@ -80,8 +80,9 @@ class SlotMap:
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the map table at path; earlier versions stay readable."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Put this version into the map table at path, in place of what it holds of the same version; other versions stay readable."""
+        rows = self.frame(spark).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy("version").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
