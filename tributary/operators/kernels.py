@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tributary.plans import dialect
 
-LIST_LENGTH = 100
+LIST_LENGTH = 200
 
 
 def gamma(i: int) -> float:
@@ -113,7 +113,7 @@ def greedy_utility(linear: np.ndarray, terms: np.ndarray, signs: np.ndarray, mos
     return out
 
 
-#: Steps of the backward induction, as in Mu.java.
+#: Steps of the backward induction.
 HORIZON = 1000
 
 
@@ -153,14 +153,15 @@ def kalman(mu: np.ndarray, sigma: np.ndarray, x: np.ndarray, y: float, noise: fl
     return mu + k * (y - x @ mu), sigma - np.outer(k, x @ sigma)
 
 
-def digamma(x: float) -> float:
-    """By the recurrence up to 6, then the asymptotic series."""
-    shift = 0.0
-    while x < 6:
-        shift -= 1 / x
-        x += 1
+def digamma(x: float | np.ndarray) -> float | np.ndarray:
+    """Of positive numbers, by the recurrence up to 6, then the asymptotic series."""
+    x, shift = np.array(x, float), 0.0
+    for _ in range(6):
+        low = x < 6
+        shift = shift - np.where(low, 1 / x, 0)
+        x = np.where(low, x + 1, x)
     inv = 1 / (x * x)
-    return shift + math.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+    return shift + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
 def longest_match(tokens: Sequence[str], vocabulary: dict[tuple[str, ...], int], clusters: int) -> list[int]:
@@ -271,7 +272,7 @@ def topic_means(spark: SparkSession, sf_dir: str, alpha: float = 0.1) -> DataFra
 
     @F.pandas_udf("double")
     def psi(x: pd.Series) -> pd.Series:
-        return x.map(digamma)
+        return pd.Series(digamma(x.to_numpy()))
 
     return total.select("aid", "topic", F.round(F.col("a") / F.col("s"), 8).alias("theta"), F.round(psi("a") - psi("s"), 6).alias("log_theta"))
 

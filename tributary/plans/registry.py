@@ -7,17 +7,17 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.operators import factors, kernels, sampling, scoring, similarity
-from tributary.plans import catalogue, dialect, platform, records
+from tributary.operators import bandits, factors, kernels, sampling, scoring, similarity
+from tributary.plans import catalogue, dialect, platform, records, updates
 from tributary.sources import exchange
 from tributary.streaming import incremental
 
-QUERIES = catalogue.QUERIES | platform.QUERIES | records.QUERIES
+QUERIES = catalogue.QUERIES | platform.QUERIES | records.QUERIES | updates.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(dialect.run, q) for name, q in QUERIES.items()}
-    for module in (kernels, factors, sampling, scoring, similarity, exchange, incremental):
+    for module in (kernels, bandits, factors, sampling, scoring, similarity, exchange, incremental):
         out |= module.queries()
     return out
 

@@ -9,9 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share; in a temporary one only where the session names none."""
+    """A new path in the folder that driver and executors share; without one, in a temporary folder in local mode, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tributary.plans import dialect
+from tributary.sources.scratch import new_path
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,11 +21,18 @@ def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return out.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in out.columns else out
 
 
+def _batch(path: str, mode: str, rows: DataFrame, number: int) -> None:
+    # a batch that is run again writes the same folder again
+    rows.write.mode("overwrite").parquet(f"{path}/{number}" if mode == "update" else path)
+
+
 def finished(df: DataFrame, mode: str) -> DataFrame:
-    """The result of the stream once its input is exhausted, as a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """The result of the stream once its input is exhausted, from files: the last whole result, or in update mode all that was emitted."""
+    path, marks = (new_path(df.sparkSession, tag) for tag in ("stream", "offsets"))
+    _batch(path, mode, df.sparkSession.createDataFrame([], df.schema), -1)  # an empty input makes no batch
+    out = df.writeStream.foreachBatch(partial(_batch, path, mode)).option("checkpointLocation", marks).outputMode(mode)
+    out.trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/*" if mode == "update" else path)
 
 
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
