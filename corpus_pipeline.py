@@ -16,7 +16,7 @@ STAGES = [
     ("byte-level bpe", bpe.stage),
 ]
 
-#: Line and near dedup, the mixture's hash order and BPE have no SQL form. Each stage has tests of its own; no test holds the rows of run() against brute force.
+#: Line and near dedup, the mixture's hash order and BPE have no SQL form; tests/llm/test_pipeline.py holds run() against brute force, row by row, on a small fixture.
 ORACLE_SQL = None
 
 
