@@ -118,4 +118,4 @@ def test_reordered_profile_by_hand(spark):
         want |= {(uid, t): (p1 - p0, math.sqrt(p1) - math.sqrt(p0)) for t, (p0, p1) in phi.items()}
     got = {(r.uid, r.term): (r.d1, r.d2) for r in registry.queries()["reordered_profile"](spark, DIR).collect()}
     assert got.keys() == want.keys()
-    assert all(got[x] == pytest.approx(want[x], abs=1e-6) for x in want)
+    assert all(got[x] == pytest.approx(want[x], abs=2e-6) for x in want)
