@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tributary.llm import bpe, chat, decontaminate, fingerprint, html, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, time_layout
+from tributary.llm import align, bpe, chat, decontaminate, fingerprint, html, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding, time_layout
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_fingerprints": fingerprint.op9_fingerprints,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_tokenizer_alignment": align.op11_tokenizer_alignment,
         "op12_decontamination": decontaminate.op12_decontamination,
         "op13_time_partitions": time_layout.op13_time_partitions,
         "pipeline": corpus_pipeline.run,
