@@ -1,9 +1,9 @@
 """Operator 12, benchmark decontamination: word windows of the benchmark found in documents, words and all, and spans or documents removed.
 
-A window's hash is the only thing that meets each place of a document, in a broadcast hash join (a shuffled one beyond the size
-limit). Places that meet are gathered by document and verified word by word against the text; only verified ones count.
-Windows have ten words, or all words of an item that has fewer; so there are ten lengths at most.
-Everything is built-in functions; a document's own places are the largest group.
+A table of marks, of a fixed size whatever the benchmark's, says by a window's hash whether it may be one of the benchmark; workers try it at every place
+of a text. Only windows that pass are spelled out and meet the benchmark's in a hash join on all their words, which
+verifies them: broadcast, or shuffled beyond the size limit. Texts themselves are never shuffled. Windows have ten words, or all words of an item that has
+fewer; so there are ten lengths at most. Everything is built-in functions; a document's own places are the largest group.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tributary.llm.common import drop_stored, let, lower_ascii, small, stored, table
 
 GRAM = 10
+#: Marks of hashes. With more windows than that nearly every place passes and the join alone decides.
+SLOTS = 1 << 17
 #: What stands between words of lower-cased text, and of text as it is.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -30,7 +32,7 @@ def bare_words(text: Column) -> Column:
 
 
 class Benchmark:
-    """The windows of a benchmark's items as stored tables: grams (g, hash, n, gram) and owners (g, item).
+    """The windows of a benchmark's items as stored tables: grams (g, n, slot, gram) and owners (g, item); and marks, a byte for each slot.
 
     Null and wordless texts give no window. Equal windows of many items are one gram. An item without id has windows that mark
     words, but is not listed. An empty benchmark has no windows.
@@ -40,46 +42,47 @@ class Benchmark:
         words = items.select(F.col(f"`{item}`").cast("string").alias("item"), bare_words(F.col(f"`{text}`")).alias("w")).filter(F.size("w") > 0)
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (GRAM - 1), F.lit(1)))
         grams = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, GRAM))).alias("w"))
-        every = stored(grams.select("item", F.array_join("w", " ").alias("gram"), F.size("w").alias("n"), F.xxhash64("w").alias("hash")), "windows")
-        self.grams = stored(every.select("gram", "n", "hash").distinct().withColumn("g", F.monotonically_increasing_id()), "grams")
-        self.owners = stored(every.filter("item IS NOT NULL").join(small(self.grams), ["gram", "n", "hash"]).select("g", "item").distinct(), "owners")
+        every = stored(grams.select("item", F.array_join("w", " ").alias("gram"), F.size("w").alias("n"), _slot(F.col("w")).alias("slot")), "windows")
+        self.grams = stored(every.select("gram", "n", "slot").distinct().withColumn("g", F.monotonically_increasing_id()), "grams")
+        self.owners = stored(every.filter("item IS NOT NULL").join(small(self.grams), ["gram", "n", "slot"]).select("g", "item").distinct(), "owners")
         self.sizes = sorted(r.n for r in self.grams.select("n").distinct().collect())  # GRAM numbers at most
+        marks = bytearray(SLOTS)
+        for r in self.grams.select("slot").distinct().collect():  # SLOTS numbers at most
+            marks[r.slot] = 1
+        self.marks = bytes(marks)
         drop_stored(every)
 
     def drop(self) -> None:
         drop_stored(self.grams, self.owners)
 
 
+def _slot(window: Column) -> Column:
+    return F.pmod(F.xxhash64(window), F.lit(SLOTS)).cast("int")
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """docs, its columns packed into `row`, with two hashes of all its columns: equal rows share them, and the result."""
+    """docs, its columns packed into `row`, with its text as `body` and two hashes of it: equal texts share them, and the result."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    body = F.col(f"`{text}`")
-    packed = docs.select(whole.alias("row"), body.alias("body"))
+    packed = docs.select(whole.alias("row"), F.col(f"`{text}`").alias("body"))
     return packed.withColumns({k: F.xxhash64(F.lit(i), "body") for i, k in enumerate(KEY)})
 
 
 def hits(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame:
-    """k1, k2 (hashes of a text), n_hit (words inside windows), spots (at, n, g: the verified places) of each text that has some; a stored table.
+    """k1, k2 (hashes of a text), n_hit (words inside windows), spots (at, n, g: the verified places, in order) of each text that has some; a stored table.
 
-    Equal texts are one row here, whatever their number, so copies are searched together.
+    Equal texts are one row here, whatever their number.
     """
     rows = _keyed(docs, text).select(*KEY, "body")
-    none = F.array().cast("array<struct<at:int,n:int,hash:bigint>>")
+    marks = F.lit(bench.marks)
+    none = F.array().cast("array<struct<at:int,n:int,gram:string>>")
 
     def places(w: Column, n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("hash")))
-        return F.when(F.size(w) >= n, each).otherwise(none)
+        here = F.filter(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.substring(marks, _slot(F.slice(w, i, n)) + 1, F.lit(1)) == F.lit(b"\x01"))
+        return F.when(F.size(w) >= n, F.transform(here, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram")))).otherwise(none)
 
     every = let(bare_words(F.col("body")), lambda w: F.concat(none, *[places(w, n) for n in bench.sizes]))
-    spread = rows.select(*KEY, F.inline(every))
-    grams = _sized(bench.grams, "hash", F.col("n").alias("size"), "g")
-    met = stored(spread.join(grams, "hash").filter("n = size").select(*KEY, "at", "n", "g").distinct(), "met")
-    spots = met.join(_sized(bench.grams, "g", "gram"), "g").groupBy(*KEY).agg(F.collect_list(F.struct("at", "n", "g", "gram")).alias("spots"))
-    spots = stored(spots, "spots")
-    seen = rows.join(small(spots), list(KEY))
-    right = let(bare_words(F.col("body")), lambda w: F.filter("spots", lambda s: F.array_join(F.slice(w, s["at"], s["n"]), " ") == s["gram"]))
-    right = F.sort_array(F.transform(right, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["g"].alias("g"))))
-    seen = seen.select(*KEY, right.alias("spots")).filter(F.size("spots") > 0).dropDuplicates(list(KEY))
+    met = rows.select(*KEY, F.inline(every)).join(_sized(bench.grams, "gram", "n", "g"), ["gram", "n"]).select(*KEY, "at", "n", "g").distinct()
+    found = met.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("at", "n", "g"))).alias("spots"))
     # places are sorted: each adds its words beyond the furthest end so far
     last = lambda s: s["at"] + s["n"] - 1
     covered = F.aggregate(
@@ -88,9 +91,7 @@ def hits(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame:
         lambda a, s: F.struct(F.greatest(a["end"], last(s)).alias("end"), (a["n"] + F.greatest(F.lit(0), last(s) - F.greatest(a["end"], s["at"] - 1))).alias("n")),
         lambda a: a["n"],
     )
-    out = stored(seen.select(*KEY, covered.alias("n_hit"), "spots"), "hits")
-    drop_stored(met, spots)
-    return out
+    return stored(found.select(*KEY, covered.alias("n_hit"), "spots"), "hits")
 
 
 def _sized(df: DataFrame, *columns) -> DataFrame:
@@ -107,15 +108,16 @@ def items_of(found: DataFrame, bench: Benchmark) -> DataFrame:
     return items.select(*KEY, F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
 
 
-def report(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame:
-    """docs with n_words, n_hit, n_items, items and contaminated, a row for each row; names that docs has already are replaced."""
+def report(docs: DataFrame, bench: Benchmark, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns keep) with n_words, n_hit, n_items, items and contaminated, a row for each row; names that docs has already are replaced."""
     found = hits(docs, bench, text)
     sums = stored(found.select(*KEY, "n_hit").join(items_of(found, bench), list(KEY), "left"), "sums")
     drop_stored(found)
-    out = _keyed(docs, text).select("row", *KEY, F.size(bare_words(F.col("body"))).cast("long").alias("words")).join(small(sums), list(KEY), "left")
+    whole = F.struct(*[F.col("row").getField(c).alias(c) for c in (docs.columns if keep is None else keep)]).alias("row")
+    out = _keyed(docs, text).select(whole, *KEY, F.size(bare_words(F.col("body"))).cast("long").alias("words")).join(small(sums), list(KEY), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     more = {"n_words": F.col("words"), "n_hit": zero(F.col("n_hit")), "n_items": zero(F.col("n_items")), "items": F.coalesce("items", F.lit("")), "contaminated": zero(F.col("n_hit")) > 0}
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in more]
+    kept = [F.col("row").getField(c).alias(c) for c in (docs.columns if keep is None else keep) if c.lower() not in more]
     return out.select(*kept, *[c.alias(k) for k, c in more.items()])
 
 
@@ -140,7 +142,7 @@ def cleaned(docs: DataFrame, bench: Benchmark, remove: str = "spans", text: str
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `documents` against all of `benchmark`, with the columns of the contract. No rows: none; an empty benchmark contaminates nothing."""
     bench = Benchmark(table(spark, sf_dir, "benchmark"))
-    out = report(table(spark, sf_dir, "documents"), bench)
+    out = report(table(spark, sf_dir, "documents"), bench, keep=["doc_id"])
     bench.drop()
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
