@@ -298,6 +298,12 @@ def test_names_that_hold_a_marked_word_do_not_remove_the_page():
         assert html.extract(f"<article><div class='{name}'><p>One.</p></div></article>") == "One.", name
     for name in ("sidebar", "site-footer", "cookie-notice", "ad-slot-2", "comments", "related_posts", "nav menu", "newsletter-signup"):
         assert html.extract(f"<div class='{name}'>{two}</div><div><p>{long}</p></div>") == long.strip(), name
+    away = """user-comments reader-comments post-comments commentlist entry-comments ad-728x90 social-share-buttons sidebar-widget cookie-law-info-bar
+        navbar-default usercomments main-menu related-articles newsletter_signup comment-list2""".split()
+    for name in [*away, "comment body", "comment-content text", "comments content", "comment main", "ad content"]:
+        assert html.extract(f"<article><p>One.</p><div class='{name}'>{two}</div></article>") == "One.", name
+    for name in ("share-price", "commentary", "ad-hoc-study", "menu-history", "banner-of-heaven", "x", "123", "-", "roads", "notices-of-1848x", "contents"):
+        assert html.extract(f"<article><div class='{name}'><p>One.</p></div></article>") == "One.", name
     kept = f"<article><p>{long}</p><figure><img><figcaption>The caption.</figcaption></figure><p><a href=x>One link alone.</a></p><object>Shown.</object><p>{long}</p></article>"
     assert html.extract(kept) == f"{long.strip()}\nThe caption.\nOne link alone.\nShown.\n{long.strip()}"
     menu = f"<article><p>{long}</p><ul><li><a href=a>First other page</a><li><a href=b>Second other page</a></ul></article>"

@@ -30,8 +30,9 @@ INLINE = frozenset(
     sup time tt u var wbr data ruby rb rt rp input link meta area param source track""".split()
 )
 MAIN = frozenset("article main".split())
-#: A name in class, id or role marks an element as away if it is one of these, or made of them and of PLAIN words only: site-footer and
-#: cookie-notice do, no-sidebar, page-with-header, has-ads and social-science do not.
+#: A name in class, id or role marks an element as away if its head is one of these. The head is the last of its words but for PLAIN ones and sizes, as in
+#: user-comments, cookie-law-info-bar and ad-728x90; a name with one of NOT_SO says the contrary: no-sidebar, page-with-header, has-ads. The head of
+#: social-science and advertising-history is another word.
 AWAY_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices
     sidebar aside menu nav navbar navigation footer masthead breadcrumb breadcrumbs comment comments reply replies respond
@@ -43,10 +44,13 @@ AWAY_NAMES_OUTSIDE = frozenset("header search form copyright social widget".spli
 PLAIN = frozenset(
     """site page global top bottom left right main primary secondary box list item items container wrapper wrap inner outer holder bar block
     section area slot unit links link buttons button icons icon media posts articles stories content body text thread form policy
-    desktop mobile sticky fixed google dfp""".split()
+    desktop mobile sticky fixed google dfp widget widgets default info law panel row column col group module region zone rail""".split()
 )
-#: An element of one of these names holds text whatever its other names say.
+NOT_SO = frozenset("no not non has have with without".split())
+#: Whole names of what holds text. Beside one of them a name that marks outside the article only does not count.
 TEXT_NAMES = frozenset("content article post entry story main text body".split())
+#: Marks of so many letters also count at the end of a longer word, as in usercomments.
+LONG_MARK = 7
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.10, 0.20
 LINKS_HIGH = 0.5
@@ -54,7 +58,7 @@ LINKS_HIGH = 0.5
 #: What may follow a tag's name, one at a time: its end, or an attribute. No part can match in two ways, so a page takes linear time.
 ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)("?)|'([^']*+)('?)|([^\s>"'][^\s>]*+)|(?=>)))?)""")
 TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
-NAME_PART = re.compile(r"[a-z]+")
+NAME_WORD = re.compile(r"[a-z0-9]+")
 HIDDEN = re.compile(r"display\s*+:\s*+none")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 WORD = re.compile(r"[^\W\d_]+")
@@ -89,12 +93,23 @@ def _away(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
         return True
     if tag in ("html", "body") or tag in MAIN:
         return False
-    marks = AWAY_NAMES if in_main else AWAY_NAMES | AWAY_NAMES_OUTSIDE
     names = [x for k in ("class", "id", "role") for x in attributes.get(k, "").lower().split()]
-    if any(x in TEXT_NAMES for x in names):
+    if any(_marked(x, AWAY_NAMES) for x in names):
+        return True
+    return not in_main and not any(x in TEXT_NAMES for x in names) and any(_marked(x, AWAY_NAMES_OUTSIDE) for x in names)
+
+
+def _marked(name: str, marks: frozenset[str]) -> bool:
+    words = [w for w in NAME_WORD.findall(name) if w.isalpha()]
+    if NOT_SO.intersection(words):
+        return False
+    while words and words[-1] in PLAIN and words[-1] not in marks:
+        words.pop()
+    if not words:
         return False
-    parts = [set(NAME_PART.findall(x)) for x in names]
-    return any(p & marks and p <= marks | PLAIN for p in parts)
+    head = words[-1]
+    # words run together: a mark before a plain word, or a long mark at the end
+    return head in marks or any(head[:i] in marks and head[i:] in PLAIN for i in range(2, len(head) - 1)) or any(head[-i:] in marks for i in range(LONG_MARK, len(head)))
 
 
 def blocks(page: str) -> list[Block]:
