@@ -13,6 +13,7 @@ import base64
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,13 +61,16 @@ class Pair:
         n = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = len(self.a_bytes), n
+        self.b_size, self.blank = n, self.b.piece_to_id("▁")
+        self.a_length, self.b_length = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), n))))
         #: no entry of B goes on after a blank that follows something else, so B never merges across the places where CHUNK cuts
         self.cuts = not any(re.search("[^▁][▁\n]|\n.", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         with open(a_path) as file:
             self.fast = self._ranks(json.load(file))
         self.cuts = self.cuts and self.fast is not None
-        self.reset()
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def _ranks(self, spec: dict):
         """Side A as ranks, which encode a few times faster; None where its file says more than merges over the public pattern.
@@ -87,69 +91,80 @@ class Pair:
             return None
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.records: list[tuple[int, int, int, str, np.ndarray]] = []
-
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """A's ids of each text, which begins with a blank, and B's, which adds that blank itself."""
         a = [self.fast.encode_ordinary(t) for t in texts] if self.fast else [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
         return a, self.b.encode([t[1:] for t in texts], num_threads=1)
 
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, np.ndarray] | None:
-        """n_a, n_b, n_groups, the groups and the pair (a * b_size + b) of each link; None if either side's bytes differ from the text's."""
+    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, str, bytes] | None:
+        """n_a, n_b and n_groups, packed; the groups; the pair (a * b_size + b) of each link, packed. None if either side's bytes differ from the text's.
+
+        Both sides are walked together: the stretch up to the nearer of the two ends belongs to one token of either, and no two stretches to the same two.
+        """
         if not self._same(text, a, b):
             return None
-        ends_a = np.cumsum([len(self.a_bytes[i]) for i in a])
-        ends_b = np.cumsum([len(self.b_bytes[i]) for i in b])
-        ends = np.union1d(ends_a, ends_b)  # each stretch between ends belongs to one token of either side, and no two stretches to the same two
-        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        pairs = np.asarray(a, np.int64)[at_a] * self.b_size + np.asarray(b, np.int64)[at_b]
-        both = np.flatnonzero((ends_a[at_a] == ends) & (ends_b[at_b] == ends))
-        groups, i, j = [], 0, 0
-        for k in both.tolist():
-            i2, j2 = int(at_a[k]) + 1, int(at_b[k]) + 1
-            groups.append(",".join(map(str, a[i:i2])) + "|" + ",".join(map(str, b[j:j2])))
-            i, j = i2, j2
-        return len(a), len(b), len(groups), ";".join(groups), pairs
+        length_a, length_b, name, size = self.a_length, self.b_length, self.names, self.b_size
+        pairs, groups = array("q"), []
+        i = j = from_a = from_b = 0
+        end_a, end_b = length_a[a[0]], length_b[b[0]]
+        while True:
+            pairs.append(a[i] * size + b[j])
+            if end_a < end_b:
+                i += 1
+                end_a += length_a[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += length_b[b[j]]
+            else:
+                i, j = i + 1, j + 1
+                left = name[a[from_a]] if i - from_a == 1 else ",".join([name[x] for x in a[from_a:i]])
+                groups.append(f"{left}|{name[b[from_b]]}" if j - from_b == 1 else left + "|" + ",".join([name[x] for x in b[from_b:j]]))
+                if i == len(a):
+                    return array("q", (len(a), len(b), len(groups))).tobytes(), ";".join(groups), pairs.tobytes()
+                from_a, from_b = i, j
+                end_a += length_a[a[i]]
+                end_b += length_b[b[j]]
 
     def _same(self, text: str, a: list[int], b: list[int]) -> bool:
-        want = text.encode()
-        return b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
+        want, bytes_a, bytes_b = text.encode(), self.a_bytes, self.b_bytes
+        return b"".join([bytes_b[i] for i in b]) == want and b"".join([bytes_a[i] for i in a]) == want
+
+    def records(self, texts: list[str]) -> list[list[tuple] | None]:
+        """Of each text, which begins with a blank, its chunks' records; None where it has no tokens.
 
-    def chunks(self, texts: list[str]) -> list[list[int] | None]:
-        """Of each text, which begins with a blank, the numbers of its chunks' records; None where it has no tokens."""
-        out: list[list[str] | None] = [CHUNK.findall(t) if self.cuts and not OTHER_SPACE.search(t) else None for t in texts]
-        new = list({c for own in out if own for c in own if c not in self.known})
+        Chunks are remembered for two generations: one that is met again moves to the younger, and the elder goes when the younger is full.
+        """
+        if len(self.young) > MOST_CHUNKS // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        cut: list[list[str] | None] = [CHUNK.findall(t) if self.cuts and not OTHER_SPACE.search(t) else None for t in texts]
+        new = []
+        for chunk in {c for own in cut if own for c in own}.difference(young):
+            if chunk in old:
+                young[chunk] = old[chunk]
+            else:
+                new.append(chunk)
         for chunk, a, b in zip(new, *self._chunk_ids(new)):
-            self._note(chunk, self.aligned(chunk, a, b))
-        got: list[list[int] | None] = []
-        for text, own in zip(texts, out):
-            ids = [self.known[c] for c in own] if own else None
-            if ids is None or min(ids) < 0:  # the whole text decides
+            young[chunk] = self.aligned(chunk, a, b)
+        got: list[list[tuple] | None] = []
+        for text, own in zip(texts, cut):
+            found = [young[c] for c in own] if own else None
+            if found is None or None in found:  # the whole text decides
                 (a,), (b,) = self.ids([text])
-                record = self.aligned(text, a, b)
-                ids = None if record is None else [self._add(record)]
-            got.append(ids)
+                whole = self.aligned(text, a, b)
+                found = None if whole is None else [whole]
+            got.append(found)
         return got
 
     def _chunk_ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """B adds a blank before any text; a chunk that begins with a line feed is encoded after one more blank, which goes again."""
         a = [self.fast.encode_ordinary(t) for t in chunks] if self.fast else [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
         b = self.b.encode([t[1:] if t[0] == " " else t for t in chunks], num_threads=1)
-        blank = self.b.piece_to_id("▁")
         for i, t in enumerate(chunks):
             if t[0] != " ":
-                b[i] = b[i][1:] if b[i][:1] == [blank] else [-1]
+                b[i] = b[i][1:] if b[i][:1] == [self.blank] else [-1]
         return a, [x if -1 not in x else [] for x in b]
 
-    def _add(self, record: tuple) -> int:
-        self.records.append(record)
-        return len(self.records) - 1
-
-    def _note(self, chunk: str, record: tuple | None) -> None:
-        self.known[chunk] = -1 if record is None else self._add(record)
-
 
 @lru_cache(maxsize=1)
 def pair(a_path: str | None = None, b_path: str | None = None) -> Pair:
@@ -218,21 +233,18 @@ def tokenised(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
 
         for batch in batches:
             rows, texts = batch.column(0).to_numpy(), [t or "" for t in batch.column(2).to_pylist()]
-            if len(both.known) > MOST_CHUNKS:
-                both.reset()
             some = [i for i, t in enumerate(texts) if t]
             sums = np.zeros((4, len(texts)), np.int64)
             shas = [""] * len(texts)
-            records = both.records
-            for i, ids in zip(some, both.chunks([" " + texts[i] for i in some])):
-                if ids is None:
+            for i, own in zip(some, both.records([" " + texts[i] for i in some])):
+                if own is None:
                     continue
-                own = [records[k] for k in ids]
                 digest = hashlib.sha256()
-                digest.update(";".join([r[3] for r in own]).encode())
+                digest.update(";".join([r[1] for r in own]).encode())
                 shas[i] = digest.hexdigest()
-                codes = np.concatenate([r[4] for r in own])
-                sums[:, i] = sum(r[0] for r in own), sum(r[1] for r in own), sum(r[2] for r in own), len(codes)
+                codes = np.frombuffer(b"".join([r[2] for r in own]), np.int64)
+                sums[:3, i] = np.frombuffer(b"".join([r[0] for r in own]), np.int64).reshape(-1, 3).sum(axis=0)
+                sums[3, i] = len(codes)
                 key, n = np.unique(codes, return_counts=True)
                 waiting.append((np.full(len(key), rows[i]), key, n))
                 held += len(key)
