@@ -91,7 +91,7 @@ def test_poisson_users(spark):
     rows = registry.queries()["poisson_users"](spark, DIR).collect()
     sums = {}
     for r in rows:
-        sums[r.uid] = sums.get(r.uid, 0) + r.shape - 0.3
+        sums[r.uid] = sums.get(r.uid, 0) + r.shape - 0.1
     views = run(Query("SELECT uid, count(DISTINCT aid) AS n FROM act JOIN embeddings e ON aid = e.vec_id WHERE kind IN ('view', 'click') GROUP BY uid"), spark, DIR)
     assert {u: round(s) for u, s in sums.items()} == {r.uid: r.n for r in views.collect()}
 

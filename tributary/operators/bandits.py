@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.kernels import digamma, index_of
-from tributary.plans import dialect
+from tributary.plans import catalogue, dialect
+from tributary.sources import triangular
+from tributary.sources.scratch import kept, new_path
 
 #: Observations and steps of cost of the table of forwarding costs; the cost of a user's time; articles in a list.
 HORIZON, GRID, COST, MOST = 1000, 100, 0.05, 100
+#: Discount, places and shares of the packed tables.
+GAMMA, DEPTH, SHARES = 0.99, 10, (0.05, 0.2, 0.5, 0.8, 1.0)
 #: The grid of the table of indices.
 AXES = {"gamma": (0.5, 0.8, 0.9, 0.95), "beta": (1.0, 2.0, 5.0, 10.0, 20.0), "alpha": (1.0, 2.0, 5.0, 10.0, 20.0)}
 
@@ -74,6 +78,60 @@ def admitted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("uid", "aid", F.row_number().over(by).alias("rn"), "cost")
 
 
+def queue_table(spark: SparkSession, horizon: int, depth: int, grid: int = GRID) -> DataFrame:
+    """Rows of triangular.SCHEMA: forwarding costs of the u-th item of a queue, for each share in SHARES. One task solves the programmes of a share.
+
+    The published tables are no part of this library; these stand in for them: an item behind u others, of a category of which a share of the
+    time passes without an item, is worth what a programme with the discount GAMMA ** (1 + u * share) says, so that later items and rarer categories learn less.
+    """
+
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for share in batch.xi:
+                programmes = [forwarding_costs(GAMMA ** (1 + u * share), horizon, grid) for u in range(depth + 1)]
+                for layers in zip(*programmes):
+                    n = layers[0][0]
+                    costs = np.stack([c for _, c in layers], axis=1).astype("f4")
+                    i = np.arange(n + 1)
+                    yield pd.DataFrame({"gamma": GAMMA, "xi": share, "alpha0": 1.0, "beta0": 1.0, "i": i.astype("i4"), "j": (n - i).astype("i4"), "values": list(costs)})
+
+    shares = spark.createDataFrame([(x,) for x in SHARES], "xi double").repartition(len(SHARES), "xi")
+    return shares.mapInPandas(solve, triangular.SCHEMA)
+
+
+def queued_lists(spark: SparkSession, sf_dir: str, horizon: int = HORIZON, depth: int = DEPTH, days: int = 90) -> DataFrame:
+    """Each user's MOST best articles of their categories of the last days, by the packed tables: at a category's share, interpolated, the user's counts there and the article's place in the category.
+
+    Articles of a category stand newest first, places beyond depth count as depth; of equal scores the newer article is the better, then the lower id.
+    The newest MOST + depth of a category can fill a list alone, so no others meet its users.
+    """
+    folder = new_path(spark, "tables")
+    triangular.write(queue_table(spark, horizon, depth), folder, horizon, depth).collect()  # a row a share
+    known = sorted({p[1] for p in triangular.parameters(folder)})
+    dates = dialect.run(
+        dialect.Query(f"SELECT r.aid, r.cat, min(a.t) AS seen FROM article r JOIN act a ON r.aid = a.aid GROUP BY r.aid, r.cat HAVING min(a.t) > @NOW - INTERVAL '{days}' DAY"), spark, sf_dir
+    )
+    newest = [F.desc("seen"), F.col("aid")]
+    ranked = kept(dates.withColumn("place", F.row_number().over(Window.partitionBy("cat").orderBy(*newest))).filter(F.col("place") <= MOST + depth), "newest")
+    share = (1 / (1 + F.col("n") / float(days))).alias("share")
+    shares = dates.groupBy("cat").agg(F.count("*").alias("n")).select("cat", share)
+    low = F.array_max(F.filter(F.array(*map(F.lit, known)), lambda v: v <= F.col("share")))
+    high = F.array_min(F.filter(F.array(*map(F.lit, known)), lambda v: v > F.col("share")))
+    low, high = F.coalesce(low, F.lit(known[0])), F.coalesce(high, F.lit(known[-1]))
+    weight = F.when(high == low, 0.0).otherwise(F.greatest((F.col("share") - low) / (high - low), F.lit(0.0)))
+    ends = F.array(F.struct(low.alias("xi"), (1 - weight).alias("w")), F.struct(high.alias("xi"), weight.alias("w")))
+    counts = dialect.run(catalogue.QUERIES["alpha_beta"], spark, sf_dir).select("uid", "cat", (F.col("alpha") - 1).cast("int").alias("i"), (F.col("beta") - 1).cast("int").alias("j"))
+    states = counts.join(shares, "cat").select("uid", "cat", "i", "j", F.explode(ends).alias("end")).filter("end.w > 0").select("uid", "cat", "i", "j", F.col("end.xi").alias("xi"), F.col("end.w").alias("w"))
+    states = kept(states.withColumns({"gamma": F.lit(GAMMA), "alpha0": F.lit(1.0), "beta0": F.lit(1.0)}), "states")
+    found = triangular.lookup(states, folder, horizon, depth).select("xi", "i", "j", "values")
+    by_place = states.join(found, ["xi", "i", "j"]).select("uid", "cat", F.posexplode("values").alias("u", "value"), "w")
+    curves = by_place.groupBy("uid", "cat", "u").agg(F.sum(F.col("value") * F.col("w")).alias("score"))
+    placed = ranked.withColumn("u", F.least("place", F.lit(depth)))
+    listed = curves.join(placed, ["cat", "u"]).withColumn("score", F.round("score", 6))
+    rn = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), *newest))
+    return listed.withColumn("rn", rn).filter(F.col("rn") <= MOST).select("uid", "aid", "rn", "score")
+
+
 def index_table(spark: SparkSession) -> DataFrame:
     """gamma, beta, alpha, value: the index at every point of AXES."""
 
@@ -148,7 +206,7 @@ def item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(expect, "aid long, mean array<double>, theta_log array<double>, epsilon_log array<double>")
 
 
-def poisson_users(spark: SparkSession, sf_dir: str, prior: float = 0.3) -> DataFrame:
+def poisson_users(spark: SparkSession, sf_dir: str, prior: float = 0.1) -> DataFrame:
     """Shape and expectation of each user's factors after the articles they viewed, in order, each article once."""
     items = item_factors(spark, sf_dir)
     totals = items.select(F.posexplode("mean").alias("k", "m")).groupBy("k").agg(F.sum("m").alias("rate")).orderBy("k").collect()  # as many rows as factors
@@ -165,4 +223,4 @@ def poisson_users(spark: SparkSession, sf_dir: str, prior: float = 0.3) -> DataF
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (admitted_lists, index_lookup, poisson_users)}
+    return {f.__name__: f for f in (admitted_lists, queued_lists, index_lookup, poisson_users)}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.plans import dialect
+from tributary.plans import catalogue, dialect
 
 LIST_LENGTH = 200
 
@@ -211,8 +211,8 @@ def stable_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of each user's list from the verdicts on its items."""
-    rows = _lists(spark, sf_dir).withColumn("verdict", F.when(F.col("score") >= 1000, "PROMOTED").when(F.col("score") >= 100, "PROMOTED").when(F.col("score") >= 30, "VIEWED").when(F.col("score") <= 10, "DEMOTED"))
+    """Coefficients of each user's list from the verdicts on its items, by the rule of feedback_class: the last judgement, else a view."""
+    rows = _lists(spark, sf_dir).join(dialect.run(catalogue.QUERIES["feedback_class"], spark, sf_dir), ["uid", "aid"], "left")
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn")

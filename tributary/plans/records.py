@@ -30,10 +30,12 @@ QUERIES = {
     "lineage": Query(
         "SELECT x.conv_id, x.turn, y.turn AS from_turn, length(y.text) AS from_chars FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn - 1"
     ),
+    # shares against counts taken from the tokens themselves: postings that lose or double a token show
     "theta_check": Query(
-        "SELECT cat, count(*) AS n, sum(CASE WHEN abs(theta - (0.01 + c) / (total + 0.01 * size)) > 0.000001 THEN 1 ELSE 0 END) AS wrong, round(sum(theta), 6) AS total FROM s GROUP BY cat",
+        "SELECT s.cat, count(*) AS n, sum(CASE WHEN abs(theta * (tokens + 0.01 * size) - 0.01 - c) > 0.000001 THEN 1 ELSE 0 END) AS wrong, round(sum(theta), 6) AS total FROM s JOIN t ON s.cat = t.cat GROUP BY s.cat",
         """c AS (SELECT r.cat, p.term, CAST(sum(tf) AS DOUBLE) AS c FROM posting p JOIN article r ON p.aid = r.aid GROUP BY r.cat, p.term),
-        s AS (SELECT cat, term, c, (0.01 + c) / sum(0.01 + c) OVER (PARTITION BY cat) AS theta, sum(c) OVER (PARTITION BY cat) AS total, count(*) OVER (PARTITION BY cat) AS size FROM c)""",
+        s AS (SELECT cat, term, c, (0.01 + c) / sum(0.01 + c) OVER (PARTITION BY cat) AS theta FROM c),
+        t AS (SELECT r.cat, count(*) AS tokens, count(DISTINCT term) AS size FROM token k JOIN article r ON k.aid = r.aid WHERE length(term) > 2 AND NOT term < 'a' GROUP BY r.cat)""",
     ),
     "list_ages": Query("SELECT uid, aid, day, CAST(row_number() OVER (PARTITION BY uid, aid ORDER BY day) - 1 AS INT) AS age FROM (SELECT DISTINCT uid, aid, CAST(t AS DATE) AS day FROM act) x"),
     "truncated_lists": Query(
@@ -44,7 +46,10 @@ QUERIES = {
         "SELECT term, round(1 + ln((SELECT n FROM n_docs) * 2 / CAST(1 + total AS DOUBLE)), 8) AS idf FROM (SELECT term, count(*) AS total FROM f GROUP BY term) x",
         """f AS (SELECT DISTINCT aid, 'body' AS field, term FROM token WHERE term <> '' UNION ALL SELECT DISTINCT aid, 'category' AS field, term FROM (SELECT aid, @TERMS(cat) AS term FROM article) y)""",
     ),
-    "running_softmax": Query("SELECT uid, aid, round(exp(x - ln(1 + z)), 9) AS p FROM (SELECT uid, aid, x, sum(exp(x)) OVER (PARTITION BY uid) AS z FROM (SELECT uid, aid, score / 1000.0 AS x FROM page_score) y) w"),
+    "running_softmax": Query(
+        """SELECT uid, aid, round(exp(x - top) / (exp(-top) + sum(exp(x - top)) OVER (PARTITION BY uid)), 9) AS p
+        FROM (SELECT uid, aid, x, greatest(0, max(x) OVER (PARTITION BY uid)) AS top FROM (SELECT uid, aid, score / 1000.0 AS x FROM page_score) y) w"""
+    ),
     "grid_cells": Query(
         "SELECT aid, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(a * (a + 1) / 2 + b AS BIGINT) AS cell FROM (SELECT aid, @RINT(n / 4.0) AS a, @RINT(n / 8.0) AS b FROM (SELECT aid, count(*) AS n FROM act GROUP BY aid) y) x"
     ),

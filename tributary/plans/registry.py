@@ -7,8 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.operators import bandits, factors, kernels, sampling, scoring, similarity
-from tributary.plans import catalogue, dialect, platform, records, updates
+from tributary.operators import bandits, clustering, factors, feedback, kernels, sampling, scoring, similarity
+from tributary.plans import catalogue, dialect, neighbours, platform, records, updates
 from tributary.sources import exchange
 from tributary.streaming import incremental
 
@@ -17,14 +17,14 @@ QUERIES = catalogue.QUERIES | platform.QUERIES | records.QUERIES | updates.QUERI
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(dialect.run, q) for name, q in QUERIES.items()}
-    for module in (kernels, bandits, factors, sampling, scoring, similarity, exchange, incremental):
+    for module in (kernels, bandits, clustering, factors, feedback, sampling, scoring, similarity, exchange, incremental, neighbours):
         out |= module.queries()
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: dialect.text(q) for name, q in QUERIES.items()}
-    for module in (factors, sampling, scoring, similarity, exchange, incremental):
+    for module in (factors, sampling, scoring, similarity, exchange, incremental, neighbours):
         out |= module.oracle_sql()
     return out
 
