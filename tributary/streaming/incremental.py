@@ -15,9 +15,8 @@ from tributary.sources.scratch import new_path
 
 
 def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table as a stream, be it one file or a folder of part files."""
-    path = f"{sf_dir}/{table}.parquet"
-    out = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A table as a stream, be it one file or a folder of part files; a pattern that only its own name matches, since a stream's plain path has to be a folder."""
+    out = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/{table}.parque[t]")
     # event time has to carry a zone; the zone is the session's on the way in and out, so it does not matter which
     return out.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in out.columns else out
 
