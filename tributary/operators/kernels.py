@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Callable, Iterable, Sequence
 
@@ -113,6 +114,34 @@ def greedy_utility(linear: np.ndarray, terms: np.ndarray, signs: np.ndarray, mos
     return out
 
 
+def lazy_greedy(linear: np.ndarray, terms: np.ndarray, signs: np.ndarray, most: int = 200) -> tuple[list[int], int]:
+    """The order of greedy_utility and the number of gains that it took, far fewer: an item's gain is found anew only while its bound may win.
+
+    What the positive terms add falls as weights are added and places go down, and what the others take away is at most nothing; so the positive part when it was
+    last found, plus the linear part there, bounds all later gains. The bounds are a heap; of equal gains the earlier item wins.
+    """
+    up = signs > 0
+    phi, out, taken = np.zeros(terms.shape[1]), [], 0
+    heap = [(-np.inf, i) for i in range(len(linear))]
+    while heap and len(out) < most:
+        g = gamma(len(out))
+        best, tried = None, []
+        while heap and (best is None or (heap[0][0], heap[0][1]) < best):
+            _, i = heapq.heappop(heap)
+            rise = np.sqrt(phi + g * terms[i]) - np.sqrt(phi)
+            plus = float(rise[up].sum())
+            gain = g * float(linear[i]) + float((rise * signs).sum())
+            taken += 1
+            tried.append((-(g * max(float(linear[i]), 0.0) + plus), i))
+            best = min(best or (np.inf, -1), (-gain, i))
+        for bound, i in tried:
+            if i != best[1]:
+                heapq.heappush(heap, (bound - 1e-12, i))
+        phi += g * terms[best[1]]
+        out.append(best[1])
+    return out, taken
+
+
 #: Steps of the backward induction.
 HORIZON = 1000
 

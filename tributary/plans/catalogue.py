@@ -103,17 +103,23 @@ QUERIES = {
     "fractional_sample": Query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY uid ORDER BY id) AS rn FROM act) x WHERE floor(rn * 0.25) > floor((rn - 1) * 0.25)"),
     "hash_split": Query("SELECT CASE WHEN @COIN(CAST(aid AS STRING)) % 2 = 0 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM article GROUP BY 1"),
     "page_window": Query("SELECT uid, aid, rn FROM (SELECT uid, aid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, aid) AS rn FROM page_score) x WHERE rn BETWEEN 6 AND 15"),
-    # articles by their ranks in all lists, ascending, compared place by place; of two where one goes on the longer is better
+    # articles by their ranks (100 at most) in all lists, ascending, compared place by place; of two where one goes on the longer is better. A rank that
+    # occurs more often comes first at its place, so each rank with the complement of its number says the same in a text that lists do not lengthen
     "rank_vector_merge": Query(
-        "SELECT aid, n_lists, best, total, age FROM (SELECT aid, count(*) AS n_lists, min(rn) AS best, CAST(sum(score) AS BIGINT) AS total, min(age) AS age, @RANKS(rn) AS ranks FROM a GROUP BY aid) x ORDER BY ranks, n_lists DESC, aid LIMIT 20",
-        "a AS (SELECT aid, rn, score, CAST(row_number() OVER (PARTITION BY uid ORDER BY last_id DESC, aid) - 1 AS INT) AS age FROM ranked_page)",
+        "SELECT aid, n_lists, best, total, age FROM v ORDER BY ranks, n_lists DESC, aid LIMIT 20",
+        """a AS (SELECT aid, rn, score, CAST(row_number() OVER (PARTITION BY uid ORDER BY last_id DESC, aid) - 1 AS INT) AS age FROM ranked_page WHERE rn <= 100),
+        c AS (SELECT aid, rn, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, min(age) AS age FROM a GROUP BY aid, rn),
+        v AS (SELECT aid, CAST(sum(n) AS BIGINT) AS n_lists, min(rn) AS best, CAST(sum(total) AS BIGINT) AS total, min(age) AS age,
+            concat(@LISTAGG(concat(lpad(CAST(rn AS STRING), 3, '0'), lpad(CAST(999999999999 - n AS STRING), 12, '0'))), '~') AS ranks FROM c GROUP BY aid)""",
     ),
     "provenance_ranks": Query(
         "SELECT coalesce(a.uid, b.uid) AS uid, coalesce(a.aid, b.aid) AS aid, coalesce(a.rn, 0) AS arank, coalesce(b.rn, 0) AS brank FROM a FULL OUTER JOIN b ON a.uid = b.uid AND a.aid = b.aid",
         "a AS (SELECT uid, aid, rn FROM ranked_page), b AS (SELECT uid - 1 AS uid, aid, rn FROM ranked_page WHERE uid - 1 IN (SELECT uid FROM ranked_page))",
     ),
+    # an article's date is that of the first action on it; those without one count as ten years old
     "category_then_date": Query(
-        "SELECT aid, round((CASE WHEN major = 'en' THEN 1 ELSE 0 END) + (CASE WHEN cat = 'en.src1' THEN 1 ELSE 0 END) - CAST(age AS DOUBLE) / 7300, 8) AS score FROM (SELECT aid, major, cat, aid % 3650 AS age FROM article) x"
+        """SELECT r.aid, round((CASE WHEN major = 'en' THEN 1 ELSE 0 END) + (CASE WHEN cat = 'en.src1' THEN 1 ELSE 0 END) - CAST(least(coalesce(age, 3650), 3650) AS DOUBLE) / 7300, 8) AS score
+        FROM article r LEFT JOIN (SELECT aid, @DAYS(@NOW, min(t)) AS age FROM act GROUP BY aid) d ON r.aid = d.aid"""
     ),
     # text
     "document_frequency": Query("SELECT term, df FROM df WHERE df >= 10"),
@@ -127,7 +133,7 @@ QUERIES = {
     "prefix_search": Query("SELECT aid, CAST(sum(tf) AS BIGINT) AS tf FROM posting WHERE term LIKE 'thin%' GROUP BY aid"),
     "conjunctive_search": Query("SELECT a.aid FROM posting a JOIN posting b ON a.aid = b.aid WHERE a.term = 'the' AND b.term = 'and'"),
     "disjunctive_search": Query("SELECT aid, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM posting WHERE term IN ('thing', 'other', 'station') GROUP BY aid"),
-    "phrase_search": Query("SELECT aid FROM article WHERE lower(body) LIKE '% of the %'"),
+    "phrase_search": Query("SELECT aid FROM article WHERE @BARE(body) LIKE '% of the %'"),
     "category_search": Query("SELECT aid FROM article WHERE cat LIKE 'en.src1%'"),
     "date_range": Query("SELECT id FROM act WHERE t >= TIMESTAMP '2024-01-10 00:00:00' AND t < TIMESTAMP '2024-01-17 00:00:00'"),
     "profile_from_history": Query("SELECT uid, term, round(w1, 6) AS w1, round(sqrt(w1), 6) AS w2 FROM profile"),

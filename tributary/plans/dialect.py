@@ -18,15 +18,11 @@ FUNCTIONS = {
     "DAYS": ("datediff($1, $2)", "date_diff('day', CAST($2 AS DATE), CAST($1 AS DATE))"),
     "EPOCH": ("unix_timestamp($1)", "CAST(floor(epoch($1)) AS BIGINT)"),
     "TERMS": (r"explode(split(lower($1), r'[^\p{L}\p{Nd}]+'))", r"unnest(regexp_split_to_array(lower($1), '[^\p{L}\p{Nd}]+'))"),
+    "BARE": (r"concat(' ', regexp_replace(lower($1), r'[^\p{L}\p{Nd}]+', ' '), ' ')", r"concat(' ', regexp_replace(lower($1), '[^\p{L}\p{Nd}]+', ' ', 'g'), ' ')"),
     "LAST": ("max_by($1, $2)", "arg_max($1, $2)"),
     "VECTOR": ("posexplode(transform($1, x -> CAST(x AS DOUBLE))) AS (pos, v)", "unnest(generate_series(0, len($1) - 1)) AS pos, unnest(CAST($1 AS DOUBLE[])) AS v"),
     "LISTAGG": ("array_join(array_sort(collect_set($1)), ' ')", "array_to_string(list_sort(list_distinct(list($1))), ' ')"),
     "DAY": ("CAST($1 AS DATE)", "CAST($1 AS DATE)"),
-    # fixed width, with a last sign above all digits, so that a vector of which another is the beginning comes first
-    "RANKS": (
-        "concat(array_join(transform(array_sort(collect_list($1)), x -> lpad(CAST(x AS STRING), 9, '0')), ''), '~')",
-        "concat(array_to_string(list_transform(list_sort(list($1)), lambda x: lpad(CAST(x AS VARCHAR), 9, '0')), ''), '~')",
-    ),
     "RINT": ("rint($1)", "round_even($1, 0)"),
     "RE1": ("regexp_extract($1, $2, 1)", "regexp_extract($1, $2, 1)"),
     "REALL": ("regexp_replace($1, $2, $3)", "regexp_replace($1, $2, $3, 'g')"),
