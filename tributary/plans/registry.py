@@ -10,21 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary.operators import bandits, clustering, factors, feedback, kernels, sampling, scoring, similarity, utility
 from tributary.plans import catalogue, dialect, lists, neighbours, platform, records, updates
 from tributary.sources import exchange
-from tributary.streaming import incremental
+from tributary.streaming import base_lists, incremental
 
 QUERIES = catalogue.QUERIES | platform.QUERIES | records.QUERIES | updates.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(dialect.run, q) for name, q in QUERIES.items()}
-    for module in (kernels, bandits, clustering, factors, feedback, sampling, scoring, similarity, exchange, incremental, lists, neighbours, utility):
+    for module in (kernels, bandits, clustering, factors, feedback, sampling, scoring, similarity, exchange, incremental, base_lists, lists, neighbours, utility):
         out |= module.queries()
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: dialect.text(q) for name, q in QUERIES.items()}
-    for module in (factors, sampling, scoring, similarity, exchange, incremental, lists, neighbours):
+    for module in (factors, sampling, scoring, similarity, exchange, incremental, base_lists, lists, neighbours):
         out |= module.oracle_sql()
     return out
 
