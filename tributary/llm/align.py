@@ -30,6 +30,9 @@ MOST_CHUNKS = 300_000
 ROWS = 500
 #: Postings of one lot of a hot id, at least; and how many times as many as its counts, which go to every lot.
 LOT, TIMES = 20_000, 8
+#: What lots add to documents goes to buckets of so many documents, by the first bits of their numbers.
+BUCKET_BITS = 12
+GIVEN = "bucket long, rows array<long>, n_best array<long>, count_sum array<long>"
 
 #: Where two chunks of a text may be cut: before a blank or line feed that follows anything else. Texts with other white space are one chunk.
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
@@ -260,7 +263,7 @@ def tokenised(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, n_best, count_sum from rows sorted by (b, lot, counts before postings): what each posting adds to its document."""
+    """What postings add to documents, from rows sorted by (b, lot, counts before postings): GIVEN, a row for each bucket of documents and flush."""
     at, counted, counts, best = None, [], None, 0
     rows: list[np.ndarray] = []
     n_best: list[np.ndarray] = []
@@ -274,7 +277,11 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         add = lambda parts: np.add.reduceat(np.concatenate(parts)[order], starts) if len(starts) else np.zeros(0, np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array(keys[starts], pa.int64()), pa.array(add(n_best), pa.int64()), pa.array(add(sums), pa.int64())], ["row", "n_best", "count_sum"])
+        keys, best_of, sums_of = keys[starts], add(n_best), add(sums)
+        buckets = keys >> BUCKET_BITS
+        cuts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
+        lists = [_lists(x, cuts, pa.int64()) for x in (keys, best_of, sums_of)]
+        out = pa.RecordBatch.from_arrays([pa.array(buckets[cuts], pa.int64()), *lists], ["bucket", "rows", "n_best", "count_sum"])
         for part in (rows, n_best, sums):
             part.clear()
         held = 0
@@ -308,6 +315,32 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield flush()
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, n_best, count_sum from GIVEN sorted by bucket: the sums of one bucket's documents at a time."""
+    size, at = 1 << BUCKET_BITS, None
+    sums, there = np.zeros((2, size), np.int64), np.zeros(size, bool)
+
+    def done() -> pa.RecordBatch:
+        own = np.flatnonzero(there)
+        out = [own + (at << BUCKET_BITS), *sums[:, own]] if at is not None else [own, *sums[:, own]]
+        sums[:], there[:] = 0, False
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        offsets = batch.column(1).offsets.to_numpy()
+        rows, best, count = (batch.column(i).values.to_numpy() for i in (1, 2, 3))
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
+            if bucket != at:
+                yield done()
+                at = bucket
+            here = slice(offsets[i], offsets[i + 1])
+            spots = rows[here] & (size - 1)  # each row once in a list
+            sums[0, spots] += best[here]
+            sums[1, spots] += count[here]
+            there[spots] = True
+    yield done()
+
+
 def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row, repeated ones included; other columns are not read."""
     spark = docs.sparkSession
@@ -323,8 +356,8 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     dealt = spread.select("b", F.explode(F.when(F.col("rows").isNull(), every_lot).otherwise(one_lot)).alias("lot"), "a", "rows", "n")
     dealt = dealt.repartition("b", "lot").sortWithinPartitions("b", "lot", F.col("rows").isNotNull())
     with arrow_rows(spark, ROWS):
-        given = dealt.mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-        given = stored(given, "given")
+        given = dealt.mapInArrow(_contributions, GIVEN).repartition("bucket").sortWithinPartitions("bucket")
+        given = stored(given.mapInArrow(_totals, "row long, n_best long, count_sum long"), "given")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = every.filter("row IS NOT NULL").join(small(given), "row", "left")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
