@@ -6,7 +6,7 @@ import pytest
 
 from tributary.operators import bandits as b
 from tributary.operators import kernels as k
-from tributary.plans import registry
+from tributary.plans import catalogue, registry
 from tributary.plans.dialect import Query, run
 
 DIR = "/root/testdata/sf0.001"
@@ -39,28 +39,34 @@ def test_forwarding_costs_by_recursion():
 def test_admitted_lists(spark):
     rows = registry.queries()["admitted_lists"](spark, DIR).collect()
     cats = {r.aid: r.cat for r in run(Query("SELECT aid, cat FROM article"), spark, DIR).collect()}
-    acts = run(Query("SELECT uid, aid, op FROM act"), spark, DIR).collect()
-    n = {c: max(1, math.floor(sum(x == c for x in cats.values()) / 13 + 0.5)) for c in set(cats.values())}
-    tables = {m: dict(b.forwarding_costs(1 - 1 / (12 * m + 1))) for m in set(n.values())}
-    up, down = {}, {}
-    for r in acts:
-        if r.aid in cats:
-            key = r.uid, cats[r.aid]
-            up[key] = up.get(key, 0) + (r.op >= 30)
-            down[key] = down.get(key, 0) + (r.op < 0)
+    n = {c: sum(x == c for x in cats.values()) for c in set(cats.values())}
+    gammas = {c: 1 - 1 / (12 * max(1, math.floor(k / 13 + 0.5)) + 1) for c, k in n.items()}
+    tables = {g: dict(b.forwarding_costs(g)) for g in set(gammas.values())}
+    states = {(r.uid, r.cat): (r.alpha, r.beta) for r in run(catalogue.QUERIES["alpha_beta"], spark, DIR).collect()}
+    mus = {(g, t): k.stopping_mean(t / 2, t / 2, g, b.COST, b.HORIZON) for g, t in {(gammas[c], x + y) for (_, c), (x, y) in states.items()}}
+    worth = {key for key, (x, y) in states.items() if x / (x + y) >= mus[gammas[key[1]], x + y]}
+    assert worth
     lists = {}
     for r in rows:
         key = r.uid, cats[r.aid]
-        assert r.cost == pytest.approx(tables[n[key[1]]][up[key] + down[key]][up[key]]) and r.cost >= b.COST
+        x, y = states[key]
+        assert key in worth and r.cost == pytest.approx(tables[gammas[key[1]]][x + y - 2][x - 1])
         lists.setdefault(r.uid, []).append(r)
     for rs in lists.values():
         rs.sort(key=lambda r: r.rn)
         assert [r.rn for r in rs] == list(range(1, len(rs) + 1)) and len(rs) <= b.MOST
         assert all(x.cost >= y.cost for x, y in itertools.pairwise(rs)) and len({r.aid for r in rs}) == len(rs)
-    # every category of a user that is worth its cost fills the list, up to its length
-    for uid in {u for u, _ in up}:
-        good = sum(sum(x == c for x in cats.values()) for u, c in up if u == uid and tables[n[c]][up[u, c] + down[u, c]][up[u, c]] >= b.COST)
-        assert len(lists.get(uid, [])) == min(b.MOST, good)
+    # the categories of a user that are worth it fill the list, up to its length
+    for uid in {u for u, _ in states}:
+        assert len(lists.get(uid, [])) == min(b.MOST, sum(n[c] for u, c in worth if u == uid))
+
+
+def test_stopping_means_by_total(spark):
+    totals = spark.createDataFrame([(0.9, 4), (0.9, 4), (0.9, 40), (0.5, 4)], "gamma double, total long")
+    got = {(r.gamma, r.total): r.mu for r in b.stopping_means(totals, 0.3, 60).collect()}
+    assert got == {(g, t): pytest.approx(k.stopping_mean(t / 2, t / 2, g, 0.3, 60)) for g, t in ((0.9, 4), (0.9, 40), (0.5, 4))}
+    # the longer one has looked, and the less the future counts, the nearer to the cost itself
+    assert got[0.9, 4] < got[0.9, 40] < 0.3 and got[0.9, 4] < got[0.5, 4] < 0.3
 
 
 def test_interpolation_is_linear_along_each_axis(spark):

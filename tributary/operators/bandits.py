@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.kernels import digamma, index_of
+from tributary.operators.kernels import digamma, index_of, stopping_mean
 from tributary.plans import catalogue, dialect
 from tributary.sources import triangular
 from tributary.sources.scratch import kept, new_path
@@ -50,26 +50,29 @@ def cost_table(discounts: DataFrame, horizon: int = HORIZON, grid: int = GRID) -
     return discounts.select(F.col("gamma").cast("double")).distinct().mapInPandas(solve, "gamma double, alpha long, beta long, cost double")
 
 
+def stopping_means(totals: DataFrame, cost: float = COST, horizon: int = HORIZON) -> DataFrame:
+    """gamma, total, mu: the mean from which an item with so many counts behind it, prior ones included, is worth showing at the cost."""
+
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"gamma": b.gamma, "total": b.total, "mu": [stopping_mean(n / 2, n / 2, g, cost, horizon) for g, n in zip(b.gamma, b.total, strict=True)]})
+
+    return totals.select(F.col("gamma").cast("double"), F.col("total").cast("long")).distinct().repartition("gamma", "total").mapInPandas(solve, "gamma double, total long, mu double")
+
+
 def admitted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's list: the newest MOST articles of those categories of theirs that are worth showing at COST, by descending forwarding cost.
+    """Each user's list: the newest MOST articles of those categories of theirs whose mean reaches the stopping mean at COST, by descending forwarding cost.
 
-    A category's newest MOST articles can fill a list alone, so no others meet its users. Ties go by a hash. Counts beyond the horizon
-    are scaled down to it with their mean.
+    Counts are those of alpha_beta. Beyond the horizon of the table of forwarding costs the mean stands for the cost. A category's newest MOST articles can fill a
+    list alone, so no others meet its users. Ties go by a hash.
     """
-    rows = dialect.run(
-        dialect.Query(
-            """SELECT uid, a.cat, alpha, beta, 1 - 1 / (12.0 * v.m + 1) AS gamma FROM (SELECT uid, cat, 1 + CAST(sum(CASE WHEN op >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS alpha,
-            1 + CAST(sum(CASE WHEN op < 0 THEN 1 ELSE 0 END) AS BIGINT) AS beta FROM act a JOIN article r ON a.aid = r.aid GROUP BY uid, cat) a
-            JOIN (SELECT cat, greatest(1, round(count(*) / 13.0)) AS m FROM article GROUP BY cat) v ON a.cat = v.cat"""
-        ),
-        spark,
-        sf_dir,
-    )
-    n = F.col("alpha") + F.col("beta") - 2
-    scaled = lambda c: F.when(n <= HORIZON, F.col(c)).otherwise(1 + F.floor((F.col(c) - 1) * HORIZON / n)).cast("long")
-    users = rows.select("uid", "cat", F.col("gamma").cast("double").alias("gamma"), scaled("alpha").alias("alpha"), scaled("beta").alias("beta"))
-    discounts = users.select("gamma").distinct()
-    admitted = users.join(cost_table(discounts), ["gamma", "alpha", "beta"]).filter(F.col("cost") >= COST).select("uid", "cat", "cost")
+    volumes = dialect.run(dialect.Query("SELECT cat, 1 - 1 / (12.0 * greatest(1, round(count(*) / 13.0)) + 1) AS gamma FROM article GROUP BY cat"), spark, sf_dir)
+    users = dialect.run(catalogue.QUERIES["alpha_beta"], spark, sf_dir).join(volumes, "cat").withColumns({"gamma": F.col("gamma").cast("double"), "total": F.col("alpha") + F.col("beta")})
+    users = kept(users, "states")
+    mean = F.col("alpha") / F.col("total")
+    worth = kept(users.join(stopping_means(users), ["gamma", "total"]).filter(mean >= F.col("mu")).drop("mu"), "worth")
+    costs = cost_table(worth.filter(F.col("total") <= HORIZON + 2)).join(worth.select("gamma", "alpha", "beta").distinct(), ["gamma", "alpha", "beta"], "left_semi")
+    admitted = worth.join(costs, ["gamma", "alpha", "beta"], "left").select("uid", "cat", F.coalesce("cost", mean).alias("cost"))
     seen = dialect.run(dialect.Query("SELECT r.aid, r.cat, max(a.id) AS last_id FROM article r LEFT JOIN act a ON r.aid = a.aid GROUP BY r.aid, r.cat"), spark, sf_dir)
     newest = [F.desc_nulls_last("last_id"), F.col("aid")]
     fresh = seen.withColumn("place", F.row_number().over(Window.partitionBy("cat").orderBy(*newest))).filter(F.col("place") <= MOST)
