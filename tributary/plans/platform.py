@@ -61,8 +61,10 @@ QUERIES = {
     "overload_rejects": Query(
         "SELECT id, uid, CASE WHEN in_minute >= 120 OR in_ten >= 300 THEN 1 ELSE 0 END AS rejected FROM (SELECT id, uid, count(*) OVER (PARTITION BY uid ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS in_minute, count(*) OVER (PARTITION BY uid ORDER BY s RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS in_ten FROM (SELECT id, uid, @EPOCH(t) AS s FROM act) y) x"
     ),
+    # every user, and whether neither a mail nor a look falls into the last seven days
     "email_due": Query(
-        "SELECT uid FROM (SELECT uid, max(CASE WHEN kind = 'signup' THEN t END) AS sent, max(CASE WHEN kind IN ('view', 'click') THEN t END) AS seen FROM act GROUP BY uid) x WHERE (sent IS NULL OR sent < @NOW - INTERVAL '7' DAY) AND (seen IS NULL OR seen < @NOW - INTERVAL '7' DAY)"
+        """SELECT uid, sent, seen, CASE WHEN (sent IS NULL OR sent < @NOW - INTERVAL '7' DAY) AND (seen IS NULL OR seen < @NOW - INTERVAL '7' DAY) THEN 1 ELSE 0 END AS due FROM (
+        SELECT uid, max(CASE WHEN kind = 'signup' THEN t END) AS sent, max(CASE WHEN kind IN ('view', 'click') THEN t END) AS seen FROM act GROUP BY uid) x"""
     ),
     "since_rule": Query(
         "SELECT uid, CAST(greatest(1, least(90, coalesce(ago, 90))) AS BIGINT) AS days FROM (SELECT uid, @DAYS(@NOW, max(CASE WHEN kind = 'view' THEN t END)) AS ago FROM act GROUP BY uid) x"

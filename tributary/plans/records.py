@@ -26,7 +26,7 @@ QUERIES = {
     ),
     "version_filter": Query("SELECT id, aid FROM (SELECT id, aid, CASE WHEN id % 4 = 0 THEN NULL ELSE id % 4 END AS version FROM act) x WHERE version IN (0, 1) OR version IS NULL"),
     "not_stored": Query("SELECT r.aid FROM article r WHERE r.body IS NULL OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = r.aid)"),
-    "missing_similarities": Query("SELECT DISTINCT a.aid FROM act a JOIN article r ON a.aid = r.aid WHERE NOT EXISTS (SELECT 1 FROM norm n WHERE n.aid = a.aid)"),
+    "missing_similarities": Query("SELECT r.aid, CASE WHEN n.aid IS NULL THEN 1 ELSE 0 END AS missing FROM article r JOIN (SELECT DISTINCT aid FROM act) a ON a.aid = r.aid LEFT JOIN norm n ON n.aid = r.aid"),
     "lineage": Query(
         "SELECT x.conv_id, x.turn, y.turn AS from_turn, length(y.text) AS from_chars FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn - 1"
     ),
