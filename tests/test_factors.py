@@ -36,3 +36,14 @@ def test_block_scores(spark, monkeypatch):
         s[i, j] = -1
     best = {(r.uid, r.rn): r.aid for r in scoring.scores(profiles, items, hidden, top=4).collect()}
     assert best == {(i, k): j for i in range(13) for k, j in enumerate(sorted(range(25), key=lambda j: (-s[i, j], j))[:4], 1)}
+
+
+def test_profiles_move_no_terms_of_users(spark, monkeypatch):
+    """Only pages move; the rows of users and terms stay where the vectors of the articles met them, and postings are stored once."""
+    from tributary.plans import registry, vectors
+
+    monkeypatch.setattr(vectors, "PAGES", 50)
+    for name in ("profile_from_history", "upload_profiles", "reordered_profile", "dot_products"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(part" in plan, name
+        assert plan.count("Exchange hashpartitioning") == 1 and "split(" not in plan, name

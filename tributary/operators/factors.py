@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tributary.functions.query_syntax import parse, predicate
 from tributary.operators import kernels, similarity
 from tributary.plans import dialect
-from tributary.sources.scratch import new_path
+from tributary.plans.profiles import acted_vectors
+from tributary.plans.vectors import by_user
+from tributary.sources.scratch import kept, new_path, sized
 
 
 def _kept(df: DataFrame, tag: str) -> DataFrame:
@@ -55,10 +57,10 @@ def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rocchio_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles after feedback: each term's weight plus the coefficients of the list's articles times their vectors; negative terms stay."""
-    before = dialect.run(dialect.Query("SELECT uid, term, w1 AS w FROM profile"), spark, sf_dir)
-    vectors = dialect.run(dialect.Query("SELECT aid, term, x FROM vec"), spark, sf_dir)
-    moved = kernels.feedback_lists(spark, sf_dir).filter("rho <> 0").join(vectors, "aid").select("uid", "term", (F.col("rho") * F.col("x")).alias("w"))
-    return before.union(moved).groupBy("uid", "term").agg(F.round(F.sum("w"), 6).alias("w1"))
+    pages = dialect.run(dialect.Query("SELECT uid, aid, 1 / (1 + ln(rn)) AS g FROM ranked_page WHERE aid IS NOT NULL"), spark, sf_dir)
+    moved = kernels.feedback_lists(spark, sf_dir).filter("rho <> 0").select("uid", "aid", F.col("rho").alias("g"))
+    weighed = by_user(kept(pages.unionByName(moved), "pages")).join(sized(acted_vectors(spark, sf_dir), "aid", "term", "x"), "aid")
+    return weighed.groupBy("part", "uid", "term").agg(F.round(F.sum(F.col("g") * F.col("x")), 6).alias("w1")).drop("part")
 
 
 def similarity_priors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tributary.operators.kernels import coin, feedback_coefficients
 from tributary.operators.sampling import numbered
 from tributary.plans import dialect
-from tributary.plans.vectors import text_vectors
+from tributary.plans.vectors import acted, by_user, text_vectors
+from tributary.sources.scratch import kept, sized
 
 #: Articles of a shown list at most, and of a simulated one.
 SHOWN, SIMULATED = 200, 10
@@ -28,7 +29,7 @@ def gamma(j: int) -> float:
 def list_coefficients(spark: SparkSession, sf_dir: str, first_id: int = 0, below_id: int | None = None) -> DataFrame:
     """uid, list, aid, rho: what each list shown teaches. A user's list of a day has the articles of the actions on it, in the order of the first ones, SHOWN at most.
 
-    Only actions with ids from first_id, and below below_id if given, count. A list's verdicts come from its own actions; a group is one list.
+    Only actions with ids from first_id, and below below_id if given, count. A list's verdicts come from its own actions; a group is one user's lists, as groups cost more than their rows.
     """
     where = f"id >= {first_id}" + (f" AND id < {below_id}" if below_id is not None else "")
     rows = dialect.run(
@@ -42,12 +43,18 @@ def list_coefficients(spark: SparkSession, sf_dir: str, first_id: int = 0, below
         sf_dir,
     )
 
-    def learn(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("place")
-        rho, _ = feedback_coefficients(own.aid.tolist(), {a: v for a, v in zip(own.aid, own.verdict, strict=True) if v}, coin(f"{key[0]}/{key[1]}") == 1)
-        return pd.DataFrame([(key[0], key[1], a, r) for a, r in rho.items() if r], columns=["uid", "list", "aid", "rho"])
+    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lists: dict = {}
+        ordered = rows.sort_values(["list", "place"])
+        for day, aid, verdict in zip(ordered["list"], ordered["aid"], ordered["verdict"], strict=True):
+            lists.setdefault(day, []).append((aid, verdict))
+        out = []
+        for day, own in lists.items():
+            rho, _ = feedback_coefficients([a for a, _ in own], {a: v for a, v in own if v}, coin(f"{key[0]}/{day}") == 1)
+            out += [(key[0], day, a, r) for a, r in rho.items() if r]
+        return pd.DataFrame(out, columns=["uid", "list", "aid", "rho"])
 
-    return rows.groupBy("uid", "list").applyInPandas(learn, "uid long, list date, aid long, rho double")
+    return rows.groupBy("uid").applyInPandas(learn, "uid long, list date, aid long, rho double")
 
 
 def rebuilt_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +64,10 @@ def rebuilt_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     holds no user's history together.
     """
     made = text_vectors(spark, sf_dir)
-    moves = list_coefficients(spark, sf_dir).join(made.vec.select("aid", "term", "x"), "aid").groupBy("uid", "list", "term").agg(F.sum(F.col("rho") * F.col("x")).alias("step"))
-    so_far = F.sum("step").over(Window.partitionBy("uid", "term").orderBy("list").rowsBetween(Window.unboundedPreceding, 0))
+    known = acted(spark, sf_dir, made.vec.select("aid", "term", "x"))
+    moved = by_user(kept(list_coefficients(spark, sf_dir), "moved")).join(sized(known, "aid", "term", "x"), "aid")
+    moves = moved.groupBy("part", "uid", "list", "term").agg(F.sum(F.col("rho") * F.col("x")).alias("step"))
+    so_far = F.sum("step").over(Window.partitionBy("part", "uid", "term").orderBy("list").rowsBetween(Window.unboundedPreceding, 0))
     return moves.select("uid", "list", "term", F.round(so_far, 9).alias("w"))
 
 
