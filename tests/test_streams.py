@@ -35,3 +35,12 @@ def test_requests_collapse_and_reorderings_expire(spark, tmp_path):
     got = finished(base_lists.base_lists(events), "update").withColumn("day", F.dayofmonth(F.timestamp_micros("at"))).collect()
     rows = sorted((r.uid, r.day, r.asked, r.rn, r.aid) for r in got)
     assert rows == [(1, 1, 10, 1, 8), (1, 1, 10, 2, 7), (1, 5, 1, 1, 8), (1, 5, 1, 2, 7), (1, 21, 1, 0, None), (2, 1, 1, 0, None), (3, 20, 1, 0, None), (3, 21, 1, 1, 4), (3, 21, 1, 2, 9)]
+
+
+def test_a_later_reordering_hides_none_before_the_request():
+    from tributary.streaming import base_lists
+
+    day = 86_400_000_000
+    moves = {(7, 10 * day), (7, 12 * day), (8, 9 * day), (9, 13 * day)}
+    assert base_lists.listed(moves, 11 * day) == [7, 8]
+    assert base_lists.listed(moves, 12 * day) == [7, 8] and base_lists.listed(moves, 8 * day) == []

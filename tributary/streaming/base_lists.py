@@ -23,10 +23,13 @@ EXPIRY = EXPIRY_DAYS * 86_400_000_000
 OUT = "uid long, asked long, at long, rn int, aid long"
 
 
-def listed(moved: dict[int, int], at: int) -> list[int]:
-    """Articles moved within EXPIRY before `at`, the last moved first; of a tie the lower id."""
-    alive = [(-t, a) for a, t in moved.items() if at - EXPIRY < t <= at]
-    return [a for _, a in sorted(alive)[:LENGTH]]
+def listed(moves: set[tuple[int, int]], at: int) -> list[int]:
+    """Articles of moves (article, time) within EXPIRY before `at`, the last moved first; of a tie the lower id. A move after `at` hides none before it."""
+    last: dict[int, int] = {}
+    for a, t in moves:
+        if at - EXPIRY < t <= at:
+            last[a] = max(t, last.get(a, t))
+    return [a for _, a in sorted((-t, a) for a, t in last.items())[:LENGTH]]
 
 
 def recompute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,14 +37,14 @@ def recompute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
     Rows: us (microseconds), moves (whether the action reorders, else it asks), aid. Actions come in any order.
     """
-    moved: dict[int, int] = dict(zip(*state.get)) if state.exists else {}
+    moved: set[tuple[int, int]] = set(zip(*state.get)) if state.exists else set()
     asked = newest = 0
     if not state.hasTimedOut:
         for batch in batches:
             for us, moves, aid in zip(batch["us"], batch["moves"], batch["aid"]):
                 if moves:
                     if pd.notna(aid):
-                        moved[int(aid)] = max(int(us), moved.get(int(aid), 0))
+                        moved.add((int(aid), int(us)))
                 else:
                     asked, newest = asked + 1, max(newest, int(us))
     now = state.getCurrentWatermarkMs() * 1000
@@ -49,10 +52,11 @@ def recompute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         out = listed(moved, newest)
         yield pd.DataFrame([(key[0], asked, newest, i, a) for i, a in enumerate(out, 1)] or [(key[0], asked, newest, 0, None)], columns=["uid", "asked", "at", "rn", "aid"]).astype({"aid": "Int64"})
     # requests may still come as late as the watermark; what no such request would see goes
-    moved = {a: t for a, t in moved.items() if t > now - EXPIRY}
+    moved = {(a, t) for a, t in moved if t > now - EXPIRY}
     if moved:
-        state.update((list(moved), list(moved.values())))
-        state.setTimeoutTimestamp(max(min(moved.values()) + EXPIRY, now + 1_000) // 1000 + 1)
+        articles, times = zip(*sorted(moved))
+        state.update((list(articles), list(times)))
+        state.setTimeoutTimestamp(max(min(times) + EXPIRY, now + 1_000) // 1000 + 1)
     elif state.exists:
         state.remove()
 
