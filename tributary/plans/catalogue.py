@@ -53,15 +53,14 @@ QUERIES = {
         "SELECT a.aid AS a0, b.aid, CAST(sum(a.w * b.w) AS BIGINT) AS score FROM s a JOIN s b ON a.sid = b.sid AND a.aid <> b.aid GROUP BY a.aid, b.aid",
         "s AS (SELECT sid, aid, max(w) AS w FROM act WHERE w > 0 AND aid IS NOT NULL AND t > @NOW - INTERVAL '365' DAY GROUP BY sid, aid)",
     ),
-    # the twenty best by the article's own score plus the general one: partners of the article, and the best 21 of all, of which no other article can be better
+    # all other articles by the article's own score plus the general one
     "coaccess_combined": Query(
-        """SELECT a0, aid, score, rn FROM (SELECT a0, aid, score, CAST(row_number() OVER (PARTITION BY a0 ORDER BY score DESC, aid) AS INT) AS rn FROM (
-            SELECT c.a0, c.aid, CAST(sum(c.score) AS BIGINT) + max(g.score) AS score FROM c JOIN g ON c.aid = g.aid GROUP BY c.a0, c.aid) y) x WHERE rn <= 20""",
+        """SELECT a0, aid, score, CAST(row_number() OVER (PARTITION BY a0 ORDER BY score DESC, aid) AS INT) AS rn FROM (
+            SELECT c.a0, c.aid, CAST(sum(c.score) AS BIGINT) + max(g.score) AS score FROM c JOIN g ON c.aid = g.aid GROUP BY c.a0, c.aid) y""",
         """s AS (SELECT sid, aid, max(w) AS w FROM act WHERE w > 0 AND aid IS NOT NULL AND t > @NOW - INTERVAL '365' DAY GROUP BY sid, aid),
         g AS (SELECT aid, CAST(sum(w) AS BIGINT) AS score FROM s GROUP BY aid),
-        top AS (SELECT aid FROM g ORDER BY score DESC, aid LIMIT 21),
         c AS (SELECT a.aid AS a0, b.aid, sum(a.w * b.w) AS score FROM s a JOIN s b ON a.sid = b.sid AND a.aid <> b.aid GROUP BY a.aid, b.aid
-            UNION ALL SELECT g.aid AS a0, t.aid, 0 AS score FROM g JOIN top t ON g.aid <> t.aid)""",
+            UNION ALL SELECT g.aid AS a0, t.aid, 0 AS score FROM g JOIN g t ON g.aid <> t.aid)""",
     ),
     "exclusions": Query("SELECT aid FROM article r WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a.aid = r.aid AND a.op < 0)"),
     "unseen_articles": Query("SELECT aid FROM article EXCEPT SELECT aid FROM act"),
