@@ -47,3 +47,32 @@ def test_profiles_move_no_terms_of_users(spark, monkeypatch):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(part" in plan, name
         assert plan.count("Exchange hashpartitioning") == 1 and "split(" not in plan, name
+
+
+def test_products_of_articles_give_the_scores_of_profiles(spark, monkeypatch):
+    few = {(r.uid, r.rn): (r.aid, r.s) for r in scoring.flagship(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(scoring, "ACTED", 0)
+    many = {(r.uid, r.rn): (r.aid, r.s) for r in scoring.flagship(spark, "/root/testdata/sf0.001").collect()}
+    assert few == many and len(few) == 150
+
+
+def test_blocks_of_short_rows_are_large():
+    # 90,000 users and 500,000 articles of 100 numbers each: an article went to 225 tasks and a user to 1,250
+    assert scoring._blocks(90_000, 9_000_000, 10) <= 5 and scoring._blocks(500_000, 50_000_000, 10, 32) <= 32
+    assert scoring._blocks(1_000, 9_000_000, 10) == 5
+
+
+def test_products_of_blocks(monkeypatch):
+    import pandas as pd
+
+    from tributary.operators import similarity
+
+    rng = np.random.default_rng(4)
+    x, y = (np.where(rng.random((n, 90)) < np.linspace(0.02, 0.7, 90), rng.random((n, 90)), 0) for n in (40, 33))
+    x[0] = y[0] = 0
+    x[0, 3] = y[0, 5] = 1
+    rows = lambda m: pd.DataFrame({"aid": range(len(m)), "terms": [np.flatnonzero(r) * 7 for r in m], "xs": [r[r != 0] for r in m]})
+    for rare, at_once in ((1, 50), (10, 1), (10, 10**6), (10**9, 5)):
+        monkeypatch.setattr(similarity, "RARE", rare)
+        monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", at_once)
+        assert np.allclose(similarity.products(rows(x), rows(y)), x @ y.T)

@@ -13,7 +13,7 @@ from tributary.operators import kernels, similarity
 from tributary.plans import dialect
 from tributary.plans.profiles import acted_vectors
 from tributary.plans.vectors import by_user
-from tributary.sources.scratch import kept, new_path, sized
+from tributary.sources.scratch import BROADCAST_BYTES, kept, new_path, sized
 
 
 def _kept(df: DataFrame, tag: str) -> DataFrame:
@@ -66,7 +66,13 @@ def rocchio_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each article's expected approval from those of similar articles: similarity-weighted mean of votes, and the votes' weight in millionths."""
     votes = dialect.run(dialect.Query("SELECT aid AS b, sum(CASE WHEN op >= 100 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN op >= 100 OR op < 0 THEN 1 ELSE 0 END) AS n FROM act WHERE aid IS NOT NULL GROUP BY aid"), spark, sf_dir)
-    near = similarity.similar_articles(spark, sf_dir).join(votes.filter("n > 0"), "b")
+    # only articles with votes are partners, so no other pairs are made
+    votes = kept(votes.filter("n > 0"), "votes")
+    vectors = similarity.grouped(spark, sf_dir)
+    known = kept(vectors.join(sized(votes, "b"), F.col("aid") == F.col("b"), "left_semi").select("grp", "term", F.col("aid").alias("b"), F.col("x").alias("y")), "voted")
+    other = F.broadcast(known) if known._rows * 48 <= BROADCAST_BYTES else known
+    pairs = vectors.join(other, ["grp", "term"]).filter("aid <> b").groupBy(F.col("aid").alias("a"), "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("s"))
+    near = pairs.filter(F.col("s") >= similarity.LEAST).join(sized(votes, "b", "up", "n"), "b")
     # whole millionths: sums do not depend on their order
     weight = F.round(F.col("s") * 1_000_000).cast("long")
     sums = near.groupBy("a").agg(F.sum(weight * F.col("up")).alias("up"), F.sum(weight * F.col("n")).alias("weight"))
