@@ -1,6 +1,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tributary.operators import feedback as f
@@ -71,3 +72,13 @@ def test_seeded_profiles_equal_a_plain_loop(spark, vectors):
     got = {(r.uid, r.term): r.w for r in registry.queries()["seeded_profiles"](spark, DIR).collect()}
     assert got.keys() == want.keys() and len(got) > 1000
     assert all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
+def test_vectors_travel_in_three_bytes_a_term():
+    rng = np.random.default_rng(6)
+    numbers = np.sort(rng.choice(100_000, 150, replace=False))
+    tfs = rng.integers(1, 9, 150)
+    assert len(f.packed_vector(numbers, tfs)) == 1 + 3 * 150
+    for n, tf in ((numbers, tfs), (numbers * 1000, tfs), (numbers, tfs * 1000), (numbers[:0], tfs[:0])):
+        back, often = f.unpacked_vector(f.packed_vector(n, tf))
+        assert back.tolist() == n.tolist() and often.tolist() == tf.tolist()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tributary.operators.kernels import coin, feedback_coefficients
 from tributary.operators.sampling import numbered
 from tributary.plans import dialect
-from tributary.plans.vectors import acted, by_user, text_vectors
+from tributary.plans.vectors import LEAST_DF, acted, by_user, text_vectors
 from tributary.sources.scratch import kept, sized
 
 #: Articles of a shown list at most, and of a simulated one.
@@ -71,47 +72,75 @@ def rebuilt_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.select("uid", "list", "term", F.round(so_far, 9).alias("w"))
 
 
-def simulate(rows: Iterator[pd.DataFrame], length: int = SIMULATED) -> Iterator[pd.DataFrame]:
-    """uid, term, w from rows sorted by uid, round and place: each a list's article with its terms, their weights and idf; the last place is the user's own article.
+def packed_vector(numbers: np.ndarray, tfs: np.ndarray) -> bytes:
+    """Ascending numbers of terms, as differences, and their frequencies: three bytes a term for all but odd vectors."""
+    steps = np.diff(numbers, prepend=0)
+    wide, long = bool((steps > 0xFFFF).any()), bool((tfs > 0xFF).any())
+    return bytes([wide | long << 1]) + steps.astype(np.uint32 if wide else np.uint16).tobytes() + tfs.astype(np.uint32 if long else np.uint8).tobytes()
+
+
+def unpacked_vector(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, tf = np.dtype(np.uint32 if cell[0] & 1 else np.uint16), np.dtype(np.uint32 if cell[0] & 2 else np.uint8)
+    n = (len(cell) - 1) // (step.itemsize + tf.itemsize)
+    return np.cumsum(np.frombuffer(cell, step, n, 1), dtype=np.int64), np.frombuffer(cell, tf, n, 1 + n * step.itemsize).astype(float)
+
+
+def simulate(terms: np.ndarray, idfs: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """uid, term, w from rows sorted by uid, round and place: each a list's article with its packed vector over terms; the last place is the user's own article.
 
     A round ranks its list by the profile so far, ties as they stand; the user is taken to read down to their own article and to want it first: what stands
     above sinks by one place, their own rises to the top, and the profile moves by the differences of the places' weights. Only a profile and a list are held.
     """
-    uid, at, profile, held = None, None, {}, []
-
-    def learn() -> None:
-        order = sorted(range(len(held)), key=lambda i: (-round(sum(x * profile.get(t, 0.0) * w for t, x, w in held[i][1]), 12), i))
-        for j, i in enumerate(order):
-            own = i == len(held) - 1
-            rho = gamma(0 if own else j + 1) - gamma(j)
-            for t, x, _ in held[i][1]:
-                profile[t] = profile.get(t, 0.0) + rho * x
-            if own:
-                break
-
-    def result() -> pd.DataFrame:
-        kept = {t: w for t, w in profile.items() if abs(w) >= LEAST_WEIGHT}
-        return pd.DataFrame({"uid": [uid] * len(kept), "term": list(kept), "w": list(kept.values())})
-
-    for batch in rows:
-        done = []
-        for r in batch.itertuples(index=False):
-            if (r.uid, r.round) != at:
-                if held:
-                    learn()
-                    held = []
-                if r.uid != uid:
-                    if uid is not None:
-                        done.append(result())
-                    uid, profile = r.uid, {}
-                at = (r.uid, r.round)
-            held.append((r.aid, list(zip(r.terms, r.xs, r.idfs, strict=True)) if r.terms is not None else []))
-        if done:
-            yield pd.concat(done)
-    if held:
-        learn()
-    if uid is not None:
-        yield result()
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uid, at, held = None, None, []
+        profile, touched = np.zeros(len(terms)), []
+
+        def learn() -> None:
+            vectors = []
+            for cell in held:
+                numbers, tfs = unpacked_vector(cell) if cell is not None else (np.zeros(0, np.int64), np.zeros(0))
+                idf = idfs[numbers]
+                x = tfs * np.sqrt(idf)
+                vectors.append((numbers, x / max(np.sqrt(x @ x), 1e-300), idf))
+            order = sorted(range(len(held)), key=lambda i: (-round(float((vectors[i][1] * vectors[i][2]) @ profile[vectors[i][0]]), 12), i))
+            for j, i in enumerate(order):
+                own = i == len(held) - 1
+                numbers, x, _ = vectors[i]
+                profile[numbers] += (gamma(0 if own else j + 1) - gamma(j)) * x
+                touched.append(numbers)
+                if own:
+                    break
+            held.clear()
+
+        def result() -> pd.DataFrame:
+            found = np.unique(np.concatenate(touched)) if touched else np.zeros(0, np.int64)
+            w = profile[found]
+            profile[found] = 0.0
+            touched.clear()
+            far = np.abs(w) >= LEAST_WEIGHT
+            return pd.DataFrame({"uid": np.full(far.sum(), uid), "term": terms[found[far]], "w": w[far]})
+
+        for batch in rows:
+            done = []
+            for r in batch.itertuples(index=False):
+                if (r.uid, r.round) != at:
+                    if held:
+                        learn()
+                    if r.uid != uid:
+                        if uid is not None:
+                            done.append(result())
+                        uid = r.uid
+                    at = (r.uid, r.round)
+                held.append(r.v)
+            if done:
+                yield pd.concat(done)
+        if held:
+            learn()
+        if uid is not None:
+            yield result()
+
+    return run
 
 
 def simulated_lists(spark: SparkSession, sf_dir: str, length: int = SIMULATED) -> DataFrame:
@@ -131,10 +160,22 @@ def simulated_lists(spark: SparkSession, sf_dir: str, length: int = SIMULATED) -
 def seeded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of all users from simulated feedback on lists of drawn articles with one of theirs in each."""
     made = text_vectors(spark, sf_dir)
-    cells = made.vec.groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("term", "x", "idf"))).alias("v"))
-    rows = simulated_lists(spark, sf_dir).join(cells, "aid", "left").select("uid", "round", "place", "aid", F.col("v.term").alias("terms"), F.col("v.x").alias("xs"), F.col("v.idf").alias("idfs"))
+    often = kept(made.terms.filter(F.col("df") >= LEAST_DF).select("term", "idf"), "often")
+    known = often.orderBy("term").toArrow()  # 16 bytes a term that ten documents share; all tasks have them
+    terms, idfs = (known.column(c).to_numpy() for c in ("term", "idf"))
+
+    @F.pandas_udf("binary")
+    def packed(cells: pd.Series) -> pd.Series:
+        def one(v: list) -> bytes:
+            numbers = np.searchsorted(terms, np.array([c["term"] for c in v]))
+            return packed_vector(numbers, np.array([c["tf"] for c in v]))
+
+        return cells.map(one)
+
+    cells = made.postings.join(sized(often, "term"), "term").groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("v"))
+    rows = simulated_lists(spark, sf_dir).join(cells.select("aid", packed("v").alias("v")), "aid", "left").select("uid", "round", "place", "v")
     rows = rows.repartition("uid").sortWithinPartitions("uid", "round", "place")
-    return rows.mapInPandas(simulate, "uid long, term long, w double").withColumn("w", F.round("w", 9))
+    return rows.mapInPandas(simulate(terms, idfs), "uid long, term long, w double").withColumn("w", F.round("w", 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
