@@ -1,7 +1,11 @@
 """Queries on tables larger than the given ones, or of a shape that only these have."""
 
+import re
+
+import pytest
+
 from tributary.plans.dialect import run
-from tributary.plans.registry import QUERIES
+from tributary.plans.registry import QUERIES, queries
 
 
 def test_shares_of_terms_are_exact_whatever_the_order(spark):
@@ -13,3 +17,24 @@ def test_shares_of_terms_are_exact_whatever_the_order(spark):
     }
     r = run(QUERIES["theta_check"], spark, "/root/testdata/sf0.001", given).first()
     assert (r.n, r.wrong, r.total) == (200000, 0, 1.0)
+
+
+@pytest.mark.parametrize("name", ["flat_vectors", "fielded_vectors", "lda_export", "svm_export"])
+def test_rows_of_documents_and_terms_do_not_move(spark, name):
+    """Texts move to their document's partition; what is made of them there is not shuffled again, and the vocabulary is broadcast, be it for a plan without known sizes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan)
+    assert moved.count("doc_id") == 1 and "field" not in moved
+    # svm_export brings a class to each line
+    assert set(moved) <= {"doc_id"} | ({"aid"} if name == "svm_export" else set())
+
+
+def test_missing_similarities_splits_only_texts_acted_on(spark):
+    """Vectors of all articles are not made: the final plan reads no text."""
+    plan = queries()["missing_similarities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and "posting" not in plan
