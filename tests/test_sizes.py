@@ -38,3 +38,16 @@ def test_missing_similarities_splits_only_texts_acted_on(spark):
     """Vectors of all articles are not made: the final plan reads no text."""
     plan = queries()["missing_similarities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "split(" not in plan and "posting" not in plan
+
+
+def test_suggestions_of_many_users_are_few_files(spark, tmp_path):
+    """Files do not grow with the users; an article or user that is null comes back as null."""
+    from pyspark.sql import functions as F
+
+    from tributary.sources import formats
+
+    rows = spark.range(600).select(F.when(F.col("id") < 599, F.col("id") % 300).alias("uid"), F.when(F.col("id") > 0, F.col("id")).alias("aid"), (F.col("id") / 2).alias("score"), F.lit(1).alias("rn"), F.lit('a "b"\tiUnperturbed=7').alias("comment"))
+    formats.write_suggestions(rows.repartition(3), str(tmp_path / "s"))
+    assert len(list(tmp_path.glob("s/**/*.txt"))) <= formats.BUCKETS
+    got = {(r.uid, r.aid, r.score, r.comment, r.unperturbed) for r in formats.read_suggestions(spark, str(tmp_path / "s")).collect()}
+    assert got == {(i % 300 if i < 599 else None, i or None, i / 2, "a 'b'\tiUnperturbed=7", 7) for i in range(600)}
