@@ -51,3 +51,14 @@ def test_suggestions_of_many_users_are_few_files(spark, tmp_path):
     assert len(list(tmp_path.glob("s/**/*.txt"))) <= formats.BUCKETS
     got = {(r.uid, r.aid, r.score, r.comment, r.unperturbed) for r in formats.read_suggestions(spark, str(tmp_path / "s")).collect()}
     assert got == {(i % 300 if i < 599 else None, i or None, i / 2, "a 'b'\tiUnperturbed=7", 7) for i in range(600)}
+
+
+def test_searches_by_many_terms_make_no_candidates(spark, monkeypatch):
+    """Pairs of a query and an article that share a term are not rows anywhere."""
+    from tributary.operators import topk
+
+    def never(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(topk, "candidates", never)
+    assert queries()["long_text_candidates"](spark, "/root/testdata/sf0.001").limit(1).count() == 1
