@@ -69,6 +69,37 @@ def test_stopping_means_by_total(spark):
     assert got[0.9, 4] < got[0.9, 40] < 0.3 and got[0.9, 4] < got[0.5, 4] < 0.3
 
 
+def test_programmes_are_solved_side_by_side_and_in_many_tasks(spark):
+    totals, gammas = np.array([4, 21, 40, 400, 21]), np.array([0.5, 0.99, 0.9, 0.98, 0.999])
+    for cost, horizon in ((0.05, 200), (0.3, 60), (0.95, 20)):
+        want = [k.stopping_mean(t / 2, t / 2, g, cost, horizon) for t, g in zip(totals, gammas)]
+        assert k.stopping_means_at(totals, gammas, cost, horizon) == pytest.approx(want, abs=1e-9)
+    states = spark.createDataFrame([(1 - 1 / g, 2, n) for g in range(2, 20) for n in range(3, 9)], "gamma double, alpha long, beta long")
+    means, costs = b.stopping_means(states.selectExpr("gamma", "alpha + beta AS total"), 0.3, 20), b.costs_of(states, 20)
+    for df in (means, costs):
+        assert df.selectExpr("spark_partition_id() AS p").distinct().count() > 1
+    tables = {1 - 1 / g: dict(b.forwarding_costs(1 - 1 / g, 20)) for g in range(2, 20)}
+    assert sorted(costs.collect()) == sorted((r.gamma, r.alpha, r.beta, tables[r.gamma][r.alpha + r.beta - 2][r.alpha - 1]) for r in states.collect())
+
+
+def test_admitted_lists_take_the_newest(spark):
+    got = {}
+    for r in registry.queries()["admitted_lists"](spark, DIR).collect():
+        got.setdefault(r.uid, set()).add(r.aid)
+    seen = run(Query("SELECT r.aid, r.cat, max(a.id) AS last FROM article r LEFT JOIN act a ON r.aid = a.aid GROUP BY r.aid, r.cat"), spark, DIR).collect()
+    n = {c: sum(r.cat == c for r in seen) for c in {r.cat for r in seen}}
+    states = run(catalogue.QUERIES["alpha_beta"], spark, DIR).collect()
+    gammas = np.array([1 - 1 / (12 * max(1, math.floor(n[r.cat] / 13 + 0.5)) + 1) for r in states])
+    totals = np.array([r.alpha + r.beta for r in states])
+    mus = k.stopping_means_at(totals, gammas, b.COST, b.HORIZON)
+    worth = {}
+    for r, t, mu in zip(states, totals, mus):
+        if r.alpha / t >= mu:
+            worth.setdefault(r.uid, set()).add(r.cat)
+    order = sorted(seen, key=lambda r: (r.last is None, -(r.last or 0), r.aid))
+    assert got == {uid: {r.aid for r in [r for r in order if r.cat in cats][: b.MOST]} for uid, cats in worth.items()}
+
+
 def test_interpolation_is_linear_along_each_axis(spark):
     axes = {"x": (0.0, 1.0, 3.0), "y": (1.0, 2.0)}
     f = lambda x, y: x * x + 10 * y + x * y

@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.kernels import digamma, index_of, stopping_mean
+from tributary.operators.kernels import digamma, index_of, stopping_means_at
+from tributary.operators.sampling import numbered
 from tributary.plans import catalogue, dialect
 from tributary.sources import triangular
-from tributary.sources.scratch import kept, new_path
+from tributary.sources.scratch import kept, new_path, sized
 
 #: Observations and steps of cost of the table of forwarding costs; the cost of a user's time; articles in a list.
 HORIZON, GRID, COST, MOST = 1000, 100, 0.05, 100
+#: Programmes solved side by side; bounds memory, not results.
+AT_ONCE = 256
 #: Discount, places and shares of the packed tables.
 GAMMA, DEPTH, SHARES = 0.99, 10, (0.05, 0.2, 0.5, 0.8, 1.0)
 #: The grid of the table of indices.
@@ -37,46 +40,62 @@ def forwarding_costs(discount: float, horizon: int = HORIZON, grid: int = GRID)
         value = np.maximum(gain, 0)
 
 
-def cost_table(discounts: DataFrame, horizon: int = HORIZON, grid: int = GRID) -> DataFrame:
-    """gamma, alpha, beta, cost: the table of each discount in column gamma, in a task of its own; horizon * horizon / 2 rows each."""
+def costs_of(states: DataFrame, horizon: int = HORIZON, grid: int = GRID) -> DataFrame:
+    """gamma, alpha, beta, cost of the distinct states (alpha and beta of horizon observations at most). A task solves the table of a discount and hands on the rows asked for."""
 
-    def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            for discount in batch.gamma:
-                for n, costs in forwarding_costs(discount, horizon, grid):
-                    i = np.arange(n + 1)
-                    yield pd.DataFrame({"gamma": discount, "alpha": 1 + i, "beta": 1 + n - i, "cost": costs})
+    def solve(asked: pd.DataFrame) -> pd.DataFrame:
+        discount = asked.gamma.iloc[0]
+        by = {n: x for n, x in asked.groupby(asked.alpha + asked.beta - 2)}
+        return pd.concat([by[n].assign(cost=costs[by[n].alpha - 1]) for n, costs in forwarding_costs(discount, horizon, grid) if n in by])
 
-    return discounts.select(F.col("gamma").cast("double")).distinct().mapInPandas(solve, "gamma double, alpha long, beta long, cost double")
+    # a number of partitions, as so few bytes would else go to one task
+    asked = states.select(F.col("gamma").cast("double"), "alpha", "beta").distinct().repartition(states.sparkSession.sparkContext.defaultParallelism, "gamma")
+    return asked.groupBy("gamma").applyInPandas(solve, "gamma double, alpha long, beta long, cost double")
 
 
 def stopping_means(totals: DataFrame, cost: float = COST, horizon: int = HORIZON) -> DataFrame:
     """gamma, total, mu: the mean from which an item with so many counts behind it, prior ones included, is worth showing at the cost."""
 
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"gamma": b.gamma, "total": b.total, "mu": [stopping_mean(n / 2, n / 2, g, cost, horizon) for g, n in zip(b.gamma, b.total, strict=True)]})
+        for batch in batches:
+            for i in range(0, len(batch), AT_ONCE):
+                b = batch.iloc[i : i + AT_ONCE]
+                yield b.assign(mu=stopping_means_at(b.total.to_numpy(float), b.gamma.to_numpy(), cost, horizon))
 
-    return totals.select(F.col("gamma").cast("double"), F.col("total").cast("long")).distinct().repartition("gamma", "total").mapInPandas(solve, "gamma double, total long, mu double")
+    asked = totals.select(F.col("gamma").cast("double"), F.col("total").cast("long")).distinct()
+    # a number of partitions, as so few bytes would else go to one task; by the columns themselves it can fall together with distinct()'s
+    return asked.repartition(totals.sparkSession.sparkContext.defaultParallelism, F.xxhash64("gamma", "total")).mapInPandas(solve, "gamma double, total long, mu double")
 
 
 def admitted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's list: the newest MOST articles of those categories of theirs whose mean reaches the stopping mean at COST, by descending forwarding cost.
 
     Counts are those of alpha_beta. Beyond the horizon of the table of forwarding costs the mean stands for the cost. A category's newest MOST articles can fill a
-    list alone, so no others meet its users. Ties go by a hash.
+    list alone, so no others meet its users: each category brings the ascending numbers of its articles in one row, and a user takes the least MOST of theirs. Ties go by a hash.
     """
     volumes = dialect.run(dialect.Query("SELECT cat, 1 - 1 / (12.0 * greatest(1, round(count(*) / 13.0)) + 1) AS gamma FROM article GROUP BY cat"), spark, sf_dir)
     users = dialect.run(catalogue.QUERIES["alpha_beta"], spark, sf_dir).join(volumes, "cat").withColumns({"gamma": F.col("gamma").cast("double"), "total": F.col("alpha") + F.col("beta")})
     users = kept(users, "states")
     mean = F.col("alpha") / F.col("total")
-    worth = kept(users.join(stopping_means(users), ["gamma", "total"]).filter(mean >= F.col("mu")).drop("mu"), "worth")
-    costs = cost_table(worth.filter(F.col("total") <= HORIZON + 2)).join(worth.select("gamma", "alpha", "beta").distinct(), ["gamma", "alpha", "beta"], "left_semi")
-    admitted = worth.join(costs, ["gamma", "alpha", "beta"], "left").select("uid", "cat", F.coalesce("cost", mean).alias("cost"))
+    means = kept(stopping_means(users), "means")
+    worth = kept(users.join(sized(means, "gamma", "total", "mu"), ["gamma", "total"]).filter(mean >= F.col("mu")).drop("mu"), "worth")
+    costs = kept(costs_of(worth.filter(F.col("total") <= HORIZON + 2)), "costs")
+    admitted = worth.join(sized(costs, "gamma", "alpha", "beta", "cost"), ["gamma", "alpha", "beta"], "left").select("uid", "cat", F.coalesce("cost", mean).alias("cost"))
     seen = dialect.run(dialect.Query("SELECT r.aid, r.cat, max(a.id) AS last_id FROM article r LEFT JOIN act a ON r.aid = a.aid GROUP BY r.aid, r.cat"), spark, sf_dir)
     newest = [F.desc_nulls_last("last_id"), F.col("aid")]
-    fresh = seen.withColumn("place", F.row_number().over(Window.partitionBy("cat").orderBy(*newest))).filter(F.col("place") <= MOST)
-    listed = admitted.join(fresh, "cat").withColumn("place", F.row_number().over(Window.partitionBy("uid").orderBy(*newest))).filter(F.col("place") <= MOST)
+    fresh = kept(seen.withColumn("place", F.row_number().over(Window.partitionBy("cat").orderBy(*newest))).filter(F.col("place") <= MOST).select("aid", "cat", "last_id"), "fresh", "cat")
+    # newest first by one number: articles with actions by their last, then the others
+    acted, others = fresh.filter("last_id IS NOT NULL").select("aid", "cat", (-F.col("last_id")).alias("at")), fresh.filter("last_id IS NULL").select("aid", "cat", F.col("aid").alias("at"))
+    acted, others = numbered(acted, "at", "n", "aid"), numbered(others, "at", "n").withColumn("n", F.col("n") + fresh._rows)
+    placed = kept(acted.union(others).select("aid", "cat", "n"), "placed", "cat")
+    heads = kept(placed.groupBy("cat").agg(F.array_sort(F.collect_list("n")).alias("numbers")), "heads")
+    heads._bytes = placed._bytes + 8 * placed._rows
+    own = admitted.repartition("uid").join(sized(heads, "cat", "numbers"), "cat").groupBy("uid").agg(F.collect_list(F.struct("cost", "numbers")).alias("own"))
+    width = F.size("own")
+    # a number and the place of its category in one
+    marked = F.flatten(F.transform("own", lambda x, i: F.transform(x["numbers"], lambda v: v * width + i)))
+    least = F.transform(F.slice(F.sort_array(marked), 1, MOST), lambda v: F.struct(F.call_function("div", v, width).alias("n"), F.get(F.col("own")["cost"], (v % width).cast("int")).alias("cost")))
+    listed = own.select("uid", F.inline(least)).join(sized(placed, "n", "aid"), "n")
     by = Window.partitionBy("uid").orderBy(F.desc("cost"), F.md5(F.concat_ws("/", "uid", "aid")), "aid")
     return listed.select("uid", "aid", F.row_number().over(by).alias("rn"), "cost")
 

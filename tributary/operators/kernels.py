@@ -177,6 +177,29 @@ def stopping_mean(alpha: float, beta: float, gamma_: float, cost: float, horizon
     return (low + high) / 2
 
 
+def stopping_means_at(totals: np.ndarray, gammas: np.ndarray, cost: float, horizon: int) -> np.ndarray:
+    """stopping_mean for many totals and discounts side by side.
+
+    A state whose mean stays at the cost or above even if all observations to come fail is never left, so its value is that of going on for ever,
+    (mean - cost) / (1 - gamma) at any step: the induction runs over the successes below these states only.
+    """
+    low, high = np.zeros(len(totals)), np.ones(len(totals))
+    for _ in range(30):
+        mid = (low + high) / 2
+        alpha = mid * totals
+        below = int(np.clip(np.ceil(cost * (totals + horizon) - alpha).max(initial=0), 0, horizon))
+        up = alpha + np.arange(below + 2)[:, None]
+        w = np.maximum((up / (totals + horizon) - cost) / (1 - gammas), 0)
+        for n in range(horizon - 1, -1, -1):
+            m = up / (totals + n)
+            last = min(below, n) + 1
+            w[:last] = np.maximum(m[:last] - cost + gammas * (m[:last] * w[1 : last + 1] + (1 - m[:last]) * w[:last]), 0)
+            w[below + 1] = (m[below + 1] - cost) / (1 - gammas)
+        on = w[0] > 1e-12
+        low, high = np.where(on, low, mid), np.where(on, mid, high)
+    return (low + high) / 2
+
+
 def kalman(mu: np.ndarray, sigma: np.ndarray, x: np.ndarray, y: float, noise: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     k = sigma @ x / (x @ sigma @ x + noise**2)
     return mu + k * (y - x @ mu), sigma - np.outer(k, x @ sigma)

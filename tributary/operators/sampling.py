@@ -25,24 +25,24 @@ def _range_of(value: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def numbered(df: DataFrame, order: str, name: str = "rn") -> DataFrame:
-    """df with name: each row's place from 1 in the ascending order of a column of unique numbers.
+def numbered(df: DataFrame, order: str, name: str = "rn", *ties: str) -> DataFrame:
+    """df with name: each row's place from 1 in the ascending order of a column of numbers, which with the columns ties are unique.
 
     The column's approximate quantiles (RANGES at most, taken over all rows) cut it into ranges; rows are numbered in their range, from
     the number of rows in lower ranges on. So no task holds more than about a RANGES-th of the rows.
     """
     cuts = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first().q or []
-    return numbered_in_ranges(df, order, _range_of(F.col(order), sorted(set(cuts))), name)
+    return numbered_in_ranges(df, order, _range_of(F.col(order), sorted(set(cuts))), name, *ties)
 
 
-def numbered_in_ranges(df: DataFrame, order: str, ranges: Column, name: str = "rn") -> DataFrame:
+def numbered_in_ranges(df: DataFrame, order: str, ranges: Column, name: str = "rn", *ties: str) -> DataFrame:
     """As numbered, with ranges given: a column that never falls as the order rises and has few values."""
     placed = df.withColumn("_range", ranges)
     # a row a range
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("_range", before.alias("_before")))
-    here = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(order, *ties))
     return placed.withColumn("_here", here).join(offsets, "_range").withColumn(name, F.col("_here") + F.col("_before")).drop("_range", "_here", "_before")
 
 
