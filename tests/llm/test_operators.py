@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tributary.llm import bpe, chat, components, fingerprint, html, line_dedup, lm_scoring, mixing, near_dedup, quality, registry, sharding
+from tributary.llm.common import stored
 
 DIR = "/root/testdata/sf0.001"
 
@@ -162,6 +163,33 @@ def test_a_key_that_all_lines_share_is_spread(spark):
     assert [r.text for r in line_dedup.deduplicated(docs).orderBy("doc_id").collect()] == [lines[0]] + [""] * 599
 
 
+def test_lines_asked_for_are_read_without_moving_texts(spark):
+    docs = spark.createDataFrame([(1, "first line\n second \n"), (2, None), (3, "second\nthird line")], "doc_id long, text string")
+    ids = stored(spark.sql("SELECT explode(array(xxhash64('second'), xxhash64('third line'))) AS hash"), "ids")
+    found = line_dedup.line_texts(docs, line_dedup.places(docs), ids)
+    assert sorted(r.line for r in found.collect()) == ["second", "third line"]
+    kept = stored(spark.sql("SELECT 1 AS x"), "x")
+    # no place of a line is looked up where the ids can be broadcast
+    assert sorted(r.line for r in line_dedup.line_texts(docs, kept, ids).collect()) == ["second", "third line"]
+
+
+@pytest.mark.parametrize("block", [7, line_dedup.BLOCK])
+def test_links_across_components_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng, lines = random.Random(4), []
+    for i in range(40):
+        base = prose(300 + i, 15)
+        lines += [base] + [base[:p] + "#" + base[p + 1 :] for p in [rng.randrange(len(base)) for _ in range(3)]]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    rows = {(b, h, rng.randrange(h // 2, h // 2 + 2)) for b, n in enumerate((3, 5, 6, 8, 30, 120)) for h in rng.sample(range(len(lines)), n)}
+    least = {b: min(c for x, _, c in rows if x == b) for b, _, _ in rows}
+    rest = spark.createDataFrame([(*r, least[r[0]]) for r in rows], "bucket long, hash long, comp long, least long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "hash long, line string")
+    want = {(min(h, k), max(h, k)) for b, h, c in rows for d, k, e in rows if b == d and h < k and c != e and 100 * len(sets[h] & sets[k]) >= 80 * len(sets[h] | sets[k])}
+    got = [(r.a, r.b) for r in line_dedup._across(rest, texts).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_lines_of_odd_and_no_documents(spark, odd_docs, no_docs):
     assert line_dedup.deduplicated(odd_docs).count() == 11
     assert line_dedup.stage(spark, odd_docs, DIR).columns == odd_docs.columns

@@ -5,6 +5,8 @@ Signatures and the grouping of band keys are numpy in Python workers: the same r
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -180,7 +182,10 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
-    """hash and line of the lines in ids, each read from one place of places()."""
+    """hash and line of the lines in ids: met where the texts are split if the ids can be broadcast, else each read from one place of places(), so that texts move once."""
+    if small(ids) is not ids:
+        lines = F.transform(F.split("text", "\n"), lambda x: let(F.btrim(x, F.lit(SPACE)), lambda y: F.struct(F.xxhash64(y).alias("hash"), y.alias("line"))))
+        return docs.filter("text IS NOT NULL").select(F.inline(lines)).join(small(ids), "hash", "left_semi").groupBy("hash").agg(F.first("line").alias("line"))
     at = found.join(small(ids), "hash", "left_semi").groupBy("hash").agg(*[F.first(c).alias(c) for c in ("doc_id", "version", "place")])
     spots = at.groupBy("doc_id", "version").agg(F.collect_list(F.struct("hash", "place")).alias("spots"))
     spots = stored(spots.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spots"), "spots")
@@ -192,7 +197,7 @@ def line_texts(docs: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 class Sets:
-    """The sets of shingles of some lines, as numbers below `size`: those of line i are ids[start[i] : start[i + 1]]."""
+    """The sets of shingles of some lines, as hashes of 50 bits or more: those of line i are hashes[start[i] : start[i + 1]], ascending."""
 
     def __init__(self, lines: list[str]):
         chars, start, lengths = _joined(lines)
@@ -202,32 +207,44 @@ class Sets:
             x = (x ^ chars[k : n + k]) * _MIX
             x ^= x >> np.uint64(32)
         m = np.maximum(lengths - K + 1, 0)
-        of = np.repeat(np.arange(len(lines)), m)
+        of = np.repeat(np.arange(len(lines), dtype=np.uint64), m)
         x = x[np.arange(len(of)) + np.repeat(start - np.cumsum(m) + m, m)]
-        order = np.argsort(x)
-        fresh = np.concatenate([[True], x[order[1:]] != x[order[:-1]]])[: len(x)]
-        number = np.empty(len(x), np.int64)
-        number[order] = np.cumsum(fresh) - 1
-        self.size = max(1, np.count_nonzero(fresh))
-        each = np.sort(of * self.size + number)
-        each = each[np.concatenate([[True], each[1:] != each[:-1]])[: len(each)]]
-        self.ids = (each % self.size).astype(np.int32)  # a block has fewer shingles
-        self.start = np.searchsorted(each, np.arange(len(lines) + 1) * self.size)
+        bits = np.uint64(max(1, len(lines).bit_length()))
+        rest = np.uint64(64) - bits
+        # a line's number above its hashes, so that one sort does for all lines
+        x = (of << rest) | (x >> bits)
+        x.sort()
+        x = x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
+        self.start = np.searchsorted(x, np.arange(len(lines) + 1, dtype=np.uint64) << rest)
         self.n = np.diff(self.start)
-        self.mark = np.zeros(self.size, bool)
+        self.hashes = x & ((np.uint64(1) << rest) - np.uint64(1))
+
+    @functools.cached_property
+    def ids(self) -> np.ndarray:
+        """hashes as numbers from 0."""
+        return np.unique(self.hashes, return_inverse=True)[1].astype(np.int32)  # a block has fewer shingles
+
+    @functools.cached_property
+    def mark(self) -> np.ndarray:
+        return np.zeros(self.ids.max(initial=0) + 1, bool)
 
     def linked(self, i: int, others: np.ndarray) -> np.ndarray:
         """Which of some lines are linked to line i."""
         n = self.n[i]
         near = others[(100 * np.minimum(n, self.n[others]) >= PERCENT * np.maximum(n, self.n[others])) & (n > 0)]
-        own = self.ids[self.start[i] : self.start[i + 1]]
-        self.mark[own] = True
+        if not len(near):
+            return near
+        own = slice(self.start[i], self.start[i + 1])
         if 4 * len(near) < len(self.n):
-            shared = np.fromiter((np.count_nonzero(self.mark[self.ids[self.start[j] : self.start[j + 1]]]) for j in near), np.int64, len(near))
+            theirs = np.concatenate([self.hashes[self.start[j] : self.start[j + 1]] for j in near])
+            mine = self.hashes[own]
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), n - 1)] == theirs
+            shared = np.add.reduceat(hit, np.cumsum(self.n[near]) - self.n[near], dtype=np.int64)
         else:
+            self.mark[self.ids[own]] = True
             upto = np.concatenate([[0], np.cumsum(self.mark[self.ids], dtype=np.int32)])
             shared = upto[self.start[near + 1]] - upto[self.start[near]]
-        self.mark[own] = False
+            self.mark[self.ids[own]] = False
         return near[(100 + PERCENT) * shared >= PERCENT * (n + self.n[near])]
 
 
@@ -265,16 +282,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _block_links(block: pa.Table) -> pa.Table:
-    """Links within a block: each of its lines that is outside the bucket's least component, against those of other components."""
-    hashes, comp, least, left = (block.column(c).to_numpy() for c in ("hash", "comp", "least", "left"))
-    sets = Sets(block.column("line").to_pylist())
-    right = np.flatnonzero(~left)
+    """Links within a block: in each of its buckets, each left line that is outside the bucket's least component, against the right ones of other components."""
+    block = block.sort_by("bucket")
+    bucket, hashes, comp, outside, left, right = (block.column(c).to_numpy() for c in ("bucket", "hash", "comp", "outside", "left", "right"))
+    _, at, row = np.unique(hashes, return_index=True, return_inverse=True)
+    sets = Sets(block.column("line").take(pa.array(at)).to_pylist())
+    of = hashes[at]
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in np.flatnonzero(left):
-        others = right[(comp[right] != comp[i]) & ((comp[right] == least[right]) | (hashes[i] < hashes[right]))]
-        found = hashes[sets.linked(i, others)]
-        a.append(np.minimum(found, hashes[i]))
-        b.append(np.maximum(found, hashes[i]))
+    for first, end in itertools.pairwise(np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))):
+        rights = first + np.flatnonzero(right[first:end])
+        for i in first + np.flatnonzero(left[first:end] & outside[first:end]):
+            others = rights[(comp[rights] != comp[i]) & (~outside[rights] | (hashes[i] < hashes[rights]))]
+            found = of[sets.linked(row[i], row[others])]
+            a.append(np.minimum(found, hashes[i]))
+            b.append(np.maximum(found, hashes[i]))
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
@@ -282,17 +303,22 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """The links between members of one bucket in different components.
 
     Of two such members one is outside the bucket's least component; so the left side holds those outside only, and a large component of
-    copies meets the few that are not in it rather than itself. Both sides are dealt into blocks of about BLOCK lines, each pair of which is
-    a group of its own: no task holds a bucket.
+    copies meets the few that are not in it rather than itself. Both sides of a large bucket are dealt into blocks of about BLOCK lines, each pair of which is
+    a group of its own: no task holds a bucket. Buckets of one block go whole, with others of their kind, into groups of about BLOCK lines.
     """
-    outside = F.col("comp") != F.col("least")
-    sides = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("rights"), F.ceil(F.count_if(outside) / BLOCK).alias("lefts"))
-    rows = rest.join(small(stored(sides, "sides")), "bucket").join(texts, "hash")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = rest.withColumn("outside", F.col("comp") != F.col("least")).drop("least")
+    sides = stored(rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("rights"), F.ceil(F.count_if("outside") / BLOCK).alias("lefts"), F.count("*").alias("n")), "sides")
+    lots = -(-(sides.filter("rights = 1").agg(F.sum("n")).first()[0] or 1) // BLOCK)
+    numbers = lambda n, body: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), body)
     of = lambda n: F.pmod(F.xxhash64("hash", F.lit(n)), F.col(n))
-    left = rows.filter(outside).select("bucket", of("lefts").alias("i"), numbers("rights").alias("j"), "hash", "comp", "least", "line", F.lit(True).alias("left"))
-    right = rows.select("bucket", numbers("lefts").alias("i"), of("rights").alias("j"), "hash", "comp", "least", "line", F.lit(False).alias("left"))
-    return left.union(right).groupBy("bucket", "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
+    group = lambda lot, i, j, left, right: F.struct(lot.alias("lot"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+    none = F.lit(-1).cast("long")
+    whole = F.array(group(F.pmod(F.xxhash64("bucket"), F.lit(lots)), none, none, True, True))
+    lefts = F.when(F.col("outside"), numbers("rights", lambda j: group(F.col("bucket"), of("lefts"), j, True, False)))
+    rights = numbers("lefts", lambda i: group(F.col("bucket"), i, of("rights"), False, True))
+    dealt = F.when(F.col("rights") == 1, whole).when(F.col("outside"), F.concat(lefts, rights)).otherwise(rights)
+    rows = rest.join(small(sides), "bucket").select("bucket", "hash", "comp", "outside", F.inline(dealt))
+    return rows.join(texts, "hash").groupBy("lot", "i", "j").applyInArrow(_block_links, "a long, b long").distinct()
 
 
 def line_components(docs: DataFrame, found: DataFrame) -> DataFrame:
