@@ -86,3 +86,9 @@ def test_blocks_of_rows_of_terms(spark, monkeypatch):
     got = similarity.cosines(spark.createDataFrame(rows, "grp long, aid long, term long, x double"), 0.6).select("a", "b", F.round("s", 9).alias("s")).collect()
     s = x @ x.T
     assert {(r.a, r.b) for r in got} == {(i, j) for i in range(30) for j in range(30) if i != j and i % 2 == j % 2 and s[i, j] >= 0.6} and len(got) == len({(r.a, r.b) for r in got})
+
+
+def test_seeded_profiles_make_no_lists_of_cells(spark):
+    """A worker held the cells of a batch of articles as objects; packed articles become packed vectors in bytes."""
+    plan = registry.queries()["seeded_profiles"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "tf" not in plan.replace("tfs", "")

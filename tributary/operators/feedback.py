@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.kernels import coin, feedback_coefficients
 from tributary.operators.sampling import numbered
-from tributary.plans import dialect
-from tributary.plans.vectors import LEAST_DF, acted, by_user, text_vectors
+from tributary.plans import dialect, packed
+from tributary.plans.vectors import acted, by_user, text_vectors
 from tributary.sources.scratch import kept, sized
 
 #: Articles of a shown list at most, and of a simulated one.
@@ -157,25 +158,21 @@ def simulated_lists(spark: SparkSession, sf_dir: str, length: int = SIMULATED) -
     return drawn.unionByName(rounds.select("uid", "round", F.lit(length).alias("place"), F.col("own").alias("aid")))
 
 
-def seeded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of all users from simulated feedback on lists of drawn articles with one of theirs in each."""
-    made = text_vectors(spark, sf_dir)
-    often = kept(made.terms.filter(F.col("df") >= LEAST_DF).select("term", "idf"), "often")
-    known = often.orderBy("term").toArrow()  # 16 bytes a term that ten documents share; all tasks have them
-    terms, idfs = (known.column(c).to_numpy() for c in ("term", "idf"))
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """aid and v, the packed vector, of rows of packed articles."""
+    for batch in batches:
+        cells = packed.frequencies(pa.Table.from_batches([batch]))
+        rows = zip(cells.starts, cells.starts[1:])
+        yield pa.RecordBatch.from_arrays([batch.column("aid"), pa.array([packed_vector(cells.cols[a:b].astype(np.int64), cells.x[a:b].astype(np.int64)) for a, b in rows], pa.binary())], ["aid", "v"])
 
-    @F.pandas_udf("binary")
-    def packed(cells: pd.Series) -> pd.Series:
-        def one(v: list) -> bytes:
-            numbers = np.searchsorted(terms, np.array([c["term"] for c in v]))
-            return packed_vector(numbers, np.array([c["tf"] for c in v]))
 
-        return cells.map(one)
-
-    cells = made.postings.join(sized(often, "term"), "term").groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("v"))
-    rows = simulated_lists(spark, sf_dir).join(cells.select("aid", packed("v").alias("v")), "aid", "left").select("uid", "round", "place", "v")
+def seeded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all users from simulated feedback on lists of drawn articles with one of theirs in each."""
+    made = packed.articles(spark, sf_dir)  # 16 bytes a term that ten documents share; all tasks have them
+    vectors = made.rows.select("aid", "steps", "tfs").mapInArrow(_vectors, "aid long, v binary")
+    rows = simulated_lists(spark, sf_dir).join(vectors, "aid", "left").select("uid", "round", "place", "v")
     rows = rows.repartition("uid").sortWithinPartitions("uid", "round", "place")
-    return rows.mapInPandas(simulate(terms, idfs), "uid long, term long, w double").withColumn("w", F.round("w", 9))
+    return rows.mapInPandas(simulate(made.terms, made.idf), "uid long, term long, w double").withColumn("w", F.round("w", 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
